@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import exact_dedup
+from talus.llm import bpe, exact_dedup, mixing
 from talus.llm.scratch import Scratch
 
 
@@ -12,11 +12,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(Scratch(spark, "op9"), read(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(Scratch(spark, "op2"), read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op6_bpe": op6_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
