@@ -42,7 +42,9 @@ def hash_all(items: list[bytes]) -> np.ndarray:
     lengths = np.fromiter(map(len, items), np.int64, len(items))
     data = np.frombuffer(b"".join(items), np.uint8)
     place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    power = np.multiply.accumulate(np.concatenate([[1], np.full(max(int(lengths.max()), 1), ODD, np.uint64)]).astype(np.uint64))
+    power = np.full(int(lengths.max()) + 1, ODD, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[data] * power[place], dtype=np.uint64)])
     ends = np.cumsum(lengths)
     return mix64(sums[ends] - sums[ends - lengths] + lengths.astype(np.uint64))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.llm.scratch import Scratch
+from talus.llm.scratch import Scratch, join_hot
 
 WINDOW = 32
 GEAR = np.random.default_rng(9).integers(0, 2**32, 256, dtype=np.uint32)
@@ -141,7 +141,7 @@ def exact_groups(scratch: Scratch, docs: DataFrame, **options) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = verified_recipes(scratch, docs, **options)
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = rows.join(groups, "recipe")
+    out = join_hot(rows, groups, "recipe", F.struct("doc_id"))
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import bpe, exact_dedup, mixing
+from talus.llm import bpe, exact_dedup, mixing, secrets
 from talus.llm.scratch import Scratch
 
 
@@ -12,6 +12,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(Scratch(spark, "op3"), read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +32,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_secrets": op3_secrets,
     "op6_bpe": op6_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,16 @@ def ranked(scratch: Scratch, df: DataFrame, *order, name: str = "rank") -> DataF
     return dealt.withColumn(name, offset + inner).drop("_part")
 
 
+def join_hot(facts: DataFrame, dims: DataFrame, key: str, spread: Column, salts: int = 64) -> DataFrame:
+    """Inner join of ``facts`` with ``dims`` (one row a key) where a key may hold
+    a third of the facts: facts are dealt by (key, salt), the salt from ``spread``, and
+    a row of ``dims`` goes only to the salts in which its key occurs. ``facts``
+    is read twice, so it should be saved or cheap."""
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    spots = salted.select(key, "_salt").distinct().join(dims, key)
+    return salted.join(spots, [key, "_salt"]).drop("_salt")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), where the
     component is its smallest id. Alternates large-star and small-star steps
