@@ -12,7 +12,9 @@ machine so far. A text's score is a logistic function of its best unit.
 
 A worker scores each distinct unit once (bounded cache). Kernels are only computed
 for pairs whose longest common subsequence, found bit-parallel, has ORDER
-characters; all other kernels are exactly zero.
+characters and 0.6 of the landmark's; others count as zero (exactly so below
+ORDER). A unit that meets no landmark of positive weight cannot pass FLOOR and
+needs no kernel at all.
 
 Training reads at most ``SAMPLE`` labelled texts a class (by hash order of
 doc_id); scoring reads every whole text. Defined cases: a null text counts as
@@ -50,11 +52,11 @@ def words_of(text: str) -> set[str]:
 
 
 def pieces(word: str) -> list[str]:
-    """A raw unit as scored: edge punctuation off, windows where it is long."""
+    """A raw unit as scored: edge punctuation off, windows where it is long;
+    where it holds other characters than letters, its letters alone as well."""
     word = word.strip(EDGES)
-    if len(word) <= LONGEST:
-        return [word]
-    return [word[k : k + LONGEST] for k in range(0, len(word) - STEP, STEP)]
+    forms = [word] if word.isalpha() else [word, "".join(filter(str.isalpha, word))]
+    return [w[k : k + LONGEST] for w in forms for k in ([0] if len(w) <= LONGEST else range(0, len(w) - STEP, STEP))]
 
 
 def as_codes(items: list[str], width: int) -> np.ndarray:
@@ -98,16 +100,19 @@ class Landmarks:
             for k, c in enumerate(x):
                 self.masks[1 + int(np.searchsorted(self.alphabet, ord(c))), j] |= np.uint32(1 << k)
         self.full = np.array([(1 << len(x)) - 1 for x in items], np.uint32)
+        self.need = np.array([max(ORDER, -(-6 * len(x) // 10)) for x in items])
+        self.wanted = np.ones(len(items), bool)  # of these a unit must meet one
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, landmark) indices with a common subsequence of ORDER characters."""
+        """(unit, landmark) indices with a long enough common subsequence."""
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
         at = np.where(self.alphabet[at] == codes, at + 1, 0)
         rest = np.full((len(codes), len(self.items)), 0xFFFFFFFF, np.uint32)
         for t in range(codes.shape[1]):
             hit = rest & self.masks[at[:, t]]
             rest = (rest + hit) | (rest & ~hit)
-        return np.nonzero(np.bitwise_count(~rest & self.full) >= ORDER)
+        met = np.bitwise_count(~rest & self.full) >= self.need
+        return np.nonzero(met & (met & self.wanted).any(axis=1)[:, None])
 
     def similar(self, units: list[str], sink, chunk: int = 2048) -> None:
         """Calls sink(positions, landmarks, values) for the kernels that are not zero."""
@@ -169,7 +174,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Machine:
     """Trained on (units of a text, label) pairs; scores texts."""
 
-    FLOOR, CACHE = -1.5, 1 << 20
+    FLOOR, CACHE = -0.5, 1 << 20
 
     def __init__(self, texts: list[tuple[set[str], int]], landmarks: int = 32):
         y = np.array([t for _, t in texts])
@@ -178,10 +183,18 @@ class Machine:
         self.hot: dict[str, float] = {}
         if self.flat is not None:
             return
+        texts = list({frozenset(u): (u, t) for u, t in sorted(texts, key=lambda x: x[1])}.values())  # copies teach nothing new
+        y = np.array([t for _, t in texts])
         bags = [{p for w in units for p in pieces(w) if ORDER <= len(p)} for units, _ in texts]
         n = [max(1, int((y == c).sum())) for c in (0, 1)]
         count = [Counter(u for bag, t in zip(bags, y, strict=True) if t == c for u in bag) for c in (0, 1)]
-        odds = {u: np.log((k + 0.5) / (n[1] + 1)) - np.log((count[0][u] + 0.5) / (n[0] + 1)) for u, k in count[1].items() if k >= 2}
+        base, bar = n[1] / sum(n), np.log(20 * max(len(count[1]), 1))  # a word must beat chance over all words tried
+
+        def evidence(k: int, c: int) -> float:
+            share = k / (k + c)
+            return k * np.log(share / base) + (c * np.log((1 - share) / (1 - base)) if c else 0.0) if share > base else 0.0
+
+        odds = {u: np.log((k + 0.5) / (n[1] + 1)) - np.log((count[0][u] + 0.5) / (n[0] + 1)) for u, k in count[1].items() if evidence(k, count[0][u]) > bar}
         telling = sorted((u for u in odds if odds[u] > 1.5 and len(u) <= LANDMARK_CHARS), key=lambda u: (-count[1][u] * odds[u], u))[:landmarks]
         if not telling:
             self.flat = (y.sum() + 1) / (len(y) + 2)
@@ -190,7 +203,7 @@ class Machine:
         clean = sorted(count[0], key=lambda u: (-count[0][u], u))
         like = first.matrix(clean).max(axis=1)
         order = np.argsort(-like, kind="stable")
-        confusable = [clean[k] for k in order if len(clean[k]) <= LANDMARK_CHARS and odds.get(clean[k], 0) < 0.5][:landmarks]
+        confusable = [clean[k] for k in order if len(clean[k]) <= LANDMARK_CHARS and odds.get(clean[k], 0) < 0.5][:16]
         self.landmarks = Landmarks(telling + confusable)
         gram = self.landmarks.matrix(self.landmarks.items)
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
@@ -204,6 +217,8 @@ class Machine:
         place = {u: k for k, u in enumerate(units)}
         rank = np.array([odds.get(u, -9.0) for u in units])
         least = 1.5
+        gapped = [u[:k] + "\1" + u[k:] for u in telling for k in range(1, len(u))]  # a stranger inserted
+        x2 = self.landmarks.matrix(gapped) @ whiten
         for _ in range(3):
             witness = Counter()
             for bag, t in zip(bags, y, strict=True):
@@ -213,12 +228,14 @@ class Machine:
                             witness[k] += 1
             ones = np.array(sorted(witness), int)
             c1 = np.array([witness[k] for k in ones], float)
-            x = np.vstack([x1[ones], x0])
-            t = np.concatenate([np.ones(len(ones)), -np.ones(len(x0))])
-            w = np.concatenate([np.sqrt(c1) / max(np.sqrt(c1).sum(), 1), np.sqrt(c0) / max(np.sqrt(c0).sum(), 1)])
+            unlike = np.zeros((1, x0.shape[1]))  # stands for the many units unlike any landmark
+            x = np.vstack([x1[ones], x2, x0, unlike])
+            t = np.concatenate([np.ones(len(ones) + len(x2)), -np.ones(len(x0) + 1)])
+            w = np.concatenate([np.sqrt(c1) / max(np.sqrt(c1).sum(), 1), np.full(len(x2), 0.5 / len(x2)), np.sqrt(c0) / max(np.sqrt(c0).sum(), 1), [1.0]])
             slope, self.shift = svm(x, t, w)
             rank, least = x1 @ slope + self.shift, 0.0
         self.beta = whiten @ slope
+        self.landmarks.wanted = self.beta > 0
         best = np.array([self.best(u) for u, _ in texts])
         self.a, self.c = logistic(best, y)
 
@@ -247,11 +264,10 @@ class Machine:
 
     def best(self, units: set[str]) -> float:
         """The largest unit value of a text, not below FLOOR."""
-        new = units - self.cold
-        new.difference_update(self.hot)
+        new = [u for u in units - self.cold if u not in self.hot]
         if new:
-            self._learn(sorted(new))
-        return max((self.hot[u] for u in self.hot.keys() & units), default=self.FLOOR)
+            self._learn(new)
+        return max((self.hot[u] for u in units - self.cold), default=self.FLOOR)
 
     def scores(self, texts: list[str], block: int = 1 << 20) -> list[float]:
         if self.flat is not None:
@@ -263,10 +279,9 @@ class Machine:
                 units.append(words_of(texts[k]))
                 room -= len(texts[k]) + 1
                 k += 1
-            new = set().union(*units) - self.cold
-            new.difference_update(self.hot)
+            new = [u for u in set().union(*units) - self.cold if u not in self.hot]
             if new:
-                self._learn(list(new))  # one call for the block
+                self._learn(new)  # one call for the block
             best += [self.best(u) for u in units]
         return (1 / (1 + np.exp(-np.clip(self.a * np.array(best) + self.c, -500, 500)))).tolist()
 
