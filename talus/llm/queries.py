@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import bpe, exact_dedup, mixing, quality, secrets, toxicity
+from talus.llm import bpe, exact_dedup, mixing, quality, secrets, toxicity, vectors
 from talus.llm.scratch import Scratch
 
 
@@ -34,11 +34,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(Scratch(spark, "op9"), read(spark, sf_dir, "documents"))
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(Scratch(spark, "op1"), read(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(Scratch(spark, "op2"), read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_vectors": op1_vectors,
     "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
@@ -55,4 +60,15 @@ ORACLES = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op1_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) >= 0.93 * a.norm * b.norm),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+        FROM c LEFT JOIN n ON c.vec_id = n.vec_id""",
 }
