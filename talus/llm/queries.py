@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import bpe, exact_dedup, mixing, quality, secrets, toxicity, vectors
+from talus.llm import bpe, exact_dedup, mixing, ngram_join, quality, secrets, toxicity, vectors
 from talus.llm.scratch import Scratch
 
 
@@ -42,6 +42,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(Scratch(spark, "op2"), read(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(Scratch(spark, "op10"), read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_vectors": op1_vectors,
     "op2_mixing": op2_mixing,
@@ -50,6 +54,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
