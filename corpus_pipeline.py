@@ -1,7 +1,60 @@
-"""Corpus pipeline over ``documents`` (stages are added as their operators are)."""
-STAGES: list = []
+"""Corpus pipeline over ``documents``: toxicity, exact dedup, n-gram Jaccard join,
+mixing to target weights, byte-level BPE. Each stage takes (spark, docs, sf_dir)
+and works on all that its predecessor kept; its result is written and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from talus.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from talus.llm.scratch import Scratch
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the toxicity machine rejects."""
+    machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, machine, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.drop_copies(Scratch(spark, "exact"), docs)
+
+
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return ngram_join.keep_one(Scratch(spark, "near"), docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document once for each time that it is taken, cut where the
+    quota ends inside it."""
+    return mixing.mixed_documents(Scratch(spark, "mix"), docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes of each row."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", clean),
+    ("exact dedup", unrepeated),
+    ("n-gram Jaccard join", dissimilar),
+    ("mixing sources to target weights", mixed),
+    ("byte-level BPE encoding and decoding", encoded),
+]
+
+#: SQL cannot express the trained stage nor the seeded draws; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written and reread."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return docs

@@ -140,25 +140,25 @@ def mixed_documents(scratch: Scratch, docs: DataFrame, **options) -> DataFrame:
     words of a cut text keep what stands between them; n_chars follows the text."""
     import regex
 
-    base = scratch.save(docs.withColumn("_uid_key", F.monotonically_increasing_id()))
-    pool, drawn = plan(scratch, base.select("doc_id", "source", "text"), **options)
-    cuts = drawn.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("cuts"))
-    figures = pool.join(cuts, "uid", "left").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("uid")))
-    figures = figures.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "nth", "passes", "cuts")
+    pool, drawn = plan(scratch, docs, **options)
+    cuts = drawn.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_cuts"))
+    name = lambda n: F.sha2(F.to_json(F.struct("doc_id", "source", F.col(n).alias("size"))), 256)
+    nth = lambda *by: F.row_number().over(Window.partitionBy("_k").orderBy(*by))
+    figures = pool.join(cuts, "uid", "left").withColumn("_k", name("size")).withColumn("_nth", nth("uid")).select("_k", "_nth", F.col("passes").alias("_passes"), "_cuts", F.col("size").alias("_size"))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    mine = base.withColumn("_size", size).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_uid_key")))
-    both = mine.join(figures, mine.doc_id.eqNullSafe(F.col("_d")) & mine.source.eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & (F.col("_nth") == F.col("nth")))
+    mine = docs.withColumn("_n", size).withColumn("_k", name("_n")).withColumn("_nth", nth(F.xxhash64("text"))).drop("_n")
+    both = mine.join(figures, ["_k", "_nth"]).where("_size > 0 and (_passes > 0 or _cuts is not null)")
     word = regex.compile(WORD)
 
     @F.udf("string")
-    def cut(text, cuts):
+    def cut(text: str, cuts: list) -> str:
         spans = [m.span() for m in word.finditer(text)]
         return "\n".join(text[spans[c["first"]][0] : spans[c["first"] + c["words"] - 1][1]] for c in cuts)
 
-    whole = both.where("passes > 0 and _size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
-    part = both.where("cuts is not null")
-    whole_size = F.expr("aggregate(cuts, 0L, (a, c) -> a + c.words)") == F.col("_size")
-    part = part.withColumn("text", F.when(whole_size, F.col("text")).otherwise(cut("text", "cuts")))
+    whole = F.expr("_cuts is not null and aggregate(_cuts, 0L, (a, c) -> a + c.words) = _size")
+    both = scratch.save(both.withColumn("_full", F.col("_passes") + F.when(whole, 1).otherwise(0)).withColumn("_part", F.col("_cuts").isNotNull() & ~whole))
+    full = both.where("_full > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_full").cast("int"))))
+    part = both.where("_part").withColumn("text", cut("text", "_cuts"))
     if "n_chars" in docs.columns:
         part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
+    return full.select(*docs.columns).unionByName(part.select(*docs.columns))
