@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import bpe, exact_dedup, mixing, ngram_join, quality, secrets, toxicity, vectors
+from talus.llm import bpe, exact_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity, vectors
 from talus.llm.scratch import Scratch
 
 
@@ -20,6 +20,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(Scratch(spark, "op4"), read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_recurring(Scratch(spark, "op5"), read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
