@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import bpe, exact_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity, vectors
+from talus.llm import bpe, chaining, exact_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity, vectors
 from talus.llm.scratch import Scratch
 
 
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(Scratch(spark, "op8"), read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(Scratch(spark, "op9"), read(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
+    "op8_chaining": op8_chaining,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
