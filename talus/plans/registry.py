@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from talus.plans import graph
+
+PARTS = (graph,)
+QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in PARTS for k, v in p.ORACLES.items()}
