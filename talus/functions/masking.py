@@ -1,0 +1,123 @@
+"""Masking and other text functions whose loops depend on the data: pandas UDFs."""
+
+from __future__ import annotations
+
+import difflib
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talus.functions.text import PII
+
+
+def mask_text(text: str) -> tuple[str, dict[str, str]]:
+    """Leftmost-longest matches of all labels become numbered placeholders; equal
+    values share one. Returns the masked text and placeholder -> value."""
+    found = sorted(((m.start(), -len(m[0]), label, m[0]) for label, p in PII.items() for m in re.finditer(p, text, re.ASCII)))
+    out, at, names, seen = [], 0, {}, {}
+    for start, _, label, value in found:
+        if start < at:
+            continue
+        if (label, value) not in seen:
+            seen[label, value] = f"[{label.upper()}_{sum(k[0] == label for k in seen) + 1}]"
+        names[seen[label, value]] = value
+        out += [text[at:start], seen[label, value]]
+        at = start + len(value)
+    return "".join([*out, text[at:]]), names
+
+
+def unmask_text(text: str, names: dict[str, str]) -> str:
+    return re.sub(r"\[[A-Z0-9]+_\d+\]", lambda m: names.get(m[0], m[0]), text)
+
+
+@F.pandas_udf(T.StructType().add("masked", "string").add("names", T.MapType(T.StringType(), T.StringType())))
+def mask(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([mask_text(t or "") for t in texts], columns=["masked", "names"])
+
+
+# Filler phrases of replies.
+FILLER = ("certainly", "of course", "sure", "i hope this helps", "let me know if", "as an assistant", "great question", "happy to help")
+
+
+def terse_text(text: str) -> str:
+    """Filler lines out, outside code fences; runs of blank lines become one."""
+    out, fenced = [], False
+    for line in text.split("\n"):
+        if line.strip().startswith("```"):
+            fenced = not fenced
+        if not fenced and line.strip().lower().startswith(FILLER) and len(line) < 120:
+            continue
+        if not fenced and not line.strip() and out and not out[-1].strip():
+            continue
+        out.append(line)
+    return "\n".join(out).strip("\n")
+
+
+@F.pandas_udf(T.StringType())
+def terse(texts: pd.Series) -> pd.Series:
+    return texts.fillna("").map(terse_text)
+
+
+def chunk_text(text: str, most: int = 2000, least: int = 40) -> list[str]:
+    """Whole lines up to ``most`` bytes a chunk; longer lines are cut between
+    characters; chunks under ``least`` bytes go."""
+    out, held, size = [], [], 0
+    for line in text.split("\n"):
+        data = line.encode()
+        pieces = [line]
+        if len(data) > most:
+            pieces, now, n = [], [], 0
+            for c in line:
+                k = len(c.encode())
+                if n + k > most:
+                    pieces.append("".join(now))
+                    now, n = [], 0
+                now.append(c)
+                n += k
+            pieces.append("".join(now))
+        for p in pieces:
+            k = len(p.encode()) + 1
+            if held and size + k > most:
+                out.append("\n".join(held))
+                held, size = [], 0
+            held.append(p)
+            size += k
+    out.append("\n".join(held))
+    return [c for c in out if len(c.encode()) >= least]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def chunks(texts: pd.Series) -> pd.Series:
+    return texts.fillna("").map(chunk_text)
+
+
+@F.pandas_udf(T.StringType())
+def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Unified diff of two texts by lines, three lines of context."""
+    one = lambda a, b: "\n".join(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), "old", "new", lineterm=""))
+    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
+
+
+def fit_budget(text: str, tokens: int) -> str:
+    """Repeats out, then the important lines and the head, as many as the budget allows."""
+    rows = list(dict.fromkeys(x.strip() for x in text.split("\n")))
+    key = re.compile(r"(?i)error|fail|panic|exception|fatal|warn")
+    first = {k for k, x in enumerate(rows) if key.search(x)}
+    order = sorted(first)[:60] + [k for k in range(len(rows)) if k not in first]
+    kept, used = [], 0
+    for k in order:
+        cost = max(1, (len(rows[k].encode()) + 4) // 4)
+        if used + cost <= tokens:
+            kept.append(k)
+            used += cost
+    return "\n".join(rows[k] for k in sorted(kept))
+
+
+def budget_fit(column: str, tokens: int):
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: fit_budget(t, tokens))
+
+    return run(column)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from talus.plans import graph
+from talus.plans import graph, texts
 
-PARTS = (graph,)
+PARTS = (graph, texts)
 QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PARTS for k, v in p.ORACLES.items()}
