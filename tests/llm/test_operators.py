@@ -1,0 +1,250 @@
+"""Operators on small tables: brute force, nulls, empty and repeated rows, clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from talus.llm import bpe, chaining, exact_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity, vectors
+from talus.llm.scratch import Scratch, components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, h1 long, size long, component string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts():
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(400)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    base, out = some(150), []
+    for k in range(14):  # near copies
+        w = list(base)
+        for _ in range(k % 5):
+            w[rnd.randrange(150)] = "changed"
+        out.append(" ".join(w))
+    passage = " ".join(some(60))
+    out += [" ".join([*some(20), passage, *some(k)]) for k in (5, 9, 30)]
+    out += [" ".join(some(n)) for n in (1, 3, 4, 5, 6, 80, 900)]
+    out += [out[0].upper(), out[0], "", None, " \n\t", "short", "SHORT", 'token = "abcdefghijkl0" x', "AKIA" + "A1" * 10 + " " + "0af" * 7]
+    out += ["é" * 30 + "  ü", "a" * 700]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    t = texts()
+    out = [(k, x, "en" if k % 3 else None, None if k % 7 == 0 else f"s{k % 4}", len(x or ""), 1, 2, "c") for k, x in enumerate(t)]
+    return out + [out[3], (None, t[5], None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture
+def scratch(spark):
+    return Scratch(spark, "test")
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.digest16, lambda c: hashlib.md5(c).digest()[:1]])
+def test_exact(scratch, docs, rows, none, digest):
+    """A one-byte digest makes different chunks clash, and must change nothing."""
+    got = exact_dedup.exact_groups(scratch, docs, digest=digest, least=16, mean_bits=4, most=64).collect()
+    size, keep = Counter(), {}
+    for d, t, *_ in rows:
+        n = (t or "").translate(LOWER)
+        size[n] += 1
+        keep[n] = max(keep.get(n, -1), -1 if d is None else d)
+    assert len(got) == len(rows)
+    sha = {n: hashlib.sha256(n.encode()).hexdigest() for n in size}
+    want = Counter((d, keep[n], size[n], d == keep[n], sha[n]) for d, t, *_ in rows for n in [(t or "").translate(LOWER)])
+    assert Counter(map(tuple, got)) == want
+    assert exact_dedup.exact_groups(scratch, none).count() == 0
+    assert exact_dedup.drop_copies(scratch, docs).columns == docs.columns
+
+
+def test_ngram(scratch, docs, rows, none, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)  # many tokens are frequent: combinations and tiles run
+    got = ngram_join.jaccard_components(scratch, docs).collect()
+
+    def grams(t):
+        w = WORD.findall((t or "").translate(LOWER))
+        return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+
+    sets = {d: grams(t) for d, t, *_ in rows if d is not None}
+    root = {d: d for d in sets}
+    moved = True
+    while moved:
+        moved = False
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and sets[b] and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    low, high = sorted((root[a], root[b]))
+                    root = {d: low if r == high else r for d, r in root.items()}
+                    moved = True
+    want = Counter((d, len(grams(t)), None if d is None else root[d]) for d, t, *_ in rows)
+    assert Counter(map(tuple, got)) == want
+    assert ngram_join.jaccard_components(scratch, none).count() == 0
+    assert ngram_join.keep_one(scratch, docs).columns == docs.columns
+
+
+@pytest.mark.parametrize(("hot", "flush"), [(512, 1 << 15), (1, 4)])
+def test_recurring_strings(scratch, docs, rows, none, monkeypatch, hot, flush):
+    """Both ways, by suffix array and by window, and many flushes, give the same."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_recurring(scratch, docs).collect()}
+    data = [(d, (t or "").encode()) for d, t, *_ in rows]
+    seen = Counter(b[k : k + 200] for _, b in data for k in range(len(b) - 199))
+    want = set()
+    for d, b in data:
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        gone = gone[: len(b)]
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        want.add((d, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    assert got == want
+    assert suffix_dedup.remove_recurring(scratch, none).count() == 0
+
+
+def test_passages(scratch, docs, rows, none):
+    got = chaining.passages(scratch, docs).collect()
+    found = {r["doc_id"] for r in got} | {r["other_id"] for r in got}
+    assert {14, 15, 16} <= found and set(range(14)) <= found
+    assert not found & {17, 18, 19, 20, 21, 22, 23, 26, 27, 28, 29, 30, 31, 32, 33}
+    one = next(r for r in got if (r["doc_id"], r["other_id"]) == (15, 14))
+    assert (one["start_word"], one["end_word"], one["n_words"]) == (20, 80, 60)
+    assert chaining.passages(scratch, none).count() == 0
+
+
+def test_mixing(scratch, docs, rows, none):
+    got = mixing.mix(scratch, docs, leaf_words=64, block_words=16).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    size = Counter()
+    for _, t, _, s, *_ in rows:
+        size[s] += len(WORD.findall(t or ""))
+    order = [*sorted(s for s in size if s is not None), *([None] if None in size else [])]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, total = {}, sum(size.values())
+    while True:
+        left = [s for s in order if s not in target]
+        rate = (total - sum(target.values())) / max(sum(weight[s] for s in left), 1)
+        over = [s for s in left if weight[s] * rate > 3 * size[s]]
+        target |= {s: 3 * size[s] for s in over}
+        if not over:
+            target |= {s: weight[s] * rate for s in left}
+            break
+    source = {r[0]: r[3] for r in rows}
+    taken = Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == size[s] and abs(r["target"] - target[s]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+    again = mixing.mix(scratch, docs.repartition(7), leaf_words=64, block_words=16).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    assert mixing.mix(scratch, none).count() == 0
+    texts_ = mixing.mixed_documents(scratch, docs, leaf_words=64, block_words=16)
+    words = Counter()
+    for r in texts_.collect():
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    want = Counter()
+    for r in got:
+        want[r["doc_id"]] += r["taken"]
+    assert texts_.columns == docs.columns and +words == +want
+    blocks = mixing.mixed_blocks(scratch, docs, shards=4, leaf_words=64, block_words=16).groupBy("doc_id").sum("words").collect()
+    assert {r[0]: r[1] for r in blocks} == dict(+want)
+
+
+def test_secrets(scratch, docs, rows, none):
+    got = secrets.scan(scratch, docs).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    spot = next(d for d, t, *_ in rows if t and t.startswith("token"))
+    assert by[spot]["spans"] == "assign:0:22" and by[spot]["n_live"] == 1
+    assert by[spot]["base_sha256"] == hashlib.sha256(b"assign:0:22").hexdigest()
+    akia = by[spot + 1]
+    assert (akia["n_access"], akia["n_hex"]) == (1, 1) and akia["spans"] == "access:0:24,hex:25:46"
+    empty = next(r for r in got if r["doc_id"] == 0)
+    assert empty["spans"] == "" and empty["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert secrets.scan(scratch, none).count() == 0
+
+
+def test_secret_ownership(spark, scratch):
+    key = "Ab3" * 10
+    rows = [(1, f"x {key} y", "a"), (2, f"é {key}", "a"), (3, "Zz9" * 9, "a"), (4, "Zz9" * 9, "b"), (5, "password=short password=longenough123", None)]
+    got = {r["doc_id"]: r for r in secrets.scan(scratch, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1]["spans"] == "opaque:2:32" and got[2]["spans"] == "opaque:2:32"  # one owner
+    assert got[3]["spans"] == got[4]["spans"] == ""  # copied across owners
+    assert got[5]["spans"] == "assign:15:37"
+
+
+def test_vectors(spark, scratch):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(9, 24)), 7, axis=0) + rng.normal(scale=0.12, size=(63, 24))
+    rows = [(k, v.tolist(), k % 2, "x") for k, v in enumerate(x)]
+    rows += [(100, None, 0, "x"), (101, [0.0] * 24, 0, "x"), (102, [float("nan")] * 24, 0, "x"), (103, [1.0, None], 0, "x"), (104, [], 0, "x"), (105, x[0].tolist(), None, "x"), (106, x[0].tolist(), 0, "x"), (106, x[0].tolist(), 0, "x"), (107, [1.0, 2.0], 0, "x"), (108, (x[0] * 1e200).tolist(), 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, uid string")
+    got = vectors.near_duplicates(scratch, df, block=8).collect()
+    good = [(k, r[0], np.array(r[1]) / np.abs(r[1]).max(), r[2]) for k, r in enumerate(rows) if r[1] and r[2] is not None and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1])]
+    links = {k: set() for k in range(len(rows))}
+    for i, _, a, g in good:
+        for j, _, b, h in good:
+            if i != j and g == h and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
+                links[i].add(j)
+    comp = {}
+    for k in links:
+        seen, todo = {k}, [k]
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        comp[k] = min(rows[j][0] for j in seen)
+    want = Counter((rows[k][0], len(links[k]), comp[k], rows[k][0] == comp[k]) for k in links)
+    assert Counter(map(tuple, got)) == want
+    assert vectors.near_duplicates(scratch, df.limit(0)).count() == 0
+
+
+def test_classifiers(spark, scratch, docs, rows, none):
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(20)] + [(None, None, None), (3, 7, 7)], "doc_id long, quality int, toxic int")
+    for run in (lambda d, m: quality.classify(scratch, d, m), toxicity.classify):
+        got = run(docs, labels).collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+        assert run(none, labels).count() == 0
+        assert run(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_bpe_frames(spark, docs, rows, none):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    back = bpe.decode(bpe.encode(docs, path, P.PATTERN), path, P.PATTERN).collect()
+    assert Counter((r["doc_id"], bytes(r["data"])) for r in back) == Counter((d, (t or "").encode()) for d, t, *_ in rows)
+    got = bpe.digests(docs, path, P.PATTERN).collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in rows)
+    assert bpe.digests(none, path, P.PATTERN).count() == 0
+
+
+def test_components(spark, scratch):
+    rnd = random.Random(2)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100, k) for k in range(101, 140)] + [(k, k + 1) for k in range(200, 230)]
+    got = {r["id"]: r["component"] for r in components(scratch, spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {v: v for e in edges for v in e}
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {v: r for v, r in root.items() if any(v in e and e[0] != e[1] for e in edges)}
