@@ -66,7 +66,7 @@ def html_to_text(html: Column) -> Column:
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.regexp_replace(out, r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def html_title(html: Column) -> Column:

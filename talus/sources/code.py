@@ -1,0 +1,111 @@
+"""Code as tables: language detection, symbols, endpoints, tables and topics of files
+(path, content). Line scanners keep state a file, so they run as Arrow batches."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# File extensions and their languages.
+LANGUAGES = {
+    "go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java",
+    "rs": "rust", "rb": "ruby", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cs": "csharp", "php": "php", "kt": "kotlin", "swift": "swift",
+}
+# Declarations by language, as (kind, pattern with a group 'name').
+DECLARATIONS = {
+    "python": (("class", r"^\s*class\s+(?P<name>\w+)"), ("func", r"^\s*(?:async\s+)?def\s+(?P<name>\w+)")),
+    "go": (("func", r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)"), ("type", r"^type\s+(?P<name>\w+)")),
+    "rust": (("func", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(?P<name>\w+)"), ("type", r"^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(?P<name>\w+)")),
+    "ruby": (("class", r"^\s*(?:class|module)\s+(?P<name>\w+)"), ("func", r"^\s*def\s+(?P<name>[\w.?!]+)")),
+    "": (("class", r"^\s*(?:export\s+|public\s+|abstract\s+|final\s+)*(?:class|interface|struct)\s+(?P<name>\w+)"), ("func", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(?P<name>\w+)"), ("func", r"^\s*(?:public|private|protected|static|final|\s)+[\w<>\[\]]+\s+(?P<name>\w+)\s*\([^;]*$")),
+}
+# Words before a parenthesis that are no calls.
+NO_CALL = {"if", "for", "while", "switch", "return", "catch", "def", "func", "function", "class", "fn", "sizeof", "and", "or", "not", "in"}
+ENDPOINT = r"""(?i)(?:@(?:app|router|blueprint)\.|\b(?:router|app|mux|r|e)\.)(get|post|put|delete|patch|route|handlefunc|handle)\(\s*["']([^"']+)["']"""
+TABLE = r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([A-Za-z_][\w.]*)"
+TOPIC = r"""(?i)\b(publish|subscribe|send|consume)\(\s*["']([\w.:/-]+)["']"""
+
+
+def language(path: Column) -> Column:
+    """The language of a path's extension, else null."""
+    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return table[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))]
+
+
+def minified(content: Column) -> Column:
+    """Ten lines of over 500 bytes, or one of over 5000."""
+    sizes = F.transform(F.split(content, "\n"), F.octet_length)
+    return (F.size(F.filter(sizes, lambda n: n > 500)) >= 10) | F.exists(sizes, lambda n: n > 5000)
+
+
+def generated(path: Column, content: Column) -> Column:
+    """A generated-code path or a banner in the first 60 lines."""
+    head = F.slice(F.split(content, "\n"), 1, 60)
+    return path.rlike(r"(?i)(\.pb\.|_generated\.|\.min\.|/generated/)") | F.exists(head, lambda x: x.rlike(r"(?i)^\s*(//|#|/\*|\*).*(code generated|do not edit|autogenerated)"))
+
+
+def scan_symbols(path: str, content: str) -> list[tuple]:
+    """(path, lang, kind, name, line, end) and, as kind 'call', (caller, callee) by line."""
+    lang = LANGUAGES.get(path.rpartition(".")[2].lower())
+    if lang is None:
+        return []
+    rules = [(k, re.compile(p)) for k, p in DECLARATIONS.get(lang, DECLARATIONS[""])]
+    lines, found = content.split("\n"), []
+    for at, line in enumerate(lines, 1):
+        for kind, p in rules:
+            m = p.match(line)
+            if m:
+                found.append([path, lang, kind, m["name"], at, len(lines), len(line) - len(line.lstrip())])
+                break
+    for k, s in enumerate(found):  # a body ends before the next declaration that is no deeper
+        s[5] = next((t[4] - 1 for t in found[k + 1 :] if t[6] <= s[6]), len(lines))
+    out = [tuple(s[:6]) for s in found]
+    for s in found:
+        if s[2] == "func":
+            for at in range(s[4], s[5]):
+                for callee in re.findall(r"\b([A-Za-z_]\w*)\s*\(", lines[at]):
+                    if callee not in NO_CALL:
+                        out.append((path, lang, f"call:{s[3]}", callee, at + 1, at + 1))
+    return out
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """(path, lang, kind, name, line, end) of all files' declarations and calls."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [r for p, c in zip(part["path"], part["content"], strict=True) for r in scan_symbols(p or "", c or "")]
+            yield pd.DataFrame(rows, columns=["path", "lang", "kind", "name", "line", "end"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, lang string, kind string, name string, line int, end int")
+
+
+def calls(found: DataFrame) -> DataFrame:
+    """(caller, callee), each once, of a symbol table whose callee it declares."""
+    own = found.where("kind = 'func'").select(F.col("name").alias("callee")).distinct()
+    edges = found.where("kind like 'call:%'").select(F.substr("kind", F.lit(6)).alias("caller"), F.col("name").alias("callee")).distinct()
+    return edges.join(own, "callee", "left_semi").select("caller", "callee")
+
+
+def _matches(files: DataFrame, pattern: str, *groups: str) -> DataFrame:
+    line = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "line")).where(F.col("line").rlike(pattern))
+    cols = [F.regexp_extract("line", pattern, k).alias(g) for k, g in enumerate(groups, 1)]
+    return line.select("path", (F.col("at") + 1).alias("line"), *cols)
+
+
+def endpoints(files: DataFrame) -> DataFrame:
+    """(path, line, method, route)."""
+    return _matches(files, ENDPOINT, "method", "route").withColumn("method", F.lower("method"))
+
+
+def tables(files: DataFrame) -> DataFrame:
+    """(path, line, name) of CREATE TABLE statements."""
+    return _matches(files, TABLE, "name")
+
+
+def topics(files: DataFrame) -> DataFrame:
+    """(path, line, action, topic) of message sends and receipts."""
+    return _matches(files, TOPIC, "action", "topic").withColumn("action", F.lower("action"))

@@ -1,0 +1,25 @@
+"""Code extraction on small files."""
+
+from pyspark.sql import functions as F
+
+from talus.sources import code as C
+
+PY = "class A:\n    def one(self):\n        two()\n\ndef two():\n    return print(1)\n"
+GO = 'package x\nfunc Serve() {\n\tr.HandleFunc("/a", one)\n\tbus.Publish("t.x")\n}\ntype T struct{}\n'
+
+
+def test_scan():
+    got = C.scan_symbols("a.py", PY)
+    assert [g[2:6] for g in got if not g[2].startswith("call")] == [("class", "A", 1, 4), ("func", "one", 2, 4), ("func", "two", 5, 7)]
+    assert ("call:one", "two") in {g[2:4] for g in got}
+    assert C.scan_symbols("a.txt", PY) == []
+
+
+def test_frames(spark):
+    files = spark.createDataFrame([("a.py", PY), ("b.go", GO), ("c.sql", "CREATE TABLE IF NOT EXISTS users (id int)"), ("d.min.js", "x" * 6000)], "path string, content string")
+    found = C.symbols(files)
+    assert {tuple(r) for r in C.calls(found).collect()} == {("one", "two")}
+    assert C.endpoints(files).select("method", "route").first() == ("handlefunc", "/a")
+    assert C.tables(files).first()["name"] == "users" and C.topics(files).first()["topic"] == "t.x"
+    kinds = files.select("path", C.language(F.col("path")).alias("l"), C.minified(F.col("content")).alias("m"), C.generated(F.col("path"), F.col("content")).alias("g")).collect()
+    assert [tuple(r) for r in kinds] == [("a.py", "python", False, False), ("b.go", "go", False, False), ("c.sql", None, False, False), ("d.min.js", "javascript", True, True)]
