@@ -1,10 +1,10 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-The array of a byte string is built in time linear in its length: suffixes are
+Suffixes are
 classified as smaller or larger than their successors, the leftmost-smaller ones are
 sorted by their substrings (recursively on the string of their names), and all others are
-induced from them. On the byte level whole buckets are induced at once with
-numpy; the shorter strings of names below are sorted by the same steps over lists.
+induced from them. Whole buckets are induced at once with numpy; the string of names is
+sorted by renaming ever longer stretches of it.
 """
 
 from __future__ import annotations
@@ -86,8 +86,9 @@ def _within(c: np.ndarray, symbols: int) -> np.ndarray:
     return np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of small unsigned symbols whose last is the unique least."""
+def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array of small unsigned symbols whose last is the unique least. With
+    ``depth``, suffixes that agree in their first ``depth`` symbols may stand in any order."""
     if len(s) < 3:
         return np.arange(len(s))[::-1]
     s = s.astype(np.int16)
@@ -103,7 +104,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         if name.max() + 1 == len(lms):
             lms = by_substring
         else:
-            lms = lms[np.array(sort_names(name.tolist(), int(name.max()) + 1))]
+            lms = lms[sort_names(name, depth)]
     return induce(s, small, lms, symbols)
 
 
@@ -120,66 +121,26 @@ def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_names(s: list[int], symbols: int) -> list[int]:
-    """Suffix array of a list whose last entry is the unique 0."""
-    n = len(s)
-    if n == 1:
-        return [0]
-    small = bytearray(n)
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        a, b = s[i], s[i + 1]
-        small[i] = a < b or (a == b and small[i + 1])
-    count = [0] * (symbols + 1)
-    for c in s:
-        count[c + 1] += 1
-    for c in range(symbols):
-        count[c + 1] += count[c]
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def fill(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = count[1:]
-        for i in reversed(order):
-            c = s[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
-        head = count[:-1]
-        for i in sa:
-            if i > 0 and not small[i - 1]:
-                c = s[i - 1]
-                sa[head[c]] = i - 1
-                head[c] += 1
-        tail = count[1:]
-        for k in range(n - 1, -1, -1):
-            i = sa[k]
-            if i > 0 and small[i - 1]:
-                c = s[i - 1]
-                tail[c] -= 1
-                sa[tail[c]] = i - 1
-        return sa
-
-    if len(lms) > 1:
-        first = fill(lms)
-        stop = dict(zip(lms, lms[1:] + [lms[-1]], strict=True))
-        name, last, rank = {}, None, -1
-        for i in first:
-            if i in stop:
-                now = s[i : stop[i] + 1]
-                if now != last:
-                    rank, last = rank + 1, now
-                name[i] = rank
-        if rank + 1 < len(lms):
-            lms = [lms[k] for k in sort_names([name[i] for i in lms], rank + 1)]
-        else:
-            lms = sorted(lms, key=name.__getitem__)
-    return fill(lms)
+def sort_names(name: np.ndarray, depth: int | None) -> np.ndarray:
+    """Order of the suffixes of a string of names (its last the unique least).
+    Neighbouring names are renamed as one, recursively for twice as many each time,
+    until all differ, or until every name stands for ``depth`` symbols at least."""
+    span = 1
+    while name.max() + 1 < len(name) and (depth is None or span < depth):
+        after = np.zeros(len(name), np.int64)
+        after[:-span] = name[span:] + 1
+        both = name * (int(name.max()) + 2) + after
+        order = np.argsort(both, kind="stable")
+        name = np.empty(len(both), np.int64)
+        name[order] = np.concatenate([[0], np.cumsum(np.diff(both[order]) != 0)])
+        span *= 2
+    return np.argsort(name, kind="stable")
 
 
-def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(before, length): for each suffix, in text order, its predecessor in the
     array (-1 for the first) and the length of their common prefix up to ``cap``,
-    by halving steps over prefix hashes."""
+    by halving steps over prefix hashes; with ``whole``, lengths under ``cap`` are 0."""
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
@@ -188,14 +149,14 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray
     i = np.flatnonzero(before >= 0)
     j = before[i]
     got = np.zeros(len(i), np.int64)
-    step = 1 << max(cap.bit_length() - 1, 0)
+    step = cap if whole else 1 << max(cap.bit_length() - 1, 0)
     while step:
         a, b = i + got, j + got
         ok = (got + step <= cap) & (np.maximum(a, b) + step <= n)
         x, y = a[ok], b[ok]
         same = (sums[x + step] - sums[x]) * down[x] == (sums[y + step] - sums[y]) * down[y]
         got[np.flatnonzero(ok)[same]] += step
-        step //= 2
+        step = 0 if whole else step // 2
     length = np.zeros(n, np.int64)
     length[i] = got
     return before, length

@@ -170,7 +170,7 @@ def recurring(segments: list[bytes], width: int) -> list[np.ndarray]:
     full = np.ones(ends[-1] + 1, np.int16)  # 1 separates, 0 ends
     full[np.arange(len(s)) + np.repeat(np.arange(len(lens)), lens)] = s
     full[-1] = 0
-    before, length = common_prefixes(full, suffix_array(full), width)
+    before, length = common_prefixes(full, suffix_array(full, width), width, whole=True)
     long = np.flatnonzero(length >= width)
     hit = np.zeros(len(full), bool)
     hit[long] = hit[before[long]] = True
