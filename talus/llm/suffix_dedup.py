@@ -40,7 +40,7 @@ from talus.llm.shingles import blocks, powers
 from talus.llm.suffix import common_prefixes, suffix_array
 
 GRAM, HOT = 64, 512
-FLUSH = 1 << 18  # entries that a worker folds at a time
+FLUSH = 1 << 13  # entries that a worker folds at a time; keeps packed rows short
 ASK = "bucket int, key binary, sub binary, n binary, row binary, a binary, b binary, at binary"
 NAMES = ("key", "sub", "n", "row", "a", "b", "at")
 
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for s, e in blocks(texts):
+            for s, e in blocks(texts, 1 << 18):
                 owner, key, sub, first, last, at = anchors([(t or "").encode("utf-8", "surrogatepass") for t in texts[s:e]], width)
                 if len(owner):
                     parts.append((key, sub, ids[s:e][owner], first, last + width, at))
