@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.bpe import TABLE, mix64
+from talus.llm.bpe import ODD, TABLE, mix64
 from talus.llm.scratch import Scratch
 from talus.llm.shingles import blocks, powers
 from talus.llm.suffix import common_prefixes, suffix_array
@@ -76,7 +76,8 @@ def anchors(raw: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     first, last, at, owner = start[cut], start[np.append(cut[1:], len(start)) - 1], place[cut], text[cut]
     segment = mix64((sums[last + width] - sums[first]) * down[first] + mix64(((at - first) * 1024 + (last - first)).astype(np.uint64)))
     base = (ends - lens)[owner]
-    return owner, gram[at], segment, first - base, last - base, at - base
+    key = mix64(gram[at] + np.uint64(ODD))  # least hashes crowd near zero; buckets need even keys
+    return owner, key, segment, first - base, last - base, at - base
 
 
 def fold(parts: list[tuple[np.ndarray, ...]], buckets: int) -> tuple[tuple | None, list[pa.Array]]:
