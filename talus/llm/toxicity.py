@@ -298,11 +298,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"t": rows["t"], "units": [sorted(words_of(t or "")) for t in rows["text"]]})
+            yield pd.DataFrame({"t": rows["t"], "units": [[w for w in words_of(t or "") if len(w) >= ORDER] for t in rows["text"]]})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "t")
-    got = rows.mapInPandas(run, "t int, units array<string>").collect()
-    return Machine([(set(r["units"]), r["t"]) for r in got])
+    pool: dict[str, str] = {}  # one string a unit, and one partition at a time on the driver
+    got = rows.mapInPandas(run, "t int, units array<string>").toLocalIterator()
+    return Machine([({pool.setdefault(u, u) for u in r["units"]}, r["t"]) for r in got])
 
 
 def scored(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
