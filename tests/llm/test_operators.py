@@ -132,6 +132,20 @@ def test_passages(scratch, docs, rows, none):
     assert chaining.passages(scratch, none).count() == 0
 
 
+def test_split_passages(spark, scratch):
+    """Texts that hold the halves of a passage lead its seeds; the whole ones are still found."""
+    for draw in range(6):
+        rnd = random.Random(draw)
+        some = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]  # noqa: E731, B023
+        n = (60, 75, 90)[draw % 3]
+        p = some(n)
+        parts = {1: p[: n // 2], 2: p[n // 2 :], 3: p, 4: p}
+        rows = [(d, " ".join([*some(30), *w, *some(30)])) for d, w in parts.items()]
+        got = {(r["doc_id"], r["other_id"]) for r in chaining.passages(scratch, spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + draw % 2)).collect()}
+        want = {(a, b) for a in parts for b in parts if b < a and len(set(parts[a]) & set(parts[b])) >= 40}
+        assert want <= got
+
+
 def test_mixing(scratch, docs, rows, none):
     got = mixing.mix(scratch, docs, leaf_words=64, block_words=16).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
