@@ -152,6 +152,23 @@ def test_chain():
     assert chaining.common([1, 2, 3, 4], [2, 9, 4]) == 2 and chaining.extend([1, 2], [1, 3]) == 1
 
 
+def test_chain_past_a_far_run():
+    """A far run of a high score hides no nearer one; scores equal those over all pairs."""
+    runs = [(0, 0, 100), (149, 149, 25), (180, 180, 25)]
+    assert chaining.chain(runs, 40) == [[runs[0]], [runs[1], runs[2]]]
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        runs = sorted({(int(x), int(y), int(n)) for x, y, n in zip(rng.integers(0, 300, 30), rng.integers(0, 300, 30), rng.integers(5, 30, 30), strict=True)})
+        score = []
+        for a, b, n in runs:
+            gaps = [(score[j], a - x - m, b - y - m) for j, (x, y, m) in enumerate(runs[: len(score)])]
+            score.append(n + max([s - chaining.GAP_COST * (p + q) for s, p, q in gaps if 0 <= p <= chaining.MAX_GAP and 0 <= q <= chaining.MAX_GAP], default=0.0) if gaps else n)
+            score[-1] = max(score[-1], n)
+        first = chaining.chain(runs, 1)[0]
+        cost = sum(chaining.GAP_COST * (q[0] - p[0] - p[2] + q[1] - p[1] - p[2]) for p, q in zip(first, first[1:], strict=False))
+        assert abs(sum(r[2] for r in first) - cost - max(score)) < 1e-6
+
+
 def test_needed():
     for n in range(1, 50):
         assert all(4 * i >= 3 * n for i in range(ngram_join.needed(n), n + 1))
