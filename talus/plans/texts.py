@@ -82,7 +82,7 @@ def bm25_topk(spark, sf):
 
 def shingle_jaccard(spark, sf):
     c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return R.jaccard_lookup(c.where("id % 20 = 0").withColumnRenamed("id", "query"), c.where("id % 20 <> 0"), 0.3)
+    return R.jaccard_lookup(c.where("id % 20 = 0").withColumnRenamed("id", "query"), c, 0.3)
 
 
 def lesson_recall(spark, sf):
