@@ -21,13 +21,19 @@ def correlate(alerts: DataFrame, events: DataFrame, minutes: int = 30) -> DataFr
 
 def infer_service(alerts: DataFrame, events: DataFrame, minutes: int = 30) -> DataFrame:
     """alert, service: the service of the latest error at or before an alert that
-    names none, within the window; ties to the larger event."""
+    names none, within the window; ties to the larger event. One sort a time bin of the
+    window's length carries the latest error along; the bin before gives its last."""
     span = minutes * 60
-    bin_of = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(span * 1_000_000))
-    a = alerts.select(F.col("event_id").alias("alert"), F.col("ts").alias("at")).withColumn("bin", F.explode(F.array(bin_of(F.col("at")) - 1, bin_of(F.col("at")))))
-    e = events.where("event_type = 'error'").select("event_id", "user_id", "ts", bin_of(F.col("ts")).alias("bin"))
-    hit = a.join(e, "bin").where((F.col("event_id") != F.col("alert")) & (F.col("ts") <= F.col("at")) & (F.col("ts") >= F.col("at") - F.expr(f"INTERVAL {minutes} MINUTES")))
-    return hit.groupBy("alert").agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("service"))
+    bin_of = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(span * 1_000_000))
+    a = alerts.select("event_id", "ts", F.lit(0).alias("kind"), F.lit(None).alias("user_id"))
+    e = events.where("event_type = 'error' and ts is not null").select("event_id", "ts", F.lit(1).alias("kind"), "user_id")
+    rows = e.unionByName(a).withColumn("bin", bin_of).withColumn("error", F.when(F.col("kind") == 1, F.struct("ts", "event_id", "user_id")))
+    ends = rows.where("kind = 1").groupBy((F.col("bin") + 1).alias("bin")).agg(F.max("error").alias("end"))
+    past = Window.partitionBy("bin").orderBy("ts", "event_id", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("past", F.max("error").over(past)).withColumn("peer", F.max("error").over(Window.partitionBy("bin", "ts"))).where("kind = 0").join(ends, "bin", "left")
+    found = F.when(F.col("peer.event_id") > F.col("event_id"), F.col("peer")).otherwise(F.coalesce("past", "end"))
+    hit = rows.withColumn("found", found).where(F.col("found.ts") >= F.col("ts") - F.expr(f"INTERVAL {minutes} MINUTES"))
+    return hit.select(F.col("event_id").alias("alert"), F.col("found.user_id").alias("service"))
 
 
 def health(events: DataFrame) -> DataFrame:

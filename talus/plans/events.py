@@ -22,6 +22,12 @@ def service_inference(spark, sf):
     return E.infer_service(e.where("event_type = 'view' and event_id % 10 = 0"), e)
 
 
+def service_inference_all(spark, sf):
+    """Every view event, where service_inference and its SQL take a tenth."""
+    e = events(spark, sf)
+    return E.infer_service(e.where("event_type = 'view'"), e)
+
+
 def hypotheses(spark, sf):
     return E.hypotheses(alert_correlation(spark, sf))
 
@@ -97,7 +103,7 @@ def schema_validation(spark, sf):
     return events(spark, sf).select("event_id", v.alias("violation")).where("violation is not null")
 
 
-QUERIES = {f.__name__: f for f in (alert_correlation, service_inference, hypotheses, service_health, pattern_mining, stats_summary, metrics_snapshot, claim_conflicts, audit_chain_verify, threshold_calibration, context_gc_actions, memory_match_score, task_routing, session_windows, schema_validation)}
+QUERIES = {f.__name__: f for f in (alert_correlation, service_inference, service_inference_all, hypotheses, service_health, pattern_mining, stats_summary, metrics_snapshot, claim_conflicts, audit_chain_verify, threshold_calibration, context_gc_actions, memory_match_score, task_routing, session_windows, schema_validation)}
 
 CORR = """c AS (SELECT a.event_id AS alert, count(*) AS events, count(*) FILTER (WHERE e.event_type = 'signup') AS deployments, round(sum(e.value), 4) AS total
     FROM events a JOIN events e ON a.user_id = e.user_id AND e.event_id <> a.event_id AND e.ts <= a.ts AND e.ts >= a.ts - INTERVAL 30 MINUTE WHERE a.event_type = 'error' GROUP BY 1)"""

@@ -1,6 +1,9 @@
 """Whole-table bindings of queries that SQL does not cover."""
 
-from talus.plans import texts
+from datetime import timedelta
+
+from talus.operators import events as E
+from talus.plans import events, texts
 
 
 def test_shingle_jaccard_among_queries(spark, tmp_path):
@@ -9,3 +12,23 @@ def test_shingle_jaccard_among_queries(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {tuple(r) for r in texts.shingle_jaccard(spark, str(tmp_path)).collect()}
     assert got == {(1000, 2000, 1.0), (2000, 1000, 1.0)}
+
+
+def test_service_inference_of_all_views(spark):
+    """Against all pairs: every view event, and errors as alerts, which never name themselves."""
+    sf = "/root/testdata/sf0.001"
+    rows = events.events(spark, sf).toPandas().to_dict("records")
+    errors = [r for r in rows if r["event_type"] == "error"]
+
+    def want(kind):
+        out = {}
+        for r in rows:
+            near = [e for e in errors if e["event_id"] != r["event_id"] and r["ts"] - timedelta(minutes=30) <= e["ts"] <= r["ts"]]
+            if r["event_type"] == kind and near:
+                out[r["event_id"]] = max(near, key=lambda e: (e["ts"], e["event_id"]))["user_id"]
+        return out
+
+    got = events.service_inference_all(spark, sf).collect()
+    assert len(got) > 0 and dict(map(tuple, got)) == want("view") and len(got) == len(want("view"))
+    e = events.events(spark, sf)
+    assert dict(map(tuple, E.infer_service(e.where("event_type = 'error'"), e).collect())) == want("error")
