@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 from talus.operators import events as E
-from talus.plans import events, texts
+from talus.plans import events, graph, texts
 
 
 def test_shingle_jaccard_among_queries(spark, tmp_path):
@@ -32,3 +32,12 @@ def test_service_inference_of_all_views(spark):
     assert len(got) > 0 and dict(map(tuple, got)) == want("view") and len(got) == len(want("view"))
     e = events.events(spark, sf)
     assert dict(map(tuple, E.infer_service(e.where("event_type = 'error'"), e).collect())) == want("error")
+
+
+def test_communities_of_parts(spark, tmp_path):
+    """Parts that two orders share are one community; a pair of a single order is no edge."""
+    rows = [(1, 1), (1, 2), (2, 1), (2, 2), (2, 2), (3, 3), (3, 4), (4, 3), (4, 4), (5, 1), (5, 9)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["id"]: r["label"] for r in graph.communities(spark, str(tmp_path)).collect()}
+    assert set(got) == {"part:1", "part:2", "part:3", "part:4"}
+    assert got["part:1"] == got["part:2"] != got["part:3"] == got["part:4"]
