@@ -12,8 +12,7 @@ machine so far. A text's score is a logistic function of its best unit.
 
 A worker scores each distinct unit once (bounded cache). Kernels are only computed
 for pairs whose longest common subsequence, found bit-parallel, has ORDER
-characters and 0.6 of the landmark's; others count as zero (exactly so below
-ORDER). A unit that meets no landmark of positive weight cannot pass FLOOR and
+characters; all others are exactly zero. A unit that meets no landmark of positive weight cannot pass FLOOR and
 needs no kernel at all.
 
 Training reads at most ``SAMPLE`` labelled texts a class (by hash order of
@@ -100,18 +99,17 @@ class Landmarks:
             for k, c in enumerate(x):
                 self.masks[1 + int(np.searchsorted(self.alphabet, ord(c))), j] |= np.uint32(1 << k)
         self.full = np.array([(1 << len(x)) - 1 for x in items], np.uint32)
-        self.need = np.array([max(ORDER, -(-6 * len(x) // 10)) for x in items])
         self.wanted = np.ones(len(items), bool)  # of these a unit must meet one
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, landmark) indices with a long enough common subsequence."""
+        """(unit, landmark) indices with a common subsequence of ORDER characters."""
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
         at = np.where(self.alphabet[at] == codes, at + 1, 0)
         rest = np.full((len(codes), len(self.items)), 0xFFFFFFFF, np.uint32)
         for t in range(codes.shape[1]):
             hit = rest & self.masks[at[:, t]]
             rest = (rest + hit) | (rest & ~hit)
-        met = np.bitwise_count(~rest & self.full) >= self.need
+        met = np.bitwise_count(~rest & self.full) >= ORDER
         return np.nonzero(met & (met & self.wanted).any(axis=1)[:, None])
 
     def similar(self, units: list[str], sink, chunk: int = 2048) -> None:
