@@ -10,20 +10,26 @@ training is multi-instance: of a toxic text, the sentences' best units are the w
 of a clean text every unit is an example, and witnesses are chosen again by the
 machine so far. A text's score is a logistic function of its best unit.
 
-A worker scores each distinct unit once (bounded cache). Kernels are only computed
-for pairs whose longest common subsequence, found bit-parallel, has ORDER
-characters; all others are exactly zero. A unit that meets no landmark of positive weight cannot pass FLOOR and
-needs no kernel at all.
-
-Training reads at most ``SAMPLE`` labelled texts a class (by hash order of
-doc_id); scoring reads every whole text. Defined cases: a null text counts as
-empty; a text without units gets the score of the lowest unit; without labels of both classes
-every score is the smoothed share of label 1; a null doc_id is not held out;
-repeated rows stay; other columns pass through ``scored`` untouched.
+A worker scores each distinct unit once (cache bounded in characters). Kernels are
+only computed for pairs whose longest common subsequence, found bit-parallel, has
+ORDER characters; all others are exactly zero. A unit that meets no landmark of positive
+weight cannot pass FLOOR and needs no kernel at all.
+
+Training reads at most ``SAMPLE`` labelled texts a class (by hash order of doc_id), in one
+executor task that hands back the landmarks and their weights only; scoring reads every
+whole text. Defined cases: a null text counts as empty; a text without units gets the
+score of the lowest unit, and so does every text of an empty vocabulary; an empty table
+gives an empty result; without labels of both classes every score is the smoothed share of
+label 1; a doc_id labelled both ways counts as toxic; of rows that repeat a doc_id one text,
+the least, is learned from; ties between landmarks go by code point; a null doc_id is not held
+out and not learned from; repeated rows stay; very long texts are read whole, words of over
+LONGEST characters in overlapping windows; other columns pass through ``scored`` untouched.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -172,13 +178,12 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Machine:
     """Trained on (units of a text, label) pairs; scores texts."""
 
-    FLOOR, CACHE = -0.5, 1 << 20
+    FLOOR, CACHE = -0.5, 1 << 21  # characters of cached units: some tens of megabytes a worker
 
     def __init__(self, texts: list[tuple[set[str], int]], landmarks: int = 32):
         y = np.array([t for _, t in texts])
         self.flat = (y.sum() + 1) / (len(y) + 2) if len(set(y.tolist())) < 2 else None
-        self.cold: set[str] = set()
-        self.hot: dict[str, float] = {}
+        self.forget()
         if self.flat is not None:
             return
         texts = list({frozenset(u): (u, t) for u, t in sorted(texts, key=lambda x: x[1])}.values())  # copies teach nothing new
@@ -234,13 +239,24 @@ class Machine:
             rank, least = x1 @ slope + self.shift, 0.0
         self.beta = whiten @ slope
         self.landmarks.wanted = self.beta > 0
+        self.CACHE = math.inf  # all training texts at once
+        self._learn(set().union(*(u for u, _ in texts)))
         best = np.array([self.best(u) for u, _ in texts])
+        del self.CACHE
         self.a, self.c = logistic(best, y)
+        self.forget()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.cold) + len(self.hot) > self.CACHE:
-            self.cold.clear()
-            self.hot.clear()
+    def forget(self) -> None:
+        self.cold: set[str] = set()
+        self.hot: dict[str, float] = {}
+        self.held = 0
+
+    def _learn(self, units: set[str]) -> None:
+        """Puts the units of a block of texts into the cache, which is emptied only here."""
+        if self.held > self.CACHE:
+            self.forget()
+        words = [u for u in units - self.cold if u not in self.hot]
+        self.held += sum(map(len, words))
         parts, owner = [], []
         for k, w in enumerate(words):
             for p in pieces(w):
@@ -261,10 +277,7 @@ class Machine:
                 self.cold.add(w)
 
     def best(self, units: set[str]) -> float:
-        """The largest unit value of a text, not below FLOOR."""
-        new = [u for u in units - self.cold if u not in self.hot]
-        if new:
-            self._learn(new)
+        """The largest value of a text's units, all of them learned, not below FLOOR."""
         return max((self.hot[u] for u in units - self.cold), default=self.FLOOR)
 
     def scores(self, texts: list[str], block: int = 1 << 20) -> list[float]:
@@ -277,31 +290,31 @@ class Machine:
                 units.append(words_of(texts[k]))
                 room -= len(texts[k]) + 1
                 k += 1
-            new = [u for u in set().union(*units) - self.cold if u not in self.hot]
-            if new:
-                self._learn(new)  # one call for the block
+            self._learn(set().union(*units))
             best += [self.best(u) for u in units]
         return (1 / (1 + np.exp(-np.clip(self.a * np.array(best) + self.c, -500, 500)))).tolist()
 
     def __getstate__(self):
-        return self.__dict__ | {"cold": set(), "hot": {}}
+        return self.__dict__ | {"cold": set(), "hot": {}, "held": 0}
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, rest: int = 0, sample: int = SAMPLE) -> Machine:
-    """A machine from at most ``sample`` labelled texts of each class."""
+    """A machine from at most ``sample`` labelled texts of each class, fitted by one
+    executor task; the driver gets the finished machine (at most 48 landmarks) alone."""
     key = F.col("doc_id")
     marks = labels.where(F.col(label).isin(0, 1)).where(~(F.crc32(key.cast("string")) % folds == rest)).select("doc_id", F.col(label).cast("int").alias("t")).distinct()
     picked = [marks.where(F.col("t") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for p in picked for r in p.collect()], "doc_id long, t int")  # at most 2 * sample rows
+    chosen = picked[0].unionByName(picked[1])  # at most 2 * sample rows, so small enough to send out
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "t").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({"t": rows["t"], "units": [[w for w in words_of(t or "") if len(w) >= ORDER] for t in rows["text"]]})
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool: dict[str, str] = {}  # one string a unit, however many texts hold it
+        got = [({pool.setdefault(w, w) for w in words_of(text or "") if len(w) >= ORDER}, t) for part in batches for text, t in zip(part["text"], part["t"], strict=True)]
+        yield pd.DataFrame({"machine": [pickle.dumps(Machine(got))]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "t")
-    pool: dict[str, str] = {}  # one string a unit, and one partition at a time on the driver
-    got = rows.mapInPandas(run, "t int, units array<string>").toLocalIterator()
-    return Machine([({pool.setdefault(u, u) for u in r["units"]}, r["t"]) for r in got])
+    made = rows.select("text", "t").mapInPandas(fit, "machine binary").collect()  # one row at most
+    return pickle.loads(made[0]["machine"]) if made else Machine([])
 
 
 def scored(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
