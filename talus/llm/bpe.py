@@ -8,7 +8,9 @@ a block of texts, behind a bounded cache in each worker.
 
 The vocabulary is read on the driver and broadcast; its size is that of the file
 (50 thousand entries here), whatever the corpus. Defined cases: null encodes as the
-empty text, the empty text has no ids; texts are never cut; repeated rows stay.
+empty text, the empty text has no ids; very long texts are never cut; a null doc_id and
+repeated rows stay; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ texts themselves never move, only their recipes do.
 Defined cases: a null text counts as empty, the empty text has an empty recipe
 and empties equal each other; rows whose doc_id is null or repeated stay rows of
 their own, ``keep_id`` is the largest non-null doc_id of the group and every row
-carrying it has ``kept`` true (null doc_id: false unless the whole group is
-null); an empty table gives an empty result; other columns are ignored.
+carrying it has ``kept`` true (null doc_id: false unless the whole group is null); very long
+texts are many chunks; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.llm.scratch import Scratch, join_hot
+from talus.llm.scratch import Scratch, fresh, join_hot
 
 WINDOW = 32
 GEAR = np.random.default_rng(9).integers(0, 2**32, 256, dtype=np.uint32)
@@ -146,6 +146,14 @@ def exact_groups(scratch: Scratch, docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_copies(scratch: Scratch, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay; of repeated rows with one doc_id, all."""
-    kept = exact_groups(scratch, docs, **options).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of ``docs`` that stay, one of each group; where rows that repeat a doc_id hold
+    the text that stays, one of them."""
+    sha, many = fresh(docs, "sha", "many")
+    rows = exact_groups(scratch, docs, **options).where("kept")
+    kept = scratch.save(rows.groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).agg((F.count("*") > 1).alias(many)))
+    mine = docs.withColumn(sha, F.sha2(F.expr("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"), 256))
+    out = mine.join(kept, mine.doc_id.eqNullSafe(kept["_keep"]) & (mine[sha] == kept["_sha"]))
+    once = out.where(~F.col(many)).select(*docs.columns)
+    if not kept.where(many).limit(1).count():
+        return once
+    return once.unionByName(out.where(many).dropDuplicates(["doc_id", sha]).select(*docs.columns))

@@ -10,8 +10,10 @@ tempered log-density difference from the Mahalanobis distances.
 
 Defined cases: a null text counts as empty and gets a finite score like any
 other; without labels of both classes the score is the smoothed share of label
-1; labels other than 0 and 1 or null are not used; a null doc_id is not
-held out and never trained on; repeated rows stay; other columns are ignored.
+1; labels other than 0 and 1 or null are not used, a label that is repeated counts once and a
+doc_id labelled both ways for both classes; a null doc_id is not held out and never trained
+on; an empty table gives an empty result; very long texts are read whole, their statistics
+counted byte by byte; repeated rows and ties stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,7 +134,7 @@ def held_out(key: Column, folds: int, rest: int) -> Column:
 def classify(scratch: Scratch, docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, rest: int = 1) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
     rows = scratch.save(described(docs))
-    marks = labels.where(F.col(label).isin(0, 1)).where(~(F.crc32(F.col("doc_id").cast("string")) % folds == rest)).select("doc_id", F.col(label).cast("int").alias("label"))
+    marks = labels.where(F.col(label).isin(0, 1)).where(~(F.crc32(F.col("doc_id").cast("string")) % folds == rest)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     model = Discriminant(moments(rows.join(marks, "doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,11 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes a batch that workers get, where the session has not set its own: texts may be long.
+BATCH = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where it is
-    unset (tests on one machine) a temporary folder is set once."""
+    """The folder that the session names in spark.checkpoint.dir; where it is unset a
+    temporary folder is set once, on one machine only (tests): a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="talus-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -29,6 +35,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        for name, usual, small in BATCH:
+            if spark.conf.get(name, usual) == usual:
+                spark.conf.set(name, small)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -50,6 +59,18 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ranked(scratch: Scratch, df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """Adds the 0-based global rank by ``order`` (total order expected) without
     a single-task sort: rows are dealt by range and saved, counted per partition,
@@ -76,6 +97,14 @@ def join_hot(facts: DataFrame, dims: DataFrame, key: str, spread: Column, salts:
     return salted.join(spots, [key, "_salt"]).drop("_salt")
 
 
+def one_text(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with one row a doc_id: of several texts the least one stands. Only a
+    table that repeats a doc_id is grouped and written."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs
+    return scratch.save(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), where the
     component is its smallest id. Alternates large-star and small-star steps

@@ -3,9 +3,10 @@
 Base rules find spans in every whole text. A further rule proposes opaque tokens
 (long, with upper case, lower case and digits), which alone would flag far too
 much; the corpus decides: each candidate's hash is counted over distinct repositories
-and distinct owners, and an opaque token stays only where a single owner has
-it. The same counts divide the base spans into live-looking ones (one owner) and
-copied ones (examples that many owners repeat). Base spans always stay.
+and distinct owners, and an opaque token stays only where a single owner has it, in no
+more than ``repositories_at_most`` of its repositories: what an owner spreads over more is
+a placeholder. The same counts divide the base spans into live-looking ones and copied
+ones (examples that many owners or repositories repeat). Base spans always stay.
 
 Positions: a pattern's leftmost non-overlapping matches and the pieces between
 them alternate, so running lengths of ``split`` and ``regexp_extract_all`` give
@@ -13,8 +14,8 @@ start and end in code points.
 
 By default a document's ``source`` is the owner and the document the repository.
 Defined cases: a null text counts as empty and has no spans; a null owner is an
-owner of its own; rows that repeat a doc_id are rows of their own (and one
-repository); an empty table gives an empty result; other columns are ignored.
+owner of its own; rows that repeat a doc_id are rows of their own (and one repository); very
+long texts are read whole; spans that start together go in the order of the rules; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), one), ",")
 
 
-def scan(scratch: Scratch, docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners_at_most: int = 1) -> DataFrame:
+def scan(scratch: Scratch, docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners_at_most: int = 1, repositories_at_most: int = 8) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256,
     spans, n_live and n_copied (base spans by ownership), n_opaque (spans added)."""
     text = F.coalesce("text", F.lit(""))
@@ -74,7 +75,7 @@ def scan(scratch: Scratch, docs: DataFrame, owner: str = "source", repository: s
     each = scratch.save(each.select("uid", "owner", "repo", "s", F.sha2("s.value", 256).alias("h")))
     held = each.select("h", "owner", "repo").distinct().groupBy("h", "owner").agg(F.count("*").alias("n"))
     often = held.groupBy("h").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    judged = join_hot(each, often, "h", F.col("uid")).withColumn("live", F.col("owners") <= owners_at_most)
+    judged = join_hot(each, often, "h", F.col("uid")).withColumn("live", (F.col("owners") <= owners_at_most) & (F.col("repositories") <= repositories_at_most))
     added = F.when((F.col("s.ord") >= BASE) & F.col("live"), F.col("s"))
     count = lambda c: F.sum(F.when((F.col("s.ord") < BASE) & c, 1).otherwise(0)).cast("long")
     by_row = judged.groupBy("uid").agg(F.collect_list(added).alias("added"), count(F.col("live")).alias("n_live"), count(~F.col("live")).alias("n_copied"))

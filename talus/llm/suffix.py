@@ -1,18 +1,23 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-Suffixes are
-classified as smaller or larger than their successors, the leftmost-smaller ones are
-sorted by their substrings (recursively on the string of their names), and all others are
-induced from them. Whole buckets are induced at once with numpy; the string of names is
-sorted by renaming ever longer stretches of it.
+Suffixes are classified as smaller or larger than their successors, the leftmost-smaller
+ones are sorted by their substrings, and all others are induced from them. Equal substrings
+get one name, and the string of names is sorted by the same procedure, recursively. Whole
+buckets are induced at once with numpy; names go into the recursion as digits of a small
+alphabet, so that buckets stay few and large.
+
+Common prefixes are computed in text order: where the symbols before a suffix and before its
+predecessor agree, the prefix is one shorter than that of the suffix before, so only
+the others (irreducible ones) are compared, several symbols at a time.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-from talus.llm.bpe import ODD, mix64
-from talus.llm.shingles import powers
+DIGITS = 512  # names go in as they are up to this many, else as two digits
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -86,13 +91,12 @@ def _within(c: np.ndarray, symbols: int) -> np.ndarray:
     return np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
 
 
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of small unsigned symbols whose last is the unique least. With
-    ``depth``, suffixes that agree in their first ``depth`` symbols may stand in any order."""
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of small unsigned symbols whose last is the unique least."""
     if len(s) < 3:
         return np.arange(len(s))[::-1]
-    s = s.astype(np.int16)
     symbols = int(s.max()) + 1
+    s = s.astype(np.int16 if symbols < 1 << 15 else np.int64)
     small = classify(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
@@ -100,63 +104,62 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
         is_lms = np.zeros(len(s), bool)
         is_lms[lms] = True
         by_substring = first[is_lms[first]]
-        name = _names(s, lms, by_substring)
-        if name.max() + 1 == len(lms):
-            lms = by_substring
-        else:
-            lms = lms[sort_names(name, depth)]
+        name = names(s, lms, by_substring)
+        lms = by_substring if name.max() + 1 == len(lms) else lms[sort_names(name, len(s))]
     return induce(s, small, lms, symbols)
 
 
-def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Ranks of the leftmost-smaller substrings, equal ones alike, in text order."""
-    up, down = powers(len(s) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s.astype(np.uint64) + np.uint64(1)) * up[: len(s)], dtype=np.uint64)])
-    stop = np.append(lms[1:], lms[-1]) + 1
-    value = mix64((sums[stop] - sums[lms]) * down[lms] + (stop - lms).astype(np.uint64) * np.uint64(ODD))
+def names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Ranks of the leftmost-smaller substrings, equal ones alike, in text order. A substring
+    reaches to the next one's first symbol; neighbours in the order are compared symbol by symbol."""
     at = np.searchsorted(lms, ordered)
-    new = np.concatenate([[0], np.cumsum(value[at[1:]] != value[at[:-1]])])
+    stop = np.append(lms[1:], lms[-1]) + 1
+    length = (stop - lms)[at]
+    same = length[1:] == length[:-1]
+    size = length[1:][same]
+    if len(size):
+        start = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(start, size)
+        equal = s[np.repeat(ordered[1:][same], size) + within] == s[np.repeat(ordered[:-1][same], size) + within]
+        same[same] = np.logical_and.reduceat(equal, start)
     out = np.empty(len(lms), np.int64)
-    out[at] = new
+    out[at] = np.concatenate([[0], np.cumsum(~same)])
     return out
 
 
-def sort_names(name: np.ndarray, depth: int | None) -> np.ndarray:
-    """Order of the suffixes of a string of names (its last the unique least).
-    Neighbouring names are renamed as one, recursively for twice as many each time,
-    until all differ, or until every name stands for ``depth`` symbols at least."""
-    span = 1
-    while name.max() + 1 < len(name) and (depth is None or span < depth):
-        after = np.zeros(len(name), np.int64)
-        after[:-span] = name[span:] + 1
-        both = name * (int(name.max()) + 2) + after
-        order = np.argsort(both, kind="stable")
-        name = np.empty(len(both), np.int64)
-        name[order] = np.concatenate([[0], np.cumsum(np.diff(both[order]) != 0)])
-        span *= 2
-    return np.argsort(name, kind="stable")
-
-
-def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(before, length): for each suffix, in text order, its predecessor in the
-    array (-1 for the first) and the length of their common prefix up to ``cap``,
-    by halving steps over prefix hashes; with ``whole``, lengths under ``cap`` are 0."""
+def sort_names(name: np.ndarray, longest: int) -> np.ndarray:
+    """Order of the suffixes of a string of names (its last the unique least), by induced
+    sorting again. Many names become two digits each, which keep their order; where that
+    would not shorten the string (``longest`` symbols), they go in as they are."""
+    top = int(name.max()) + 1
+    if top <= DIGITS or 2 * len(name) + 1 > 0.9 * longest:
+        return suffix_array(name)
+    base = math.isqrt(top - 1) + 1
+    digits = np.zeros(2 * len(name) + 1, np.int64)
+    digits[:-1:2], digits[1::2] = name // base + 1, name % base + 1
+    order = suffix_array(digits)
+    return order[(order % 2 == 0) & (order < 2 * len(name))] // 2
+
+
+def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(before, length): for each suffix, in text order, its predecessor in the array
+    (-1 for the first) and the length of their common prefix, exact up to ``cap`` and at
+    least ``cap`` where it is longer. Symbols are under 2**16."""
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    up, down = powers(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-    i = np.flatnonzero(before >= 0)
-    j = before[i]
-    got = np.zeros(len(i), np.int64)
-    step = cap if whole else 1 << max(cap.bit_length() - 1, 0)
-    while step:
-        a, b = i + got, j + got
-        ok = (got + step <= cap) & (np.maximum(a, b) + step <= n)
-        x, y = a[ok], b[ok]
-        same = (sums[x + step] - sums[x]) * down[x] == (sums[y + step] - sums[y]) * down[y]
-        got[np.flatnonzero(ok)[same]] += step
-        step = 0 if whole else step // 2
-    length = np.zeros(n, np.int64)
-    length[i] = got
-    return before, length
+    reducible = np.zeros(n, bool)
+    reducible[1:] = (before[1:] > 0) & (s[:-1] == s[before[1:] - 1])
+    start = np.flatnonzero(~reducible)
+    most = np.append(start[1:], n) - start + cap  # what the suffixes that follow from it need
+    word = np.zeros(n + 3, np.uint64)
+    for k in range(4):
+        word[: max(n - k, 0)] |= s[k:].astype(np.uint64) << np.uint64(16 * k)
+    got = np.zeros(len(start), np.int64)
+    left = np.flatnonzero(before[start] >= 0)
+    while len(left):
+        differ = word[start[left] + got[left]] ^ word[before[start[left]] + got[left]]
+        got[left] += np.where(differ == 0, 4, np.where(differ & np.uint64(0xFFFF), 0, np.where(differ & np.uint64(0xFFFF0000), 1, np.where(differ & np.uint64(0xFFFF00000000), 2, 3))))
+        left = left[(differ == 0) & (got[left] < most[left])]
+    which = np.cumsum(~reducible) - 1
+    return before, np.maximum(got[which] - (np.arange(n) - start[which]), 0)

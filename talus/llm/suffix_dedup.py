@@ -1,26 +1,24 @@
 """Suffix-array dedup: removes bytes of strings of ``width`` bytes that recur.
 
-Screen. Every window of ``width`` bytes has one anchor: of its GRAM-byte strings the
-one with the least hash, leftmost among equals. Equal windows have equal anchors at
-equal places, so windows are only compared under their anchor. The windows of one
-anchor occurrence form a segment. Of anchors that occur once nothing recurs; where a
-whole segment occurs twice, all its windows recur.
-
-Suffix arrays. What is left, different segments under one anchor, is dealt to shards by
-anchor. A shard's text is sorted by induced sorting (``suffix.suffix_array``), and
-permuted common prefixes of at least ``width`` between neighbours name the windows
-that recur. An anchor with more than HOT different segments (a common passage
-in changing surroundings) would outgrow a shard; its windows are split
-further and compared by window hash, one small entry a window.
-
-Equality rests on 64-bit hashes of anchors, segments and windows and on hashed
-prefixes. Workers first fold what repeats in their own flush, so a hot key sends one
-entry a flush.
-
-Defined cases: null and empty texts have no bytes; windows never cross texts; a
-text shorter than ``width`` loses nothing; rows that repeat (doc_id, text) count
-as occurrences of their own and all lose their bytes; an empty table gives an
-empty result; other columns are ignored.
+Dealing. Every window of ``width`` bytes has one anchor: of its GRAM-byte strings the one with
+the least hash, leftmost among equals. Equal windows have equal anchors at equal
+places, so windows need to be compared under their anchor only. The windows of one anchor
+occurrence form a segment. Anchors that occur once are done; hashes decide nothing else.
+
+Suffix arrays. The segments of an anchor that occurs again are dealt to shards by anchor; equal
+ones travel once, with all their places. A shard's text (every different segment, twice
+where it occurs more often) is sorted by induced sorting (``suffix.suffix_array``), and permuted
+common prefixes of at least ``width`` between neighbours name the windows that recur.
+A worker settles beforehand, byte by byte, segments that repeat in its own flush.
+
+An anchor with more than HOT different segments (a common passage in changing surroundings) would
+outgrow a shard; its segments are cut finer, to single windows, which are compared by 128
+bits of two hashes, one of them cryptographic, one small entry a window.
+
+Defined cases: null and empty texts have no bytes; windows never cross texts; a text shorter
+than ``width`` loses nothing; very long texts are read whole, in overlapping pieces; rows
+that repeat (doc_id, text) count as occurrences of their own and all lose their bytes, as do
+rows with a null doc_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,18 +34,37 @@ from pyspark.sql import functions as F
 
 from talus.llm.bpe import ODD, TABLE, mix64
 from talus.llm.scratch import Scratch
-from talus.llm.shingles import blocks, powers
+from talus.llm.shingles import powers
 from talus.llm.suffix import common_prefixes, suffix_array
 
 GRAM, HOT = 64, 512
-FLUSH = 1 << 13  # entries that a worker folds at a time; keeps packed rows short
-ASK = "bucket int, key binary, sub binary, n binary, row binary, a binary, b binary, at binary"
-NAMES = ("key", "sub", "n", "row", "a", "b", "at")
+PIECE = 1 << 18  # bytes that a worker hashes at a time
+FLUSH = 1 << 13  # entries that it folds at a time; keeps packed rows short
+HELD = 1 << 22  # bytes of segments that it folds at a time
+ASK = "bucket int, key binary, sub binary, n binary, row binary, a binary, b binary"
+NAMES = ("key", "sub", "n", "row", "a", "b")
+TYPES = ("<u8", "<u8", "<i8", "<i8", "<i8", "<i8")
+
+
+def pieces(rows: list[int], texts: list[str | None], width: int, room: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (row, place, bytes) of about ``room`` bytes together; of longer texts pieces
+    that share ``width`` - 1 bytes, so that each window lies in one."""
+    held, size = [], 0
+    for row, text in zip(rows, texts, strict=True):
+        data = (text or "").encode("utf-8", "surrogatepass")
+        for at in range(0, max(len(data) - width + 1, 0), room):
+            held.append((row, at, data[at : at + room + width - 1]))
+            size += len(held[-1][2])
+            if size >= room:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def anchors(raw: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, segment hash, first window, last window, anchor place),
-    places counted within the text."""
+    """(text, anchor hash, segment hash, first window, last window, anchor place) of pieces
+    of texts, places counted within the piece. Hashes only bring together what may be equal."""
     lens = np.array([len(r) for r in raw])
     data = np.frombuffer(b"".join(raw), np.uint8)
     n = len(data)
@@ -80,53 +97,64 @@ def anchors(raw: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return owner, key, segment, first - base, last - base, at - base
 
 
-def fold(parts: list[tuple[np.ndarray, ...]], buckets: int) -> tuple[tuple | None, list[pa.Array]]:
-    """Of entries (key, sub, row, a, b, at): what repeats among them already, as
-    (row, a, b), and one entry for each (key, sub), packed by bucket."""
-    key, sub, row, a, b, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+def fold(parts: list[tuple[np.ndarray, ...]], same=None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of entries (key, sub, n, row, a, b, ...): what repeats among them already, as (row, a,
+    b), and one entry for each (key, sub). ``same`` tells of two entries whether their bytes
+    are equal, too; those that are not stay entries of their own."""
+    key, sub, n, row, a, b, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
     turn = np.lexsort((sub, key))
-    key, sub, row, a, b, at = (x[turn] for x in (key, sub, row, a, b, at))
-    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])]))
-    n = np.diff(np.append(start, len(key)))
-    twice = np.repeat(n > 1, n)
-    done = (row[twice], a[twice], b[twice]) if twice.any() else None
-    one = [key[start], sub[start], n, *(x[start] for x in (row, a, b, at))]
-    bucket = ((one[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))  # keys, so buckets too, are in order
-    full = np.flatnonzero(cut[1:] > cut[:-1])
-    types = ("<u8", "<u8", "<i8", "<i8", "<i8", "<i8", "<i8")
-    cols = [pa.array([x[cut[k] : cut[k + 1]].astype(t).tobytes() for k in full], pa.binary()) for x, t in zip(one, types, strict=True)]
-    return done, [pa.array(full, pa.int32()), *cols]
-
-
-def emit(parts: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the scan: settled stretches (row, a, b packed; bucket null) and asks."""
-    done, cols = fold(parts, buckets)
+    key, sub, n, row, a, b = (x[turn] for x in (key, sub, n, row, a, b))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    if same is not None:
+        rest = [x[turn] for x in rest]
+        for k in np.flatnonzero(~new):
+            if not same(*(x[lead[k]] for x in rest), *(x[k] for x in rest)):
+                lead[k] = k
+    total = np.bincount(lead, weights=n, minlength=len(key)).astype(np.int64)
+    twice = total[lead] > 1
+    one = np.flatnonzero(lead == np.arange(len(key)))
+    return [row[twice], a[twice], b[twice]], [key[one], sub[one], total[one], row[one], a[one], b[one]]
+
+
+def emit(done: list[np.ndarray], one: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a scan: settled stretches (row, a, b packed; bucket null) and entries packed by bucket."""
     names = ["bucket", *NAMES]
-    if done is not None:
+    if len(done[0]):
         null = pa.nulls(1, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), null, null, null, *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in done), null], names)
-    for s in range(0, len(cols[0]), 64):
-        yield pa.RecordBatch.from_arrays([c.slice(s, 64) for c in cols], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), null, null, null, *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in done)], names)
+    bucket = ((one[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))  # keys, so buckets too, are in order
+    stop = np.append(start[1:], len(bucket))
+    for s in range(0, len(start), 64):
+        part = list(zip(start[s : s + 64], stop[s : s + 64], strict=True))
+        cols = [pa.array([x[i:j].astype(t).tobytes() for i, j in part], pa.binary()) for x, t in zip(one, TYPES, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[start[s : s + 64]], pa.int32()), *cols], names)
 
 
 def scan(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """The anchors of all texts, folded and packed; docs has (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, texts, held = [], [], 0
+
+        def same(p: int, x: int, y: int, q: int, u: int, v: int) -> bool:
+            return texts[p][x:y] == texts[q][u:v]
+
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for s, e in blocks(texts, 1 << 18):
-                owner, key, sub, first, last, at = anchors([(t or "").encode("utf-8", "surrogatepass") for t in texts[s:e]], width)
-                if len(owner):
-                    parts.append((key, sub, ids[s:e][owner], first, last + width, at))
-                    held += len(owner)
+            for held_pieces in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), width, PIECE):
+                owner, key, sub, first, last, _ = anchors([x[2] for x in held_pieces], width)
+                if not len(owner):
+                    continue
+                row, place = (np.array([x[c] for x in held_pieces], np.int64)[owner] for c in (0, 1))
+                parts.append((key, sub, np.ones(len(key), np.int64), row, place + first, place + last + width, owner + len(texts), first, last + width))
+                texts += [x[2] for x in held_pieces]
+                held += len(owner)
                 if held > FLUSH:
-                    yield from emit(parts, buckets)
-                    parts, held = [], 0
+                    yield from emit(*fold(parts, same), buckets)
+                    parts, texts, held = [], [], 0
         if parts:
-            yield from emit(parts, buckets)
+            yield from emit(*fold(parts, same), buckets)
 
     return docs.select("row", "text").mapInArrow(run, ASK)
 
@@ -142,24 +170,22 @@ def settled(asks: DataFrame) -> DataFrame:
     return asks.where("bucket is null").select("row", "a", "b").mapInArrow(run, "row long, a long, b long")
 
 
-def find(asks: DataFrame) -> DataFrame:
-    """Rows (row, a, b, at, key, segments, single) of the entries whose key occurs
-    twice: ``segments`` different subs under the key; single: this sub occurs once."""
+def find(asks: DataFrame, equal: bool = False) -> DataFrame:
+    """Rows (row, a, b, key, n, segments) of the entries whose key another entry has; with
+    ``equal``, of those whose sub is the same as well. segments: different subs under the key."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key, sub = (np.concatenate([np.frombuffer(x, "<u8") for x in rows[c]]) for c in ("key", "sub"))
-        n, row, a, b, at = (np.concatenate([np.frombuffer(x, "<i8") for x in rows[c]]) for c in ("n", "row", "a", "b", "at"))
+        key, sub, n, row, a, b = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in zip(NAMES, TYPES, strict=True))
         turn = np.lexsort((sub, key))
-        key, sub, n, row, a, b, at = (x[turn] for x in (key, sub, n, row, a, b, at))
+        key, sub, n, row, a, b = (x[turn] for x in (key, sub, n, row, a, b))
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         new_sub = new_key | np.concatenate([[True], sub[1:] != sub[:-1]])
         k, s = np.cumsum(new_key) - 1, np.cumsum(new_sub) - 1
         segments = np.bincount(k[new_sub])[k]
-        total = np.bincount(s, weights=n)[s]
-        keep = (segments > 1) | (total > 1)
-        return pd.DataFrame({"row": row[keep], "a": a[keep], "b": b[keep], "at": at[keep], "key": key[keep].view(np.int64), "segments": segments[keep], "single": total[keep] == 1, "lead": new_sub[keep]})
+        keep = (np.bincount(s)[s] if equal else np.bincount(k)[k]) > 1
+        return pd.DataFrame({"row": row[keep], "a": a[keep], "b": b[keep], "key": key[keep].view(np.int64), "n": n[keep], "segments": segments[keep]})
 
-    return asks.where("bucket is not null").groupBy("bucket").applyInPandas(run, "row long, a long, b long, at long, key long, segments long, single boolean, lead boolean")
+    return asks.where("bucket is not null").groupBy("bucket").applyInPandas(run, "row long, a long, b long, key long, n long, segments long")
 
 
 def recurring(segments: list[bytes], width: int) -> list[np.ndarray]:
@@ -171,7 +197,7 @@ def recurring(segments: list[bytes], width: int) -> list[np.ndarray]:
     full = np.ones(ends[-1] + 1, np.int16)  # 1 separates, 0 ends
     full[np.arange(len(s)) + np.repeat(np.arange(len(lens)), lens)] = s
     full[-1] = 0
-    before, length = common_prefixes(full, suffix_array(full, width), width, whole=True)
+    before, length = common_prefixes(full, suffix_array(full), width)
     long = np.flatnonzero(length >= width)
     hit = np.zeros(len(full), bool)
     hit[long] = hit[before[long]] = True
@@ -185,58 +211,95 @@ def stretches(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[cut], starts[np.append(cut[1:], len(starts)) - 1] + width
 
 
-def sort_shards(scratch: Scratch, docs: DataFrame, needs: DataFrame, width: int, shards: int) -> DataFrame:
-    """Rows (row, a, b): recurring stretches among different segments of an anchor."""
-    asked = needs.groupBy("row").agg(F.collect_list(F.struct("a", "b", "key", "single", "segments")).alias("wanted"))
-    both = docs.join(asked, "row").dropDuplicates(["row"]).select("row", "text", "wanted")
+PIECES = "shard int, rows binary, places binary, often boolean, data binary"
+
+
+def cut(docs: DataFrame, needs: DataFrame, shards: int) -> DataFrame:
+    """Rows of PIECES: the segments asked for, dealt by anchor (to shard -1 those of anchors
+    with over HOT different ones); equal ones of a flush are one row with all their places."""
+    asked = needs.groupBy("row").agg(F.collect_list(F.struct("a", "b", "key", (F.col("n") > 1).alias("often"), (F.col("segments") > HOT).alias("hot"))).alias("wanted"))
+    both = docs.join(asked, "row").select("row", "text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], list] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            which = list(held)
+            packed = [pa.array([np.array(held[k][c], "<i8").tobytes() for k in which], pa.binary()) for c in (0, 1)]
+            out = [pa.array([k[0] for k in which], pa.int32()), *packed, pa.array([held[k][2] for k in which], pa.bool_()), pa.array([k[1] for k in which], pa.binary())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, ["shard", "rows", "places", "often", "data"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                own = [w for w in wanted if w["segments"] <= HOT]
-                hot = [w for w in wanted if w["segments"] > HOT]
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([mixed_shard(w["key"], shards) for w in own], pa.int32()), pa.array([row] * len(own), pa.int64()), pa.array([w["a"] for w in own], pa.int64()), pa.array([w["single"] for w in own], pa.bool_()), pa.array([data[w["a"] : w["b"]] for w in own], pa.binary())], names)
-                for w in hot:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([row], pa.int64()), pa.array([w["a"]], pa.int64()), pa.array([w["single"]], pa.bool_()), pa.array([data[w["a"] : w["b"]]], pa.binary())], names)
+                for w in wanted:
+                    part = data[w["a"] : w["b"]]
+                    entry = held.setdefault((-1 if w["hot"] else mixed_shard(w["key"], shards), part), [[], [], False])
+                    entry[0].append(row)
+                    entry[1].append(w["a"])
+                    entry[2] |= w["often"]
+                    size += len(part) + 64
+                    if size > HELD:
+                        yield flush()
+                        size = 0
+        if held:
+            yield flush()
 
-    names = ["shard", "row", "a", "single", "data"]
-    pieces = scratch.save(both.mapInArrow(cut, "shard int, row long, a long, single boolean, data binary"))
+    return both.mapInArrow(run, PIECES)
+
+
+def by_array(cuts: DataFrame, width: int) -> DataFrame:
+    """Rows (row, a, b): recurring stretches of each shard's segments, by its suffix array."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [[], [], []]
-        for row, a, single, starts in zip(rows["row"], rows["a"], rows["single"], recurring(list(rows["data"]), width), strict=True):
-            if single and len(starts):  # a segment that occurs twice is covered whole already
-                lo, hi = stretches(starts + a, width)
-                out[0] += [row] * len(lo)
-                out[1] += lo.tolist()
-                out[2] += hi.tolist()
-        return pd.DataFrame({"row": out[0], "a": out[1], "b": out[2]}, dtype="int64")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[bytes, list] = {}
+        for data, where, at, often in zip(rows["data"], rows["rows"], rows["places"], rows["often"], strict=True):
+            entry = places.setdefault(data, [[], [], False])
+            entry[0].append(np.frombuffer(where, "<i8"))
+            entry[1].append(np.frombuffer(at, "<i8"))
+            entry[2] |= bool(often)
+        once = list(places)
+        again = [x for x in once if places[x][2] or sum(map(len, places[x][0])) > 1]
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for data, starts in zip(once, recurring(once + again, width), strict=False):
+            if len(starts):
+                lo, hi = stretches(starts, width)
+                where, at = np.concatenate(places[data][0]), np.concatenate(places[data][1])
+                out[0].append(np.repeat(where, len(lo)))
+                out[1].append((at[:, None] + lo).ravel())
+                out[2].append((at[:, None] + hi).ravel())
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("row", "a", "b"), out, strict=True)})
+
+    return cuts.where("shard >= 0").groupBy("shard").applyInPandas(run, "row long, a long, b long")
+
+
+def by_window(scratch: Scratch, cuts: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Rows (row, a, b): recurring windows of the segments of shard -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for row, a, single, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for where, at, often, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 s = np.frombuffer(data, np.uint8)
                 up, down = powers(len(s))
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[s] * up, dtype=np.uint64)])
                 key = mix64((sums[width:] - sums[:-width]) * down[: len(s) - width + 1])
-                at = a + np.arange(len(key))
-                rows = np.full(len(key), row)
-                for _ in range(1 if single else 2):  # a segment that stands for several counts twice
-                    parts.append((key, np.zeros(len(key), np.uint64), rows, at, at + width, at))
+                sub = np.array([int.from_bytes(hashlib.blake2b(data[k : k + width], digest_size=8).digest(), "little") for k in range(len(key))], np.uint64)
+                n = np.full(len(key), 2 if often else 1)
+                for row, a in zip(np.frombuffer(where, "<i8"), np.frombuffer(at, "<i8"), strict=True):
+                    place = a + np.arange(len(key))
+                    parts.append((key, sub, n, np.full(len(key), row), place, place + width))
                     held += len(key)
-            if held > FLUSH:
-                yield from emit(parts, shards)
-                parts, held = [], 0
+                    if held > FLUSH:
+                        yield from emit(*fold(parts), buckets)
+                        parts, held = [], 0
         if parts:
-            yield from emit(parts, shards)
+            yield from emit(*fold(parts), buckets)
 
-    by_array = pieces.where("shard >= 0").groupBy("shard").applyInPandas(run, "row long, a long, b long")
-    hot = scratch.save(pieces.where("shard < 0").select("row", "a", "single", "data").mapInArrow(windows, ASK))
-    by_window = settled(hot).unionByName(find(hot).select("row", "a", "b"))
-    return by_array.unionByName(by_window)
+    hot = scratch.save(cuts.where("shard < 0").select("rows", "places", "often", "data").mapInArrow(run, ASK))
+    return settled(hot).unionByName(find(hot, equal=True).select("row", "a", "b"))
 
 
 def mixed_shard(key: int, shards: int) -> int:
@@ -246,15 +309,17 @@ def mixed_shard(key: int, shards: int) -> int:
 def remove_recurring(scratch: Scratch, docs: DataFrame, width: int = 200) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and
     spans (the removed runs as pairs of byte places)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
+    docs = scratch.save(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    asks = scratch.save(scan(docs, width, parts * 2))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts * 2, min(size >> 24, 1 << 15))  # about 16 MB of text each
+    asks = scratch.save(scan(docs, width, buckets))
     found = scratch.save(find(asks))
-    cover = scratch.save(settled(asks).unionByName(found.where("not single").select("row", "a", "b")))
+    cover = scratch.save(settled(asks))
     scratch.drop(asks)
-    needs = found.where("segments > 1 and (single or lead)").select("row", "a", "b", "key", "single", "segments")
-    more = scratch.save(sort_shards(scratch, docs, needs, width, parts * 2))
+    cuts = scratch.save(cut(docs, found, max(parts * 2, min(found.count() >> 14, 1 << 30))))
+    more = scratch.save(by_array(cuts, width).unionByName(by_window(scratch, cuts, width, buckets)))
+    scratch.drop(cuts)
     scratch.sweep()
     spans = cover.unionByName(more).distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 

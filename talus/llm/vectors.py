@@ -2,8 +2,9 @@
 
 Unit vectors are rotated onto the principal axes of all rows, which keeps every
 cosine. Rows are ordered by (group, leading coordinates) and cut into blocks of at most
-``block`` rows, so a hot group fills many blocks. Two blocks of a group meet unless
-the boxes of their leading coordinates lie too far apart for the threshold.
+``block`` rows, so a hot group fills many blocks. Two blocks of a group meet where the
+boxes of their leading coordinates share a cell of a grid, unless they lie too far apart for
+the threshold. Rows are scaled and rotated once, when they are packed.
 Inside a tile the product is accumulated over leading dimensions first; after each
 step the product of the suffix norms bounds what can still come, and pairs that
 cannot reach the threshold stop there; a tile in which none can is left. A tile returns
@@ -19,6 +20,8 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -140,16 +143,22 @@ def near_duplicates(scratch: Scratch, vectors: DataFrame, least: float = 0.93, b
     boxes = order.groupBy("g", "dim", "block").agg(*(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)))
 
     def pack(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [k[0]], "dim": [k[1]], "block": [k[2]], "uids": [rows["uid"].to_numpy(np.int64).tobytes()], "data": [np.stack(rows["embedding"].to_numpy()).astype(np.float64).tobytes()]})
+        turned = unit(np.stack(rows["embedding"].to_numpy())) @ turn[k[1]]
+        return pd.DataFrame({"g": [k[0]], "dim": [k[1]], "block": [k[2]], "uids": [rows["uid"].to_numpy(np.int64).tobytes()], "data": [turned.tobytes()]})
 
     gtype = vectors.schema[group].dataType.simpleString()
     packed = order.select("uid", "g", "dim", "block").join(good.select("uid", "embedding"), "uid")
     packed = scratch.save(packed.groupBy("g", "dim", "block").applyInPandas(pack, f"g {gtype}, dim int, block long, uids binary, data binary"))
-    a, b = boxes.alias("a"), boxes.alias("b")
+    reach = float(np.sqrt(2 * (1 - least) + SLACK))  # linked rows are no farther apart
+    spots = lambda n, wide: F.explode(F.sequence(F.floor((F.col(f"min_{n}") - wide) / reach), F.floor((F.col(f"max_{n}") + wide) / reach))).alias(f"at_{n}")
+    boxes = scratch.save(boxes)
+    a = boxes.select("*", spots("c0", 0.0)).select("*", spots("c1", 0.0)).alias("a")  # cells of the leading two coordinates
+    b = boxes.select("*", spots("c0", reach)).select("*", spots("c1", reach)).alias("b")
     gaps = [F.greatest(F.lit(0.0), F.col(f"a.min_{n}") - F.col(f"b.max_{n}"), F.col(f"b.min_{n}") - F.col(f"a.max_{n}")) for n in names]
     near = sum((x * x for x in gaps), F.lit(0.0)) <= 2 * (1 - least) + SLACK
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.block") <= F.col("b.block")) & near)
-    pairs = pairs.select("a.g", "a.dim", F.col("a.block").alias("left"), F.col("b.block").alias("right"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("g", "dim", "at_c0", "at_c1")]
+    pairs = a.join(b, reduce(and_, [*same, F.col("a.block") <= F.col("b.block"), near]))
+    pairs = pairs.select("a.g", "a.dim", F.col("a.block").alias("left"), F.col("b.block").alias("right")).distinct()
     side = lambda s: packed.select("g", "dim", F.col("block").alias(s), F.col("uids").alias(f"{s}_uids"), F.col("data").alias(f"{s}_data"))
     tiles = pairs.join(side("left"), ["g", "dim", "left"]).join(side("right"), ["g", "dim", "right"])
 
@@ -158,8 +167,8 @@ def near_duplicates(scratch: Scratch, vectors: DataFrame, least: float = 0.93, b
         for r in rows.itertuples():
             ua, ub = np.frombuffer(r.left_uids, np.int64), np.frombuffer(r.right_uids, np.int64)
             same = r.left == r.right
-            x = unit(np.frombuffer(r.left_data).reshape(len(ua), r.dim)) @ turn[r.dim]
-            y = x if same else unit(np.frombuffer(r.right_data).reshape(len(ub), r.dim)) @ turn[r.dim]
+            x = np.frombuffer(r.left_data).reshape(len(ua), r.dim)
+            y = x if same else np.frombuffer(r.right_data).reshape(len(ub), r.dim)
             i, j = links(x, y, least, same)
             if not len(i):
                 continue

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from talus.llm import bpe, chaining, exact_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity, vectors
 from talus.llm.scratch import Scratch, components
 
@@ -100,11 +102,17 @@ def test_ngram(scratch, docs, rows, none, monkeypatch):
     assert ngram_join.keep_one(scratch, docs).columns == docs.columns
 
 
-@pytest.mark.parametrize(("hot", "flush"), [(512, 1 << 15), (1, 4)])
-def test_recurring_strings(scratch, docs, rows, none, monkeypatch, hot, flush):
-    """Both ways, by suffix array and by window, and many flushes, give the same."""
+@pytest.mark.parametrize(("hot", "flush", "piece", "clash"), [(512, 1 << 15, 1 << 18, False), (1, 4, 1 << 18, False), (512, 64, 150, False), (512, 1 << 15, 1 << 18, True)])
+def test_recurring_strings(scratch, docs, rows, none, monkeypatch, hot, flush, piece, clash):
+    """Both ways, by suffix array and by window, many flushes, texts in pieces and hashes
+    that clash all give the same."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    if clash:
+        honest = suffix_dedup.anchors
+        few = np.uint64(3)
+        monkeypatch.setattr(suffix_dedup, "anchors", lambda raw, width: (lambda t, key, sub, *rest: (t, key % few << np.uint64(61), sub % few, *rest))(*honest(raw, width)))
     got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_recurring(scratch, docs).collect()}
     data = [(d, (t or "").encode()) for d, t, *_ in rows]
     seen = Counter(b[k : k + 200] for _, b in data for k in range(len(b) - 199))
@@ -122,32 +130,67 @@ def test_recurring_strings(scratch, docs, rows, none, monkeypatch, hot, flush):
     assert suffix_dedup.remove_recurring(scratch, none).count() == 0
 
 
-def test_passages(scratch, docs, rows, none):
-    got = chaining.passages(scratch, docs).collect()
-    found = {r["doc_id"] for r in got} | {r["other_id"] for r in got}
-    assert {14, 15, 16} <= found and set(range(14)) <= found
-    assert not found & {17, 18, 19, 20, 21, 22, 23, 26, 27, 28, 29, 30, 31, 32, 33}
-    one = next(r for r in got if (r["doc_id"], r["other_id"]) == (15, 14))
-    assert (one["start_word"], one["end_word"], one["n_words"]) == (20, 80, 60)
+def shared(a, b, least_words=40, least_share=0.75):
+    """Brute force over seeds: whether chained equal runs of five words make a link."""
+    where = {}
+    for k in range(len(b) - 4):
+        where.setdefault(tuple(b[k : k + 5]), []).append(k)
+    met = {(i, j) for i in range(len(a) - 4) for j in where.get(tuple(a[i : i + 5]), ())}
+    runs = []
+    for i, j in sorted(met):
+        if (i - 1, j - 1) not in met:
+            n = 5
+            while (i + n - 4, j + n - 4) in met:
+                n += 1
+            runs.append((i, j, n))
+    for found in chaining.chain(runs, least_words / 4):
+        x = [a[max(0, found[0][0] - 20) : found[0][0]]] + [a[p[0] + p[2] : q[0]] for p, q in zip(found, found[1:], strict=False)] + [a[found[-1][0] + found[-1][2] :][:20]]
+        y = [b[max(0, found[0][1] - 20) : found[0][1]]] + [b[p[1] + p[2] : q[1]] for p, q in zip(found, found[1:], strict=False)] + [b[found[-1][1] + found[-1][2] :][:20]]
+        if list(chaining.aligned(x, y, *map(list, zip(*found, strict=True)), least_words, least_share)):
+            return True
+    return False
+
+
+def classes_of(got):
+    """doc_id -> its classes."""
+    out = {}
+    for r in got:
+        out.setdefault(r["doc_id"], set()).add((r["class_id"], r["class_start"]))
+    return out
+
+
+def test_passages(scratch, docs, rows, none, monkeypatch):
+    """Links equal those of all pairs by brute force; partitions, flushes and salts change nothing."""
+    texts_ = {d: WORD.findall((t or "").translate(LOWER)) for d, t, *_ in rows if d is not None}
+    want = {(a, b) for a in texts_ for b in texts_ if a > b and shared(texts_[a], texts_[b])}
+    monkeypatch.setattr(chaining, "FEW", 64)
+    assert {(r["doc_id"], r["other_id"]) for r in chaining.links(scratch, docs).collect()} == want
+    monkeypatch.undo()
+    first = sorted(map(tuple, chaining.passages(scratch, docs).collect()))
+    near = {d for p in want for d in p}
+    assert {r[0] for r in first} == near and {14, 15, 16} | set(range(14)) <= near
+    assert not near & {17, 18, 19, 20, 21, 22, 23, 26, 27, 28, 29, 30, 31, 32, 33}
+    by = {r[0]: r for r in first if r[0] in (14, 15, 16)}
+    assert by[15][1:5] == (20, 80, 14, 20) and by[14][5] == 3
+    monkeypatch.setattr(chaining, "FLUSH", 64)
+    assert sorted(map(tuple, chaining.passages(scratch, docs.repartition(16)).collect())) == first
+    monkeypatch.setattr(chaining, "HEAVY", 0)
+    monkeypatch.setattr(chaining, "SALTS", 3)
+    salted = chaining.passages(scratch, docs.coalesce(1)).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in salted} == {(r[0], r[3]) for r in first}
     assert chaining.passages(scratch, none).count() == 0
 
 
 def test_split_passages(spark, scratch):
     """Texts that hold the halves of a passage lead its seeds; the whole ones are still found."""
-    for draw in range(6):
+    for draw, n in enumerate((60, 75, 90)):
         rnd = random.Random(draw)
         some = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]  # noqa: E731, B023
-        n = (60, 75, 90)[draw % 3]
         p = some(n)
-        parts = {1: p[: n // 2], 2: p[n // 2 :], 3: p, 4: p}
+        parts = {1: p[: n // 2], 2: p[n // 2 :]} | dict.fromkeys(range(3, 25), p)
         rows = [(d, " ".join([*some(30), *w, *some(30)])) for d, w in parts.items()]
-        got = {(r["doc_id"], r["other_id"]) for r in chaining.passages(scratch, spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + draw % 2)).collect()}
-        assert (4, 3) in got
-        root = {d: d for d in parts}
-        for _ in parts:
-            for a, b in got:
-                root[a] = root[b] = min(root[a], root[b])
-        assert root == ({1: 1, 2: 1, 3: 1, 4: 1} if n == 90 else {1: 1, 2: 2, 3: 3, 4: 3})
+        got = classes_of(chaining.passages(scratch, spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + draw % 2)).collect())
+        assert got == {d: {(1 if n == 90 else 3, 30)} for d in parts if n == 90 or d > 2}
 
 
 def test_fuzzy_passages(spark, scratch):
@@ -159,11 +202,11 @@ def test_fuzzy_passages(spark, scratch):
         p, step = some(60), (6, 8, 10)[k % 3]
         q = [w if (j + 1) % step else "changed" for j, w in enumerate(p)]
         rows += [(2 * k, " ".join([*some(40), *p, *some(40)])), (2 * k + 1, " ".join([*some(30), *q, *some(30)]))]
-    got = {(r["doc_id"], r["other_id"]) for r in chaining.passages(scratch, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.links(scratch, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {(k + 1, k) for k in range(0, 120, 2)}
 
 
-def test_mixing(scratch, docs, rows, none):
+def test_mixing(scratch, docs, rows, none, monkeypatch):
     got = mixing.mix(scratch, docs, leaf_words=64, block_words=16).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
     size = Counter()
@@ -189,6 +232,12 @@ def test_mixing(scratch, docs, rows, none):
     assert all(abs(taken[s] - target[s]) <= 1 for s in size)
     again = mixing.mix(scratch, docs.repartition(7), leaf_words=64, block_words=16).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    monkeypatch.setattr(mixing, "TOPS", 4)  # subtrees in tasks of their own
+    deep = Counter()
+    for r in mixing.mix(scratch, docs, leaf_words=64, block_words=16).collect():
+        deep[source[r["doc_id"]]] += r["taken"]
+    assert deep == taken
+    monkeypatch.undo()
     assert mixing.mix(scratch, none).count() == 0
     texts_ = mixing.mixed_documents(scratch, docs, leaf_words=64, block_words=16)
     words = Counter()
@@ -198,6 +247,8 @@ def test_mixing(scratch, docs, rows, none):
     for r in got:
         want[r["doc_id"]] += r["taken"]
     assert texts_.columns == docs.columns and +words == +want
+    odd = docs.withColumns({c: F.lit(1) for c in ("uid", "shard", "turn", "passes", "size", "cuts")})
+    assert mixing.mixed_documents(scratch, odd, leaf_words=64, block_words=16).drop("uid", "shard", "turn", "passes", "size", "cuts").count() == texts_.count()
     blocks = mixing.mixed_blocks(scratch, docs, shards=4, leaf_words=64, block_words=16).groupBy("doc_id").sum("words").collect()
     assert {r[0]: r[1] for r in blocks} == dict(+want)
 

@@ -1,5 +1,7 @@
 """Parts of the operators against plain Python."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -29,9 +31,21 @@ def test_suffix_array():
         before, length = suffix.common_prefixes(s, np.array(want), 9)
         for i, j in zip(want[1:], want, strict=False):
             n = 0
-            while n < 9 and max(i, j) + n < len(s) and plain[i + n] == plain[j + n]:
+            while max(i, j) + n < len(s) and plain[i + n] == plain[j + n]:
                 n += 1
-            assert (before[i], length[i]) == (j, n)
+            assert before[i] == j and (length[i] == n if n < 9 else 9 <= length[i] <= n)
+
+
+def test_suffix_array_recurses(monkeypatch):
+    """Repetitive strings of many names, as digits and as they are."""
+    rng = np.random.default_rng(2)
+    for digits in (2, 8, 512):
+        monkeypatch.setattr(suffix, "DIGITS", digits)
+        for _ in range(60):
+            part = rng.integers(1, rng.integers(3, 200), rng.integers(1, 40))
+            s = np.concatenate([part, rng.integers(1, 200, rng.integers(0, 30)), part, np.tile(part[:7], 5), [0]])
+            plain = s.tolist()
+            assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: plain[i:])
 
 
 def test_recurring_windows():
@@ -78,6 +92,19 @@ def test_shingles():
     assert (sets[0] == sets[1]).all() and (sets[2] == sets[3]).all()
     h, bounds = shingles.word_hashes(["a b a", "b"])
     assert bounds.tolist() == [0, 3, 4] and h[0] == h[2] and h[1] == h[3] != h[0]
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("ab \t\n"), rng.integers(0, 300))) for _ in range(40)] + ["x" * 500, " " * 300, ""]
+    want, ends = shingles.word_hashes(texts)
+    assert np.diff(ends).tolist() == [len(t.split()) for t in texts]
+    for piece in (1, 70, 333):
+        got, same = shingles.word_hashes(texts, piece)
+        assert (got == want).all() and (same == ends).all()
+    one = ["a"]
+    while len(one) < 2048:
+        one += ["b" if c == "a" else "a" for c in one]
+    word = "".join(one)  # Thue-Morse and its complement meet under sums of powers modulo 2**64
+    h, _ = shingles.word_hashes([word, word.translate({97: 98, 98: 97})])
+    assert h[0] != h[1]
 
 
 def test_split_quota():
@@ -86,8 +113,14 @@ def test_split_quota():
         got = mixing.split_quota(words, quota, [1])
         assert got.sum() == quota and (got >= 0).all() and (got <= words).all()
     assert (mixing.split_quota(words, 84, [1]) == mixing.split_quota(words, 84, [1])).all()
-    big = np.array([3 * 10**9, 10**9])
-    assert mixing.split_quota(big, 10**9, [1]).sum() == 10**9
+    big = np.array([3 * 10**13, 10**13])
+    drawn = np.array([mixing.split_quota(big, 4 * 10**9, [k])[0] for k in range(300)], float)
+    assert abs(drawn.mean() - 3 * 10**9) < 4 * 27386 / 300**0.5 and 0.85 < drawn.std() / 27386 < 1.15  # mean and deviation of the law
+    rng = np.random.default_rng(2)
+    got = np.bincount([mixing.large_draw(7, 5, 6, rng) for _ in range(20000)], minlength=8) / 20000
+    exact = [math.comb(7, k) * math.comb(5, 6 - k) / math.comb(12, 6) if k <= 6 and 6 - k <= 5 else 0 for k in range(8)]
+    assert np.abs(got - exact).max() < 0.015
+    assert abs(mixing.log_binomial(3, 10, 0.4) - math.log(math.comb(10, 3) * 0.4**3 * 0.6**7)) < 1e-12
     mean = np.mean([mixing.split_quota(words, 84, [k])[2] for k in range(300)])
     assert abs(mean - 50) < 1.5
 
@@ -149,26 +182,38 @@ def test_chain():
     runs = [(0, 0, 10), (12, 13, 10), (30, 5, 9), (40, 41, 12)]
     assert chaining.chain(runs, 20)[0] == [runs[0], runs[1], runs[3]]
     assert chaining.chain([(0, 0, 5)], 20) == []
-    assert chaining.common([1, 2, 3, 4], [2, 9, 4]) == 2 and chaining.extend([1, 2], [1, 3]) == 1
+    assert chaining.extend([1, 2], [1, 3]) == 1
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (rng.integers(0, 4, rng.integers(0, 12)).tolist() for _ in range(2))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        assert chaining.common(a, b) == best[-1, -1]
 
 
-def test_chain_past_a_far_run():
-    """A far run of a high score hides no nearer one; scores equal those over all pairs."""
-    runs = [(0, 0, 100), (149, 149, 25), (180, 180, 25)]
-    assert chaining.chain(runs, 40) == [[runs[0]], [runs[1], runs[2]]]
+def test_chain_scores():
+    """Scores equal those over all pairs of runs."""
     rng = np.random.default_rng(4)
     for _ in range(200):
         runs = sorted({(int(x), int(y), int(n)) for x, y, n in zip(rng.integers(0, 300, 30), rng.integers(0, 300, 30), rng.integers(5, 30, 30), strict=True)})
         score = []
         for a, b, n in runs:
             gaps = [(score[j], a - x - m, b - y - m) for j, (x, y, m) in enumerate(runs[: len(score)])]
-            score.append(n + max([s - chaining.GAP_COST * (p + q) for s, p, q in gaps if 0 <= p <= chaining.MAX_GAP and 0 <= q <= chaining.MAX_GAP], default=0.0) if gaps else n)
-            score[-1] = max(score[-1], n)
+            score.append(n + max([0.0, *(s - chaining.GAP_COST * (p + q) for s, p, q in gaps if p >= 0 and q >= 0)]))
         first = chaining.chain(runs, 1)[0]
         cost = sum(chaining.GAP_COST * (q[0] - p[0] - p[2] + q[1] - p[1] - p[2]) for p, q in zip(first, first[1:], strict=False))
         assert abs(sum(r[2] for r in first) - cost - max(score)) < 1e-6
 
 
+def test_aligned_splits():
+    """A long run chained across a wide gap is a link of its own."""
+    far = [list(range(100, 180)), list(range(300, 380))]
+    got = list(chaining.aligned([[], far[0], []], [[], far[1], []], [0, 180], [0, 180], [100, 60], 40, 0.75))
+    assert sorted((g[0], g[1], g[4]) for g in got) == [(0, 100, 100), (180, 240, 60)]
+
+
 def test_needed():
     for n in range(1, 50):
         assert all(4 * i >= 3 * n for i in range(ngram_join.needed(n), n + 1))
