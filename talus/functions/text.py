@@ -6,31 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\t\n\x0B\f\r ]+"
-# Line patterns of log compression.
-LOG_NOISE = r"^(DEBUG|INFO|TRACE)\b|^[-=*_#]{3,}$"
-LOG_KEEP = r"(?i)error|fail|panic|exception|fatal|warn"
-TIMESTAMP = r"^\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d[^ ]* ?"
-# Personal-data labels and their patterns.
-PII = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "ipv4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
-    "phone": r"\+[0-9][0-9 -]{7,14}[0-9]",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "key": r"(?:AKIA|sk-|ghp_)[A-Za-z0-9]{16,}",
-    "url": r"https?://[A-Za-z0-9._/-]+",
-}
 # Accented letters and their plain forms.
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
-# Named character references that text extraction decodes.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÑñÇç"
+PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuNnCc"
+# Named character references that text extraction decodes, the ampersand's last.
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
+    ("&laquo;", "«"), ("&raquo;", "»"), ("&times;", "×"), ("&deg;", "°"), ("&euro;", "€"), ("&pound;", "£"), ("&sect;", "§"), ("&amp;", "&"),
+)
+#: What first tells of a failure in an output.
+FAILURE = r"(?i)error|fail|panic|exception|fatal|warn"
 
 
 def token_estimate(text: Column, chars_per_token: float = 4.0) -> Column:
-    """Bytes outside white space plus the number of fields, over the rate; cut, at least 1; 0 for blank."""
+    """Bytes outside white space plus the number of fields, over the rate; cut, at least 1; 0 for the empty text."""
     packed = F.regexp_replace(text, SPACE, "")
     fields = F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
     n = ((F.octet_length(packed) + fields) * (1.0 / chars_per_token)).cast("int")
-    return F.when(fields == 0, 0).otherwise(F.greatest(n, F.lit(1)))
+    return F.when(text == "", 0).otherwise(F.greatest(n, F.lit(1)))
 
 
 def lines(text: Column) -> Column:
@@ -42,29 +36,20 @@ def fit_lossless(text: Column) -> Column:
     return F.array_join(F.array_distinct(lines(text)), "\n")
 
 
-def compress_log(text: Column, most: int = 200) -> Column:
-    """Timestamps off, noise lines, blank lines and repeats out, at most ``most`` lines."""
-    bare = F.transform(lines(text), lambda x: F.trim(F.regexp_replace(x, TIMESTAMP, "")))
-    kept = F.filter(bare, lambda x: (x != "") & (~x.rlike(LOG_NOISE) | x.rlike(LOG_KEEP)))
-    return F.array_join(F.slice(F.array_distinct(kept), 1, most), "\n")
-
-
-def compress_prompt(text: Column) -> Column:
-    """Lines trimmed at their end; a line equal to its predecessor goes."""
-    trimmed = F.transform(lines(text), lambda x: F.rtrim(x))
-    kept = F.filter(trimmed, lambda x, i: (i == 0) | (x != F.element_at(trimmed, F.greatest(i, F.lit(1)).cast("int"))))
-    return F.array_join(kept, "\n")
-
-
 def html_to_text(html: Column) -> Column:
-    """Scripts, styles and comments out, block tags to line ends, other tags out,
+    """Scripts, styles and comments out, block tags to line ends, other tags to spaces, character
     references decoded, spaces collapsed."""
     out = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)[^>]*>.*?</(script|style|noscript|template)>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|title)[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#(x?[0-9a-fA-F]{1,6});"), F.lit(1)))
+    code = lambda n: F.when(n.startswith("x"), F.conv(F.substr(n, F.lit(2)), 16, 10)).otherwise(F.regexp_extract(n, "^[0-9]+$", 0)).cast("int")
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32")
+    valid = lambda n: code(n).between(1, 0xD7FF) | code(n).between(0xE000, 0x10FFFF)
+    out = F.aggregate(F.filter(numbers, valid), out, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), char(n)))
+    for name, char_ in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(char_))
     out = F.regexp_replace(out, r"[ \t\r]+", " ")
     return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
@@ -83,12 +68,30 @@ def identifier_segments(name: Column) -> Column:
 
 
 def strip_diacritics(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    return F.lower(F.translate(text, ACCENTED, PLAIN))
+
+
+def query_words(text: Column) -> Column:
+    """The distinct words of a question, cut at case changes too, plain and in lower case."""
+    cut = F.regexp_replace(text, r"([\p{Ll}\p{Nd}])(\p{Lu})", "$1 $2")
+    cut = F.regexp_replace(cut, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    return F.array_distinct(F.filter(F.split(strip_diacritics(F.regexp_replace(cut, r"[^\p{L}\p{Nd}]+", " ")), " +"), lambda w: w != ""))
+
+
+def plural_variants(word: Column) -> Column:
+    """The word and its singular forms: -xes, -shes, -sses, -zzes lose two letters; -ches, -ses, -zes,
+    -oes two or one; other -s, but not -ss, one. Four letters at least stay."""
+    two, one = F.left(word, F.length(word) - 2), F.left(word, F.length(word) - 1)
+    n = F.length(word)
+    none = F.expr("cast(array() as array<string>)")
+    if2, if1 = F.when(n >= 6, F.array(two)).otherwise(none), F.when(n >= 5, F.array(one)).otherwise(none)
+    more = F.when(word.rlike("(xes|shes|sses|zzes)$"), if2).when(word.rlike("(ches|ses|zes|oes)$"), F.concat(if2, if1)).when(word.rlike("[^s]s$"), if1).otherwise(none)
+    return F.array_distinct(F.concat(F.array(word), more))
 
 
 def first_failure(text: Column) -> Column:
     """The first line that tells of a failure, else null."""
-    return F.try_element_at(F.filter(lines(text), lambda x: x.rlike(LOG_KEEP)), F.lit(1))
+    return F.try_element_at(F.filter(lines(text), lambda x: x.rlike(FAILURE)), F.lit(1))
 
 
 def fnv32(text: Column) -> Column:

@@ -50,31 +50,6 @@ def hypotheses(correlated: DataFrame) -> DataFrame:
     return correlated.select("alert", cause.alias("cause"), F.round(confidence, 4).alias("confidence"))
 
 
-def patterns(rows: DataFrame, least: int = 2) -> DataFrame:
-    """key, n, scopes, latest of contents (scope, content, ts) that recur."""
-    key = F.substring(F.sha2(F.trim("content"), 256), 1, 12)
-    n = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.countDistinct("scope").alias("scopes"), F.max("ts").alias("latest"))
-    return n.where(F.col("n") >= least)
-
-
-def conflicts(claims: DataFrame) -> DataFrame:
-    """scope, sources, statements of scopes on which different sources disagree."""
-    n = claims.groupBy("scope").agg(F.countDistinct("source").alias("sources"), F.countDistinct("statement").alias("statements"))
-    return n.where("sources > 1 and statements > 1")
-
-
-def chain_break(audit: DataFrame, buckets: str = "day") -> DataFrame:
-    """Rows of an audit chain (seq, prev, hash, fields, ...) whose link or hash fails.
-    The predecessor comes from a window over one bucket; the last row of each bucket
-    is carried to the next, so no single task sees the whole chain."""
-    w = Window.partitionBy(buckets).orderBy("seq")
-    ends = audit.groupBy(buckets).agg(F.max_by("hash", "seq").alias("end"), F.max("seq").alias("last"))
-    links = ends.withColumn("before", F.lag("end").over(Window.orderBy("last")))  # one row a bucket
-    seen = audit.join(links.select(buckets, "before"), buckets).withColumn("was", F.coalesce(F.lag("hash").over(w), F.col("before"), F.lit("")))
-    good = (F.col("prev") == F.col("was")) & (F.col("hash") == F.sha2(F.concat("prev", "fields"), 256))
-    return seen.where(~good).select("seq")
-
-
 def calibrate(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     """threshold, recall, flagged over rows (risk, truth)."""
     t = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
@@ -82,13 +57,3 @@ def calibrate(rows: DataFrame, thresholds: list[float]) -> DataFrame:
         F.round(F.count_if((F.col("risk") >= F.col("threshold")) & (F.col("truth") == 1)) / F.count_if(F.col("truth") == 1), 6).alias("recall"),
         F.count_if(F.col("risk") >= F.col("threshold")).alias("flagged"),
     )
-
-
-def context_actions(items: DataFrame) -> DataFrame:
-    """id, score, action of context items (id, grp, fresh, authority, digest): later
-    copies of a digest count 0.3 of their score; KEEP, COMPRESS, DEMOTE, ARCHIVE, DROP."""
-    score = F.least(F.lit(1.0), 0.4 * F.col("fresh") + 0.3 * F.col("authority") + F.when(F.col("grp") == "en", 0.3).otherwise(0.1))
-    first = items.groupBy("digest").agg(F.min("id").alias("first"))
-    scored = items.join(first, "digest").withColumn("score", F.round(F.when(F.col("id") == F.col("first"), score).otherwise(score * 0.3), 6))
-    action = F.when(F.col("score") >= 0.8, "KEEP").when(F.col("score") >= 0.6, "COMPRESS").when(F.col("score") >= 0.4, "DEMOTE").when(F.col("score") >= 0.2, "ARCHIVE").otherwise("DROP")
-    return scored.select("id", "score", action.alias("action"))

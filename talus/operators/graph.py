@@ -1,63 +1,116 @@
-"""Graph operators over an edge table (caller, callee) and a node table (id, dir)."""
+"""Graph operators over an edge table (caller, callee) and node tables (id, ...). Ids may be of any type."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.shared import cut
 
-def hubs(edges: DataFrame) -> DataFrame:
-    """symbol, callers, calls and score = 2 * callers + calls of every node with an edge."""
-    called = edges.groupBy(F.col("callee").alias("symbol")).agg(F.countDistinct("caller").alias("callers"))
-    calls = edges.groupBy(F.col("caller").alias("symbol")).agg(F.countDistinct("callee").alias("calls"))
-    both = called.join(calls, "symbol", "full")
-    both = both.select("symbol", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("calls", F.lit(0)).alias("calls"))
-    return both.withColumn("score", 2 * F.col("callers") + F.col("calls"))
+#: Sequential label propagation is defined up to this many nodes.
+GATE = 50_000
 
 
-def bridges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Symbols whose callers live in two directories or more."""
-    homes = edges.join(nodes.select(F.col("id").alias("caller"), "dir"), "caller")
-    seen = homes.groupBy(F.col("callee").alias("symbol")).agg(F.countDistinct("dir").alias("dirs"), F.countDistinct("caller").alias("callers"))
+def count_of(edges: DataFrame, by: str, name: str) -> DataFrame:
+    """(id, name): the number of edges by one end; edges are distinct."""
+    return edges.groupBy(F.col(by).alias("id")).agg(F.count("*").alias(name))
+
+
+def outside(edges: DataFrame, tests: DataFrame | None) -> DataFrame:
+    """The edges whose caller is no test (id)."""
+    return edges if tests is None else edges.join(tests.select(F.col("id").alias("caller")), "caller", "left_anti")
+
+
+def hub_rows(edges: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """(id, callers, calls, score) of every node outside tests that has an edge: production callers,
+    calls, and 2 * callers + calls."""
+    both = count_of(outside(edges, tests), "callee", "callers").join(count_of(edges, "caller", "calls"), "id", "full")
+    if tests is not None:
+        both = both.join(tests, "id", "left_anti")
+    both = both.select("id", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("calls", F.lit(0)).alias("calls"))
+    return both.where("callers > 0 or calls > 0").withColumn("score", 2 * F.col("callers") + F.col("calls"))
+
+
+def hubs(rows: DataFrame, limit: int = 0) -> DataFrame:
+    """Of hub rows (symbol, callers, calls, score) the first by callers, score and symbol: ``limit``, or
+    the top tenth, eight at least."""
+    if limit <= 0:
+        n = rows.count()
+        limit = max(n // 10, min(n, 8))
+    return rows.orderBy(F.desc("callers"), F.desc("score"), "symbol").limit(limit)
+
+
+def bridge_rows(edges: DataFrame, homes: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """(id, dirs, callers) of nodes whose production callers live in two directories or more."""
+    near = outside(edges, tests).join(homes.select(F.col("id").alias("caller"), "dir"), "caller", "left")
+    per = near.groupBy("callee", "dir").agg(F.count("*").alias("n"))  # few directories a node
+    seen = per.groupBy(F.col("callee").alias("id")).agg(F.count("dir").alias("dirs"), F.sum("n").alias("callers"))
+    if tests is not None:
+        seen = seen.join(tests, "id", "left_anti")
     return seen.where("dirs >= 2")
 
 
-def production_callers(edges: DataFrame, tests: DataFrame) -> DataFrame:
-    """Callers outside test files, counted a callee; tests has (id)."""
-    prod = edges.join(tests.select(F.col("id").alias("caller")), "caller", "left_anti")
-    return prod.groupBy(F.col("callee").alias("symbol")).agg(F.countDistinct("caller").alias("callers"))
+def bridges(rows: DataFrame, limit: int = 15) -> DataFrame:
+    """The first of bridge rows (symbol, dirs, callers) by directories, callers and symbol."""
+    return rows.orderBy(F.desc("dirs"), F.desc("callers"), "symbol").limit(limit)
 
 
 def dead(nodes: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
     """Nodes, tests aside, that no caller outside tests reaches."""
-    live = production_callers(edges, tests).select(F.col("symbol").alias("id"))
+    live = outside(edges, tests).select(F.col("callee").alias("id")).distinct()
     return nodes.join(tests, "id", "left_anti").join(live, "id", "left_anti")
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 50, reverse: bool = False) -> DataFrame:
-    """(id, dist): nodes reachable from roots (id) with their distance, roots at 0. The
-    frontier advances by one join a step; its lineage is cut in the checkpoint folder."""
-    step = edges.select(F.col("callee").alias("src"), F.col("caller").alias("dst")) if reverse else edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    step = step.distinct()
-    cut = lambda d: d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.cache()
-    seen = cut(roots.select("id").distinct().withColumn("dist", F.lit(0)))
-    front = seen
-    for k in range(1, depth + 1):
-        new = front.join(step, front.id == step.src).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        front = cut(new.withColumn("dist", F.lit(k)))
+def directed(edges: DataFrame, reverse: bool) -> DataFrame:
+    a, b = ("callee", "caller") if reverse else ("caller", "callee")
+    return edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+
+
+def closure(edges: DataFrame, roots: DataFrame, reverse: bool = False, depth: int | None = None) -> DataFrame:
+    """(id, dist): nodes reachable from roots (id) with their distance, roots at 0; to the end, or
+    to ``depth`` hops. One join a step, whose lineage is cut."""
+    step = cut(directed(edges, reverse).distinct())
+    seen = front = cut(roots.select("id").distinct().withColumn("dist", F.lit(0)))
+    k = 0
+    while depth is None or k < depth:
+        k += 1
+        new = front.join(step, front.id == step.src).select(F.col("dst").alias("id")).distinct()
+        front = cut(new.join(seen.select("id"), "id", "left_anti").withColumn("dist", F.lit(k)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
-def criticality(edges: DataFrame) -> DataFrame:
-    """symbol, callers, level: critical over 20, high from 10, medium from 3, else low."""
-    n = edges.groupBy(F.col("callee").alias("symbol")).agg(F.countDistinct("caller").alias("callers"))
-    level = F.when(F.col("callers") > 20, "critical").when(F.col("callers") >= 10, "high").when(F.col("callers") >= 3, "medium").otherwise("low")
-    return n.withColumn("level", level)
+def reach(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFrame:
+    """(root, id, dist): the closure of each root on its own; roots (id), or (root, id) where a root
+    starts at several nodes. Grows with the roots asked for."""
+    step = cut(directed(edges, reverse).distinct())
+    start = roots if "root" in roots.columns else roots.withColumn("root", F.col("id"))
+    seen = front = cut(start.select("root", "id").distinct().withColumn("dist", F.lit(0)))
+    k = 0
+    while True:
+        k += 1
+        new = front.join(step, front.id == step.src).select("root", F.col("dst").alias("id")).distinct()
+        front = cut(new.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("dist", F.lit(k)))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def level(callers: Column) -> Column:
+    """Critical over 20, high from 10, medium from 3, else low."""
+    return F.when(callers > 20, "critical").when(callers >= 10, "high").when(callers >= 3, "medium").otherwise("low")
+
+
+def criticality(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, dependents, level) of the asked nodes (id) by all that depends on them, directly or not."""
+    n = reach(edges, roots, reverse=True).groupBy(F.col("root").alias("id")).agg((F.count("*") - 1).alias("dependents"))
+    return n.withColumn("level", level(F.col("dependents")))
 
 
 def coverage(nodes: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
@@ -68,17 +121,17 @@ def coverage(nodes: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.round(100.0 * F.col("covered") / F.col("total"), 4))
 
 
-def coupling(edges: DataFrame, groups: DataFrame, samples: int = 3) -> DataFrame:
-    """Edges between groups (id, grp), bundled by unordered pair, with a few samples."""
+def coupling(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(left, right, edges, sample) of edges between groups (id, grp), bundled by unordered pair;
+    the sample is the first edge by text."""
     a, b = groups.select(F.col("id").alias("caller"), F.col("grp").alias("ga")), groups.select(F.col("id").alias("callee"), F.col("grp").alias("gb"))
     cross = edges.join(a, "caller").join(b, "callee").where("ga <> gb")
-    cross = cross.select(F.least("ga", "gb").alias("left"), F.greatest("ga", "gb").alias("right"), F.concat_ws(">", "caller", "callee").alias("edge"))
-    count = cross.groupBy("left", "right").agg(F.count("*").alias("edges"), F.min("edge").alias("sample"))
-    return count if samples else count.drop("sample")
+    return cross.groupBy(F.least("ga", "gb").alias("left"), F.greatest("ga", "gb").alias("right")).agg(F.count("*").alias("edges"), F.min(F.concat_ws(">", "caller", "callee")).alias("sample"))
 
 
 def cochange(commits: DataFrame, least: int = 2, top: int = 3) -> DataFrame:
-    """file, partner, n, rank: files that change in the same commits most often."""
+    """file, partner, n, rank: files that change in the same commits most often. Pairs are counted
+    in the partition that makes them before they move."""
     c = commits.select("commit", "file").distinct()
     pairs = c.join(c.withColumnRenamed("file", "partner"), "commit").where("file <> partner")
     n = pairs.groupBy("file", "partner").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -91,46 +144,96 @@ def churn(commits: DataFrame) -> DataFrame:
     return commits.groupBy("file").agg(F.countDistinct("commit").alias("commits"))
 
 
-def change_risk(changes: DataFrame, edges: DataFrame, nodes: DataFrame, hub_callers: int = 20) -> DataFrame:
-    """dir, changed, risk: 1 + log2(1 + callers) + log2(1 + second-hop callers) summed over the changed
-    nodes of a directory, and one point for each hub among them."""
-    direct = edges.groupBy("callee").agg(F.countDistinct("caller").alias("c1"))
-    hop = edges.select(F.col("caller").alias("mid"), F.col("callee").alias("id")).join(edges.select(F.col("callee").alias("mid"), F.col("caller").alias("far")), "mid")
-    second = hop.groupBy("id").agg(F.countDistinct("far").alias("c2"))
-    each = changes.join(nodes, "id").join(direct.withColumnRenamed("callee", "id"), "id", "left").join(second, "id", "left").fillna(0, ["c1", "c2"])
-    risk = 1 + F.log2(1 + F.col("c1")) + F.log2(1 + F.col("c2")) + F.when(F.col("c1") > hub_callers, 1.0).otherwise(0.0)
-    return each.groupBy("dir").agg(F.count("*").alias("changed"), F.round(F.sum(risk), 4).alias("risk"))
+def change_risk(changes: DataFrame, edges: DataFrame, homes: DataFrame, tests: DataFrame, hub_ids: DataFrame) -> DataFrame:
+    """(file, symbols, callers, blast, gaps, packages, risk) of changed symbols (file, id):
+    1 + log2(1 + production callers) + log2(1 + what else depends on them) + 1 for each hub among
+    them + 0.5 for each that calls a hub + 1.5 if callers live in several directories
+    + 2 if tests reach not all of them. Each file has its own closure."""
+    changed = cut(changes.select("file", "id").distinct())
+    callers = changed.join(outside(edges, tests), F.col("id") == F.col("callee")).select("file", F.col("caller").alias("id")).distinct()
+    blast = reach(edges, changed.withColumnRenamed("file", "root"), reverse=True).select(F.col("root").alias("file"), "id")
+    rest = blast.join(callers, ["file", "id"], "left_anti").join(changed, ["file", "id"], "left_anti")
+    near = changed.join(edges, F.col("id") == F.col("callee")).select("file", F.col("caller").alias("id")).join(homes, "id").select("file", "dir").where("dir <> ''").distinct()
+    covered = closure(edges, tests).select("id").withColumn("covered", F.lit(1))
+    hub = hub_ids.select("id").distinct().withColumn("hub", F.lit(1))
+    loud = edges.join(hub_ids.select(F.col("id").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("id")).distinct().withColumn("loud", F.lit(1))
+    each = changed.join(covered, "id", "left").join(hub, "id", "left").join(loud, "id", "left").groupBy("file")
+    each = each.agg(F.count("*").alias("symbols"), (F.count("*") - F.count("covered")).alias("gaps"), F.count("hub").alias("hubs"), F.count("loud").alias("loud"))
+    n = lambda d, name: d.groupBy("file").agg(F.count("*").alias(name))
+    out = each.join(n(callers, "callers"), "file", "left").join(n(rest, "rest"), "file", "left").join(n(near, "packages"), "file", "left").fillna(0, ["callers", "rest", "packages"])
+    risk = 1 + F.log2(1 + F.col("callers")) + F.log2(1 + F.col("rest")) + F.col("hubs") + 0.5 * F.col("loud") + F.when(F.col("packages") > 1, 1.5).otherwise(0.0) + F.when(F.col("gaps") > 0, 2.0).otherwise(0.0)
+    return out.select("file", "symbols", "callers", (F.col("callers") + F.col("rest")).alias("blast"), "gaps", "packages", F.round(risk, 1).alias("risk"))
 
 
 def boundary_violations(edges: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """src_dir, dst_dir, n, rule of edges that a forbid rule meets and no allow rule
-    lifts; rules (ord, src, dst, action) match a directory exactly or as '*'."""
+    """src_dir, dst_dir, n, rule of edges that a forbid rule meets and no allow rule lifts; rules
+    (ord, src, dst, action) match a directory exactly, as '*', as 'prefix/' or as '/suffix'. Edges are
+    counted by pair of directories first, so rules meet few rows."""
     a, b = nodes.select(F.col("id").alias("caller"), F.col("dir").alias("src_dir")), nodes.select(F.col("id").alias("callee"), F.col("dir").alias("dst_dir"))
     n = edges.join(a, "caller").join(b, "callee").groupBy("src_dir", "dst_dir").agg(F.count("*").alias("n"))
-    hit = n.join(rules, F.col("src").isin("*") | (F.col("src") == F.col("src_dir"))).where("dst = '*' or dst = dst_dir")
+    hit = n.join(rules, rule_meets("src", "src_dir") & rule_meets("dst", "dst_dir"))
     per = hit.groupBy("src_dir", "dst_dir", "n").agg(F.min(F.when(F.col("action") == "forbid", F.col("ord"))).alias("rule"), F.max((F.col("action") == "allow").cast("int")).alias("lifted"))
     return per.where("rule is not null and lifted = 0 and src_dir <> dst_dir").drop("lifted")
 
 
+def rule_meets(rule: str, folder: str) -> Column:
+    r, d = F.col(rule), F.col(folder)
+    return (r == "*") | (r == d) | (r.endswith("/") & F.concat(d, F.lit("/")).startswith(r)) | (r.startswith("/") & F.concat(F.lit("/"), d).endswith(r))
+
+
+def import_violations(imports: DataFrame, dirs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file, dir, rule): imports (file, target) of directories (dir) that a forbid rule meets and no
+    allow rule lifts. An import meets a directory by suffix or by the last part of its path."""
+    home = F.regexp_replace("file", "/?[^/]*$", "")
+    last = lambda c: F.element_at(F.split(c, "[/.]"), -1)
+    keyed = imports.select("file", home.alias("src_dir"), "target", last("target").alias("tail"))
+    to = dirs.select("dir", last("dir").alias("tail"))
+    meets = (F.concat(F.lit("/"), "target").endswith(F.concat(F.lit("/"), F.col("dir")))) | (F.col("target") == F.col("tail"))
+    met = keyed.join(to, "tail").where(meets & (F.col("src_dir") != F.col("dir"))).select("file", "src_dir", F.col("dir").alias("dst_dir")).distinct()
+    hit = met.join(rules, rule_meets("src", "src_dir") & rule_meets("dst", "dst_dir"))
+    per = hit.groupBy("file", "dst_dir").agg(F.min(F.when(F.col("action") == "forbid", F.col("ord"))).alias("rule"), F.max((F.col("action") == "allow").cast("int")).alias("lifted"))
+    return per.where("rule is not null and lifted = 0").select("file", F.col("dst_dir").alias("dir"), "rule")
+
+
+def boundary_check(by_symbol: DataFrame, by_import: DataFrame) -> DataFrame:
+    """(file, dir, rule, evidence): violations of calls (file, dir, rule, symbol) and of imports
+    (file, dir, rule), one a file and directory; a symbol is better evidence than an import."""
+    both = by_symbol.select("file", "dir", "rule", "symbol").unionByName(by_import.select("file", "dir", "rule", F.lit(None).cast("string").alias("symbol")))
+    best = both.groupBy("file", "dir").agg(F.min(F.struct(F.col("symbol").isNull().alias("imported"), "symbol", "rule")).alias("b"))
+    return best.select("file", "dir", F.col("b.rule").alias("rule"), F.coalesce("b.symbol", F.lit("import")).alias("evidence"))
+
+
+def layers_of(dirs: DataFrame, layers: DataFrame) -> DataFrame:
+    """(dir, layer): the first layer (ord, layer, pattern) that a directory meets."""
+    hit = dirs.join(layers, rule_meets("pattern", "dir"))
+    return hit.groupBy("dir").agg(F.min(F.struct("ord", "layer"))["layer"].alias("layer"))
+
+
+def layer_violations(edges: DataFrame, nodes: DataFrame, layers: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(src_layer, dst_layer, n, sample) of edges between layers (ord, layer, pattern) that are not in
+    allowed (src_layer, dst_layer); edges inside a layer or outside all are free."""
+    dirs = nodes.select("id", "dir").join(layers_of(nodes.select("dir").distinct(), layers), "dir")
+    a, b = dirs.select(F.col("id").alias("caller"), F.col("layer").alias("src_layer")), dirs.select(F.col("id").alias("callee"), F.col("layer").alias("dst_layer"))
+    n = edges.join(a, "caller").join(b, "callee").where("src_layer <> dst_layer").groupBy("src_layer", "dst_layer")
+    n = n.agg(F.count("*").alias("n"), F.min(F.concat_ws(">", "caller", "callee")).alias("sample"))
+    return n.join(allowed, ["src_layer", "dst_layer"], "left_anti")
+
+
 def owners(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """path, owner: of the matching rules (pattern, owner, ord) the most specific,
-    '*' 1, '*.ext' 2, 'dir/' 3 + depth, an exact path 100; ties to the earlier rule."""
-    pattern, path = F.col("pattern"), F.col("path")
-    score = (
-        F.when(pattern == "*", 1)
-        .when(pattern.startswith("*.") & path.endswith(F.substr(pattern, F.lit(2))), 2)
-        .when(pattern.endswith("/") & path.startswith(pattern), 3 + F.size(F.split(pattern, "/")) - 1)
-        .when(pattern == path, 100)
-    )
-    hit = paths.join(rules, score.isNotNull()).withColumn("score", score)
-    best = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "ord"))
-    return hit.withColumn("_n", best).where("_n = 1").select("path", "owner")
+    '*' 1, '*.ext' 2, 'dir/' 3 + depth, an exact path 100; ties to the earlier rule. Rules meet paths by
+    keys: the path, its extension, each of its folders, or '*'; so no rule meets all paths but '*'."""
+    folders = F.transform(F.filter(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1), lambda k: k > 0), lambda k: F.concat(F.call_function("substring_index", F.col("path"), F.lit("/"), k), F.lit("/")))
+    ends = F.transform(F.filter(F.sequence(F.lit(0), F.size(F.split("path", r"\.")) - 1), lambda k: k > 0), lambda k: F.concat(F.lit("*."), F.call_function("substring_index", F.col("path"), F.lit("."), -k)))
+    keys = paths.select("path", F.explode(F.array_distinct(F.concat(F.array("path", F.lit("*")), folders, ends))).alias("pattern"))
+    score = F.when(F.col("pattern") == "*", 1).when(F.col("pattern").startswith("*."), 2).when(F.col("pattern").endswith("/"), 2 + F.size(F.split("pattern", "/"))).otherwise(100)
+    hit = keys.join(rules, "pattern").groupBy("path").agg(F.min(F.struct((-score).alias("s"), "ord", "owner"))["owner"].alias("owner"))
+    return hit
 
 
-def canonical_names(symbols: DataFrame) -> DataFrame:
-    """name, full_name: simple names that only one full name has."""
-    n = symbols.groupBy("name").agg(F.countDistinct("full_name").alias("n"), F.min("full_name").alias("full_name"))
-    return n.where("n = 1").drop("n")
+def teams(rules: DataFrame) -> DataFrame:
+    """(team): the distinct owners of rules (pattern, owner, ord)."""
+    return rules.select(F.explode(F.split("owner", " +")).alias("team")).distinct().orderBy("team")
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -140,44 +243,59 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).where("change is not null")
 
 
-def overlapping(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Symbols (file, line, end) that a changed range (file, lo, hi) overlaps."""
-    r = ranges.select(F.col("file").alias("_f"), "lo", "hi")
-    return symbols.join(r, (F.col("file") == F.col("_f")) & (F.col("line") <= F.col("hi")) & (F.col("end") >= F.col("lo")), "left_semi")
+def stale(old: DataFrame, new: DataFrame) -> bool:
+    """Whether files (path, hash, mtime) changed: first by number and latest time, which cost one
+    aggregate, and only where those differ by hashes."""
+    gate = lambda d: tuple(d.agg(F.count("*"), F.max("mtime")).first())
+    return gate(old) != gate(new) and not manifest_diff(old.select("path", "hash"), new.select("path", "hash")).isEmpty()
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 12) -> DataFrame:
-    """One row (path, hops): the least path by length, then by text, over undirected edges."""
-    both = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).unionByName(edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"))).distinct()
-    front = edges.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen = front.select("id")
-    for _ in range(depth):
-        if not front.where(F.col("id") == goal).isEmpty():
-            break
-        new = front.join(both, front.id == both.a).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        new = new.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        front = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+def overlapping(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Symbols (file, line, end) that a changed range (file, lo, hi) overlaps; a range without
+    bounds is the whole file, an end of 0 the symbol's line."""
+    r = ranges.select(F.col("file").alias("_f"), "lo", "hi")
+    end = F.when(F.col("end") == 0, F.col("line")).otherwise(F.col("end"))
+    whole = F.col("lo").isNull() & F.col("hi").isNull()
+    return symbols.join(r, (F.col("file") == F.col("_f")) & (whole | ((F.col("line") <= F.col("hi")) & (end >= F.col("lo")))), "left_semi")
+
+
+def shortest_path(edges: DataFrame, start, goal, depth: int | None = None) -> DataFrame:
+    """One row (path, hops): the least path by length, then by its nodes, over undirected edges; none
+    where the nodes are not connected (or not within ``depth`` hops, if given)."""
+    both = directed(edges, False).unionByName(directed(edges, True)).distinct()
+    both = cut(both)
+    kind = both.schema["src"].dataType.simpleString()
+    front = edges.sparkSession.createDataFrame([(start, [start])], f"id {kind}, path array<{kind}>")
+    seen, k = front.select("id"), 0
+    while (depth is None or k < depth) and front.where(F.col("id") == goal).isEmpty():
+        new = front.join(both, front.id == both.src).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        front = cut(new.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front.select("id"))
-    return front.where(F.col("id") == goal).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
-
-
-def label_propagation(edges: DataFrame, rounds: int = 30, gate: int = 50_000) -> DataFrame:
-    """(id, label) by label propagation in sorted order, ties to the least label. The order
-    makes it sequential; above ``gate`` nodes the result is empty, as it is defined."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(rows["caller"], rows["callee"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
+        seen, k = seen.unionByName(front.select("id")), k + 1
+    return front.where(F.col("id") == goal).select("path", (F.size("path") - 1).alias("hops"))
+
+
+def label_propagation(edges: DataFrame, rounds: int = 30, gate: int = GATE) -> DataFrame:
+    """(id, label). Up to ``gate`` nodes labels move one node at a time, in sorted order, which one task
+    does: this is the defined result. Beyond it all nodes move at once in each round, distributed:
+    a node takes the most frequent label among its neighbours and itself, ties to the least."""
+    pairs = edges.where("caller <> callee").select("caller", "callee").distinct()
+    both = directed(pairs, False).unionByName(directed(pairs, True)).distinct()
+    if both.select("src").distinct().limit(gate + 1).count() > gate:
+        return spread_labels(cut(both), rounds)
+    kind = both.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near: dict = {}
+        for rows in batches:
+            for a, b in zip(rows["src"].tolist(), rows["dst"].tolist(), strict=True):
+                near.setdefault(a, set()).add(b)
         label = {n: n for n in near}
         for _ in range(rounds):
             moved = False
             for n in sorted(near):
-                votes: dict[str, int] = {}
+                votes: dict = {}
                 for m in near[n]:
                     votes[label[m]] = votes.get(label[m], 0) + 1
                 best = min(votes, key=lambda k: (-votes[k], k))
@@ -185,13 +303,22 @@ def label_propagation(edges: DataFrame, rounds: int = 30, gate: int = 50_000) ->
                 label[n] = best
             if not moved:
                 break
-        return pd.DataFrame({"id": list(label), "label": list(label.values())})
-
-    ids = edges.select("caller").unionByName(edges.select(F.col("callee").alias("caller"))).distinct()
-    if ids.limit(gate + 1).count() > gate:
-        return edges.sparkSession.createDataFrame([], "id string, label string")
-    one = edges.where("caller <> callee").select("caller", "callee").withColumn("g", F.lit(1))
-    return one.groupBy("g").applyInPandas(run, "id string, label string")
+        yield pd.DataFrame({"id": list(label), "label": list(label.values())})
+
+    return both.repartition(1).mapInPandas(run, f"id {kind}, label {kind}")  # at most the gate's nodes
+
+
+def spread_labels(both: DataFrame, rounds: int) -> DataFrame:
+    """(id, label) by rounds over all nodes at once, from both directions of the edges (src, dst)."""
+    now = cut(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    for _ in range(rounds):
+        heard = both.join(now.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label").unionByName(now)
+        votes = heard.groupBy("id", "label").agg(F.count("*").alias("n"))
+        new = cut(votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label")))
+        if new.join(now, ["id", "label"], "left_anti").isEmpty():
+            return new
+        now = new
+    return now
 
 
 def union_edges(*parts: DataFrame) -> DataFrame:

@@ -72,3 +72,49 @@ def changed_ranges(diffs: DataFrame) -> DataFrame:
     one = f.select("file", F.explode_outer("h").alias("h"))
     lo, n = F.split_part("h", F.lit(","), F.lit(1)).cast("int"), F.coalesce(F.nullif(F.split_part("h", F.lit(","), F.lit(2)), F.lit("")).cast("int"), F.lit(1))
     return one.select("file", F.when(n > 0, lo).alias("lo"), F.when(n > 0, lo + n - 1).alias("hi"))
+
+
+API_LIST = """struct<items: array<struct<
+    metadata: struct<name: string, creationTimestamp: string>,
+    involvedObject: struct<name: string>, type: string, reason: string, message: string, lastTimestamp: string,
+    spec: struct<template: struct<spec: struct<containers: array<struct<image: string>>>>>>>>"""
+
+
+def kube_api(deployments: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, deployments) from the API's lists of deployments and events (value JSON)."""
+    item = lambda d: d.select(F.explode(F.from_json("value", API_LIST)["items"]).alias("x"))
+    e = item(events).select(F.struct("x.type", "x.reason", "x.message", F.col("x.involvedObject.name").alias("object"), F.coalesce("x.lastTimestamp", "x.metadata.creationTimestamp").alias("time")).alias("x"))
+    p = item(deployments).select(F.struct(F.col("x.metadata.name").alias("name"), F.try_element_at("x.spec.template.spec.containers", F.lit(1))["image"].alias("image"), F.col("x.metadata.creationTimestamp").alias("time")).alias("x"))
+    document = lambda d, name, other: d.select(F.to_json(F.struct(F.array("x").alias(name))).alias("value"))
+    return kubernetes(document(e, "events", "deployments"))[0], kubernetes(document(p, "deployments", "events"))[1]
+
+
+SNAPSHOT = """struct<
+    events: array<struct<id: string, type: string, service: string, severity: string, message: string, ts: string, attributes: map<string, string>>>,
+    deployments: array<struct<service: string, version: string, commit: string, ts: string>>,
+    commits: array<struct<sha: string, message: string, author: string, files: array<string>, ts: string>>>"""
+
+
+def snapshot(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, deployments, commits) of local snapshot documents (value JSON)."""
+    d = documents.select(F.from_json("value", SNAPSHOT).alias("d"))
+    part = lambda name: d.select(F.explode(f"d.{name}").alias("x")).select("x.*").withColumn("ts", F.try_to_timestamp("ts"))
+    return part("events"), part("deployments"), part("commits")
+
+
+def of_service(events: DataFrame, service: str = "", since: str = "", until: str = "") -> DataFrame:
+    """Events or deployments (service, ts, ...) of a service and time, in order of time."""
+    if service:
+        events = events.where(F.col("service") == service)
+    if since:
+        events = events.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+    if until:
+        events = events.where(F.col("ts") <= F.lit(until).cast("timestamp"))
+    return events.orderBy("ts", *(c for c in ("id", "service", "version") if c in events.columns))
+
+
+def git_status(lines: DataFrame) -> DataFrame:
+    """(file, state) of porcelain status lines (value); of renames the new name."""
+    rows = lines.where(F.length("value") > 3)
+    name = F.regexp_replace(F.element_at(F.split(F.substr("value", F.lit(4)), " -> "), -1), '^"|"$', "")
+    return rows.select(name.alias("file"), F.trim(F.left("value", F.lit(2))).alias("state")).distinct()

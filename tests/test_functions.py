@@ -1,8 +1,16 @@
 """Text functions, parsers and graph operators on small fixtures."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
-from talus.functions import masking as M
+from talus.functions import diffs as D
+from talus.functions import logs as L
+from talus.functions import pii as I
+from talus.functions import prose as W
+from talus.functions import scan as X
+from talus.functions import schema as J
 from talus.functions import text as T
 from talus.operators import graph as G
 from talus.operators import retrieval as R
@@ -19,16 +27,45 @@ def test_token_estimate(spark):
     assert one(spark, T.token_estimate, "one two three") == (11 + 3) // 4
 
 
-def test_compression(spark):
+def test_logs(spark):
+    log = "2024-01-01T00:00:00 INFO start\n2024-01-01T00:00:01 ERROR broken\n---\n\n\nkept: a\nkept: a\nshort\nheartbeat ok=1\nat run (x)\n"
+    want = "ERROR broken\n\nkept: a\nat run (x)"
+    assert L.compress_log_text(log) == want and one(spark, L.compress_log, log) == want
+    assert L.compress_log_text("\n".join(f"k={k}" for k in range(300))).count("\n") == 199
+    assert L.compact_output_text("[INFO] x\n a \nDownloading y\nerror z") == "a\nerror z"
+    many = "\n".join([*(f"l{k}" for k in range(70)), "a warning"])
+    assert L.compact_output_text(many).split("\n")[59:] == ["l59", "a warning"]
     assert one(spark, T.fit_lossless, "a\nb\na\n") == "a\nb\n"
-    log = "2024-01-01T00:00:00 INFO start\n2024-01-01T00:00:01 ERROR broken\n---\nkept\nkept"
-    assert one(spark, T.compress_log, log) == "ERROR broken\nkept"
-    assert one(spark, T.compress_prompt, "x\nx \ny\nx") == "x\ny\nx"
+
+
+def test_budget():
+    text = "\n".join([*(f"head {k}" for k in range(30)), "fatal error here", *("tail" for _ in range(50)), "é" * 50])
+    for n in range(1, 60):
+        out = L.fit_budget(text, n)
+        assert out and L.count_tokens(out) <= n
+    assert "fatal error here" in L.fit_budget(text, 45) and L.KEPT_MARK in L.fit_budget(text, 45)
+    assert L.fit_budget("a b", 50) == "a b" and L.fit_budget("", 5) == "" == L.fit_budget("x", 0)
+
+
+def test_chunks():
+    parts = L.chunk_text("\n".join(["ü" * 1500, "b" * 100, "", "", "c" * 10]))
+    assert all(40 <= len(p.encode()) <= 2000 for _, p in parts) and sum(p.count("ü") for _, p in parts) == 1500
+    assert parts[-1] == (1, "b" * 100 + "\n\n\n" + "c" * 10)
+    assert L.chunk_text("") == [] and L.chunk_text("\n\n" + "x" * 60) == [(3, "x" * 60)]
+
+
+def test_prose():
+    assert W.strip_reply("Sure!\nx = 1\n\n\nWell, I think that, you know, it just works.\n```\nsure\n```\nLet me know if you need more") == ("x = 1\n\nIt just works.\n```\nsure\n```", 2)
+    assert W.strip_prompt("Hello there\nfix parse() now\nthanks in advance!") == ("fix parse() now", 2)
+    assert W.strip_prompt("Thanks!") == ("Thanks!", 0)
+    assert W.compress_prompt_text("  a line  \n\n\na line\na line\nthanks\n") == "a line\n\na line"
+    assert W.payload("- item") and not W.payload("plain words") and W.small_talk("sure great question")
 
 
 def test_html(spark):
     html = "<html><title> T </title><script>bad()</script><p>a &amp; b</p><!-- c --><div>d</div></html>"
     assert one(spark, T.html_to_text, html) == "T\na & b\nd"
+    assert one(spark, T.html_to_text, "a<b>b</b>&#65;&#x1F600;&lt;&#0;") == "a b A😀<&#0;"
     assert one(spark, T.html_title, html) == "T"
 
 
@@ -39,19 +76,75 @@ def test_segments_and_hash(spark):
     assert one(spark, T.first_failure, "ok\nfatal: no\nx") == "fatal: no"
 
 
-def test_masking():
-    text = "mail a.b@example.com or a.b@example.com, call +49 170 1234567"
-    masked, names = M.mask_text(text)
-    assert masked.count("[EMAIL_1]") == 2 and "[PHONE_1]" in masked
-    assert M.unmask_text(masked, names) == text
-
-
-def test_terse_chunks_budget():
-    assert M.terse_text("Sure, here it is\nx\n\n\ny\n```\nsure\n```") == "x\n\ny\n```\nsure\n```"
-    parts = M.chunk_text("\n".join(["ü" * 1500, "b" * 100, "c" * 10]))
-    assert all(40 <= len(p.encode()) <= 2000 for p in parts) and sum(p.count("ü") for p in parts) == 1500
-    assert M.chunk_text("") == []
-    assert "error" in M.fit_budget("a\n" * 5 + "error here\n" + "b" * 400, 10)
+@pytest.mark.parametrize(
+    ("text", "label", "n"),
+    [
+        ("mail a.b@example.com or c@example.org", "EMAIL", 2), ("boxicons@2.1.4", "EMAIL", 0), ("at 8.8.8.8", "IP", 1), ("at 192.168.0.1 and 127.0.0.1", "IP", 0), ("2001:db8::1 x", "IPV6", 1),
+        ("fe80::1", "IPV6", 0), ("call +49 170 1234567", "PHONE", 1), ("id 12345678901234567890", "PHONE", 0), ("123-45-6789", "SSN", 1), ("AKIA" + "A" * 16, "AWS", 1),
+        ("AKIA" + "A" * 17, "AWS", 0), ("api_key = 'abcdefghijklm'", "KEY", 1), ("password: hunter2", "PASSWORD", 1), ("password: hunter", "PASSWORD", 0), ("https://me:pw1@host/x", "URL_CRED", 1),
+        ("ghp_" + "a1" * 16, "GITHUB", 1), ("Bearer " + "x" * 24, "BEARER", 1), ("eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "JWT", 1), ("plain words", "EMAIL", 0),
+    ],
+)
+def test_labels(text, label, n):
+    masked, names, count = I.mask_text(text)
+    assert count.get(label, 0) == n and I.unmask_text(masked, names) == text
+
+
+def test_masking(spark):
+    import base64
+
+    secret = "password = hunter2hunter2"
+    for run in (base64.b64encode(secret.encode()).decode(), secret.encode().hex(), "".join(f"%{b:02x}" for b in secret.encode()), "".join(f"\\u{ord(c):04x}" for c in secret)):
+        masked, names, _ = I.mask_text(f"x {run} y")
+        assert run not in masked and len(names) == 1 and I.unmask_text(masked, names) == f"x {run} y"
+    assert I.mask_text(base64.b64encode(b"an image of a cat, no secret at all").decode())[2] == {}
+    text = "Ann met ann at a@b.org"
+    masked, names, count = I.mask_text(text, ("Ann",))
+    assert count == {"NAME": 2, "EMAIL": 1} and I.unmask_text(masked, names) == text
+    row = spark.createDataFrame([(text,)], "t string").select(I.mask("t", ("Ann",)).alias("m"), "t").select("*", I.unmask(F.col("m.masked"), F.col("m.names")).alias("back")).first()
+    assert row["m"]["masked"] == masked and row["back"] == text
+
+
+def test_security(spark):
+    rules = lambda path, text: [(r[1], r[2]) for r in X.findings_of(path, text)]
+    assert rules("a.go", 'x\ndb.Query("select " + id)') == [(2, "sql-injection")]
+    assert rules("a.go", "h := md5.New()") == [(1, "weak-crypto")] and rules("a.go", 're = regexp.MustCompile("md5.New()")') == []
+    assert rules("a.go", "// password=secret123") == [] and rules("a_test.go", "h := md5.New()") == []
+    assert rules("a.js", "Math.random()") == [] and rules("a.js", "token = Math.random()") == [(1, "insecure-random")]
+    assert rules("a.html", '<input placeholder="x@example.com">') == [] and rules("a.css", "/* x@example.com */") == []
+    assert rules("app.yml", "db.password: hunter2\nssl.verify=false") == [(1, "hardcoded-config-cred"), (1, "hardcoded-secret"), (2, "disabled-ssl-verify")]
+    assert rules("v.js", "x" * 2500 + " md5.New()") == []
+    f = X.scan_files(spark.createDataFrame([("a.go", "md5.New()\neval(x)"), ("b.go", None)], "path string, text string"))
+    assert {(r["severity"], r["n"]) for r in X.severity_counts(f).collect()} == {("warning", 1), ("info", 1)}
+    assert X.by_severity(f, ["INFO "]).count() == 1 and X.by_severity(f, []).count() == 2
+
+
+def test_schema(spark):
+    s = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "min": 1, "max": 3}, "b": {"type": "array", "items": {"type": "string", "pattern": "^x", "minLength": 2}}, "c": {"enum": [1, "two"]}}, "additionalProperties": False}
+    assert J.violations(s, {"a": 2, "b": ["xy"], "c": "two"}) == []
+    assert J.violations(s, {"b": ["y", 3], "c": 5, "d": 0}) == ["$.a: missing required field", "$.d: unexpected field", "$.b[0]: shorter than minLength 2", "$.b[0]: does not match pattern ^x", "$.b[1]: expected type string", "$.c: not in enum"]
+    assert J.violations(s, {"a": 9.0}) == ["$.a: over max 3"] and J.violations(s, {"a": True}) == ["$.a: expected type integer"] and J.violations(s, []) == ["$: expected type object"]
+    df = spark.createDataFrame([('{"a": 1}', '{"a":1}'), ("nope", "{}"), (None, "1")], "x string, y string")
+    got = df.select(J.validate("x", json.dumps(s)).alias("v"), J.equal_json(F.col("x"), F.col("y")).alias("e")).collect()
+    assert [r["v"] for r in got] == [[], ["output is not valid JSON"], ["output is not valid JSON"]] and got[0]["e"] and not got[1]["e"]
+
+
+def test_diffs(spark):
+    d = D.diff_text("a\nb\nc", "a\nx\nc")
+    assert d.split("\n")[3:] == [" a", "-b", "+x", " c"] and D.diff_text("a", "a") == ""
+    git = "diff --git a/src/app/x.go b/src/app/x.go\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n+// fix crash\n+func Open() {\n-old\ndiff --git a/src/app/y.go b/src/app/z.go\n+x"
+    assert D.message_of(git).split("\n") == ["fix(app): open", "", "- src/app/x.go (2+,1-)", "- src/app/z.go (renamed) (1+,0-)"]
+    assert D.message_of("") == "chore: update" and D.change_type(D.parse_diff("diff --git a/a_test.go b/a_test.go\n+add")) == "test"
+    assert one(spark, D.diff_summary, git).startswith("## a/src/app/x.go b/src/app/x.go\n@@ -1 +1 @@\n+// fix crash")
+    assert one(spark, D.harmless, "a\n b\x01c" + "d" * 600) == "a bc" + "d" * 496
+    assert D.symbols_in("rename `Store.Save` in db/conn.go and GetUser") == ["Store.Save", "conn", "GetUser"] or D.symbols_in("rename `Store.Save` in db/conn.go and GetUser")[0] == "Store.Save"
+    assert D.symbols_in("Save") == ["Save"]
+    texts = spark.createDataFrame([(1, "see a/b.go:3, a/b.go:9 and Store.Save on /api/users, not /api/none or /2024/01/02")], "id long, text string")
+    files = spark.createDataFrame([("a/b.go", 5)], "path string, lines long")
+    syms = spark.createDataFrame([("Store.Save", "Save", False, ""), ("list", "list", True, "/v1/api/users")], "full_name string, name string, entry boolean, route string")
+    assert {tuple(r) for r in D.check_claims(texts, files, syms).collect()} == {(1, "file", "a/b.go:3", True), (1, "file", "a/b.go:9", False), (1, "symbol", "Store.Save", True), (1, "route", "/api/users", True), (1, "route", "/api/none", False)}
+    row = spark.createDataFrame([("Hi {{name}}, {{ .n }} {{x}}", "A$1", 3)], "t string, a string, n int").select(D.render(F.col("t"), {"name": F.col("a"), "n": F.col("n")})).first()
+    assert row[0] == "Hi A$1, 3 {{x}}"
 
 
 def test_parsers(spark):
@@ -72,11 +165,17 @@ def test_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("t", "a"), ("d", "e")], "caller string, callee string")
     roots = spark.createDataFrame([("c",)], "id string")
     assert {tuple(r) for r in G.closure(e, roots, reverse=True).collect()} == {("c", 0), ("b", 1), ("a", 2), ("t", 3)}
-    assert tuple(G.shortest_path(e, "t", "c").first()) == ("t>a>c", 2)
+    assert tuple(G.shortest_path(e, "t", "c").first()) == (["t", "a", "c"], 2)
     assert G.shortest_path(e, "t", "e").count() == 0
     labels = {r["id"]: r["label"] for r in G.label_propagation(e).collect()}
     assert labels["a"] == labels["b"] == labels["c"] != labels["d"]
-    assert G.label_propagation(e, gate=2).count() == 0
+    wide = {r["id"]: r["label"] for r in G.label_propagation(e, gate=2).collect()}
+    assert wide["a"] == wide["b"] == wide["c"] != wide["d"] == wide["e"]
+    long = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(60)], "caller string, callee string")
+    far = G.closure(long, spark.createDataFrame([("n000",)], "id string")).agg(F.max("dist")).first()[0]
+    assert far == 60 and G.shortest_path(long, "n000", "n060").first()["hops"] == 60
+    owners = G.owners(spark.createDataFrame([("src/a/b.go",), ("src/c.tar.gz",), ("x",)], "path string"), spark.createDataFrame([("*", "all", 0), ("src/", "s", 1), ("src/a/", "a", 2), ("*.go", "g", 3), ("x", "x", 4)], "pattern string, owner string, ord int"))
+    assert {tuple(r) for r in owners.collect()} == {("src/a/b.go", "a"), ("src/c.tar.gz", "s"), ("x", "x")}
 
 
 def test_dense_and_fuse(spark):
