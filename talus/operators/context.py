@@ -87,7 +87,7 @@ def intent_targets(text: Column) -> Column:
 
 def tool_summary(raw: Column, most: int = 5) -> Column:
     """struct(summary, errors, facts, evidence, refs, saved) of a tool's output."""
-    bare = F.filter(F.transform(F.split(raw, "\n"), F.trim), lambda x: x != "")
+    bare = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     errors = F.filter(bare, lambda x: F.lower(x).rlike("error|fail|panic|fatal"))
     facts = F.filter(bare, lambda x: x.rlike(" = |:=|type |func "))
     evidence = F.filter(bare, lambda x: x.rlike("[^ :]:[0-9]"))

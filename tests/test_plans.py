@@ -28,7 +28,7 @@ def test_service_inference_of_all_views(spark):
                 out[r["event_id"]] = max(near, key=lambda e: (e["ts"], e["event_id"]))["user_id"]
         return out
 
-    got = events.service_inference_all(spark, sf).collect()
+    got = events.service_inference(spark, sf).collect()
     assert len(got) > 0 and dict(map(tuple, got)) == want("view") and len(got) == len(want("view"))
     e = events.events(spark, sf)
     assert dict(map(tuple, E.infer_service(e.where("event_type = 'error'"), e).collect())) == want("error")
