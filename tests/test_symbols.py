@@ -223,3 +223,21 @@ def test_saved_index(spark, index, tree, tmp_path):
     docs = P.read_documents(tree).collect()
     assert [(d["file"], d["start"]) for d in docs] == [("docs/guide.md", 1)]
     assert P.project_map(index["symbols"]).where("file = 'py/shapes.py'").first()["n"] == 6
+
+
+def test_asked(spark, index):
+    from talus import api
+
+    ranges = spark.createDataFrame([("store/store.go", 14, 14), ("py/shapes.py", None, None)], "file string, lo int, hi int")
+    some = {
+        "search": ("save",), "pattern": ("func *",), "find": ("Save",), "who_calls": ("helper",), "depends_on": ("helper",), "depends_of": ("main",), "supertypes": ("Square",), "subtypes": ("Shape",),
+        "implementations": ("Shape.area",), "near": ("helper",), "explore": ("helper",), "path": ("main", "Serve"), "longest_path": ("main",), "why": ("helper",), "probe": ("helper",), "delete": ("helper",),
+        "criticality": ("helper",), "apis": ("helper",), "services": ("helper",), "tests": ("helper",), "files": ("helper",), "graph": ("helper",), "changes": (ranges,), "large": (2,),
+    }
+    changes = spark.createDataFrame([(1, "remove_symbol", "helper", "")], "id int, kind string, target string, new_target string")
+    for question in api.QUESTIONS:
+        assert api.ask(index, question, *some.get(question, (changes,) if question == "what_if" else ())).count() > 0, question
+    risk = {r["file"]: r.asDict() for r in api.ask(index, "changes", ranges).collect()}
+    one = risk["store/store.go"]
+    assert (one["symbols"], one["callers"], one["blast"], one["gaps"], one["packages"]) == (1, 2, 3, 0, 2) and one["risk"] == round(1 + 1.584962500721156 + 1 + 1 + 1.5, 1)
+    assert api.sql(spark, index, "select count(*) from symbols s join files f on s.file = f.path").first()[0] == index["symbols"].count()
