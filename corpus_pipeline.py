@@ -1,19 +1,29 @@
 """Corpus pipeline over ``documents``: toxicity, exact dedup, n-gram Jaccard join,
 mixing to target weights, byte-level BPE. Each stage takes (spark, docs, sf_dir)
-and works on all that its predecessor kept; its result is written and read again."""
+and works on all that its predecessor kept; its result is written and read again.
+
+Defined cases, as those of the operators: a null text counts as empty, is clean, equal to other
+empties, like nothing, and never taken into the mix; a null doc_id is not learned from and
+stays where near copies go; null is a source of its own; of rows that repeat a doc_id and text one
+stays; very long texts are read whole; of ties the larger doc_id stays among equal texts, the
+smaller among near copies; an empty table gives empty results; other columns are carried along
+to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talus.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from talus.llm.scratch import Scratch
+from talus.llm.scratch import Scratch, fresh
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity machine rejects."""
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, machine, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    (score,) = fresh(docs, "toxicity")
+    return toxicity.scored(docs, machine, score).where(F.col(score) < 0.5).drop(score)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +38,7 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document once for each time that it is taken, cut where the
-    quota ends inside it."""
+    quota ends inside it; dealt to shards and shuffled there."""
     return mixing.mixed_documents(Scratch(spark, "mix"), docs)
 
 
