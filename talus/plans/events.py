@@ -318,7 +318,7 @@ ORACLES = {
         g AS (SELECT i.id, round(CASE WHEN i.id = f.first THEN s ELSE s * 0.3::DOUBLE END, 6) AS score FROM i JOIN f ON i.digest = f.digest), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM g)
         SELECT id, score, CASE WHEN k <= 100 THEN CASE WHEN score < 0.2 THEN 'COMPRESS' ELSE 'KEEP' END WHEN score < 0.1 THEN 'DROP' WHEN score < 0.3 THEN 'ARCHIVE' ELSE 'DEMOTE' END AS action FROM r""",
     "context_packets": f"SELECT source AS packet, count(*) AS items, sum({TOKENS}) AS tokens, count(DISTINCT lang) AS classes, count(DISTINCT doc_id % 3) AS sources FROM documents GROUP BY 1",
-    "greedy_pack": f"""WITH RECURSIVE d AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, {TOKENS} AS tokens, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+    "greedy_pack": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, {TOKENS} AS tokens, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
         r AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS path, 0::BIGINT AS tokens, false AS taken, 0::BIGINT AS before, 0::BIGINT AS used
               UNION ALL SELECT d.k, d.path, d.tokens, r.used + d.tokens <= 19800, r.used, r.used + CASE WHEN r.used + d.tokens <= 19800 THEN d.tokens ELSE 0 END FROM r JOIN d ON d.k = r.k + 1)
         SELECT path, tokens, taken, before FROM r WHERE k > 0""",

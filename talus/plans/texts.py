@@ -146,7 +146,7 @@ def full_text_search(spark, sf):
 
 def shingle_jaccard(spark, sf):
     c = turns(spark, sf)
-    return R.jaccard_lookup(c.where("id % 20 = 0").select(F.col("id").alias("query"), "text"), c, 0.3)
+    return R.jaccard_lookup(c.where("id % 20 = 0").select(F.col("id").alias("query"), "text"), c, 0.05)
 
 
 def lesson_recall(spark, sf):
@@ -216,8 +216,9 @@ def _lessons(q_id: str, q_src: str, c_id: str, c_src: str, k: int) -> str:
     """Recall as SQL: words of three letters or more that are no stop words."""
     stop = ", ".join(f"'{w}'" for w in R.STOP)
     w = f"list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda x: length(x) >= 3 AND NOT list_contains([{stop}], x))"
-    return f"""lq AS (SELECT id, term, count(*) AS m, max(n) AS nq FROM (SELECT {q_id} AS id, len({w}) AS n, unnest({w}) AS term FROM {q_src}) GROUP BY 1, 2),
-        lc AS (SELECT DISTINCT id, term, n AS nc FROM (SELECT {c_id} AS id, len({w}) AS n, unnest({w}) AS term FROM {c_src})),
+    return f"""lqw AS MATERIALIZED (SELECT {q_id} AS id, {w} AS w FROM {q_src}), lcw AS MATERIALIZED (SELECT {c_id} AS id, {w} AS w FROM {c_src}),
+        lq AS (SELECT id, term, count(*) AS m, max(n) AS nq FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM lqw) GROUP BY 1, 2),
+        lc AS (SELECT DISTINCT id, term, n AS nc FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM lcw)),
         ls AS (SELECT lq.id AS query, lc.id, round(sum(m) / max(nq)::DOUBLE + 0.5::DOUBLE * sum(m) / max(nc), 6) AS score FROM lq JOIN lc ON lq.term = lc.term GROUP BY 1, 2),
         lr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ls), le AS (SELECT * FROM lr WHERE rank <= {k})"""
 
@@ -316,7 +317,7 @@ ORACLES = {
         s AS (SELECT DISTINCT id, unnest(CASE WHEN len(a) <= 2 THEN a ELSE list_concat(a, list_transform(a[1:len(a) - 1], lambda x, i: x || ' ' || a[i + 1])) END) AS t FROM w), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
         m AS (SELECT a.id AS query, b.id, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2),
         j AS (SELECT query, m.id, round(k / (x.n + y.n - k)::DOUBLE, 6) AS similarity FROM m JOIN n x ON x.id = query JOIN n y ON y.id = m.id),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS k FROM j WHERE similarity >= 0.3) SELECT query, id, similarity FROM r WHERE k = 1""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS k FROM j WHERE similarity >= 0.05) SELECT query, id, similarity FROM r WHERE k = 1""",
     "lesson_recall": f"""WITH c AS {_conv}, {_lessons('id', "(SELECT * FROM c WHERE role = 'user' AND id % 20 = 0)", 'id', "(SELECT * FROM c WHERE role = 'assistant')", 3)} SELECT * FROM le""",
     "dense_cosine_topk": """WITH v AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS m FROM embeddings),
         s AS (SELECT a.id AS query, b.id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.m * b.m), 6) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0),

@@ -7,7 +7,6 @@ from talus.plans import registry
 from talus.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"bm25_topk", "rrf_fusion"}  # minutes in the SQL engine; compared by the driver
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def plain(frame):
     return cols, sorted((tuple(map(one, r)) for r in frame[cols].astype(object).itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracle(spark, con, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.ORACLES[name]).df()
     assert plain(got) == plain(want)
