@@ -69,7 +69,38 @@ QUERIES = {
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+SECRET_RULES = [(k, name, pattern, group, least) for k, (name, pattern, group, least) in enumerate(secrets.RULES)]
+_found = " UNION ALL ".join(
+    f"SELECT doc_id, source, {k} AS k, '{name}' AS kind, {least} AS least, regexp_split_to_array(t, p) AS gap, regexp_extract_all(t, p) AS whole, regexp_extract_all(t, p, {group}) AS val FROM (SELECT *, {chr(39) + pattern.replace(chr(39), chr(39) * 2) + chr(39)} AS p FROM d)"
+    for k, name, pattern, group, least in SECRET_RULES
+)
+_WORDS = f"regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLES = {
+    "op3_secrets": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), m AS ({_found}),
+        x AS (SELECT doc_id, source, k, kind, least, unnest(list_transform(range(1, len(whole) + 1), lambda i: {{'st': list_sum(list_transform(gap[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda y: length(y))), 0),
+              'n': length(whole[i]), 'val': val[i]}})) AS s FROM m WHERE len(whole) > 0),
+        s AS (SELECT doc_id, source, k, kind, CAST(s.st AS BIGINT) AS st, CAST(s.st + s.n AS BIGINT) AS en, s.val AS val FROM x WHERE length(s.val) >= least),
+        b AS (SELECT * FROM s WHERE k < 3),
+        o AS (SELECT * FROM s WHERE k = 3 AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[0-9]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.st < s.en AND s.st < b.en)),
+        e AS (SELECT * FROM b UNION ALL SELECT * FROM o),
+        h AS (SELECT val, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM e GROUP BY val),
+        j AS (SELECT e.*, owners <= 1 AND repositories <= 8 AS live FROM e JOIN h ON e.val = h.val)
+        SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+               sha256(coalesce(string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, k) FILTER (WHERE k < 3), '')) AS base_sha256,
+               coalesce(string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, k) FILTER (WHERE k < 3 OR live), '') AS spans,
+               count(*) FILTER (WHERE k < 3 AND live) AS n_live, count(*) FILTER (WHERE k < 3 AND NOT live) AS n_copied, count(*) FILTER (WHERE k = 3 AND live) AS n_opaque
+        FROM d LEFT JOIN j ON d.doc_id = j.doc_id GROUP BY d.doc_id""",
+    "op10_ngram_join": f"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS a FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')] ELSE list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) END) AS t FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM m JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -276,6 +276,49 @@ def test_secret_ownership(spark, scratch):
     assert got[5]["spans"] == "assign:15:37"
 
 
+def test_secrets_of_documents(spark, scratch):
+    """Base spans of whole documents against plain patterns."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    want = {}
+    for d in docs.collect():
+        t = d["text"] or ""
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+        want[d["doc_id"]] = (*(sum(f[1] == k for f in found) for k in range(3)), hashlib.sha256(line.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.scan(scratch, docs).collect()}
+    assert got == want
+
+
+def test_held_out(spark, scratch):
+    """Labels that were not learned: quality is told, and no clean text is called toxic."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    docs, labels = read("documents"), read("labels")
+    marks = {r["doc_id"]: r for r in labels.collect()}
+    quality_rows = [(r["predicted"], marks[r["doc_id"]]["quality"]) for r in quality.classify(scratch, docs, labels).where("held_out").collect() if r["doc_id"] in marks]
+    assert len(quality_rows) > 50 and np.mean([p == q for p, q in quality_rows]) > 0.95
+    toxic_rows = [(r["predicted"], marks[r["doc_id"]]["toxic"]) for r in toxicity.classify(docs, labels).where("held_out").collect() if r["doc_id"] in marks]
+    assert not [1 for p, t in toxic_rows if p and not t] and sum(p for p, _ in toxic_rows) >= 3
+    twice = labels.unionByName(labels)
+    assert quality.classify(scratch, docs, twice).agg(F.round(F.sum("score"), 9)).first() == quality.classify(scratch, docs, labels).agg(F.round(F.sum("score"), 9)).first()
+
+
+def test_placeholders(spark, scratch):
+    """A token that one owner spreads over many repositories is copied, not live."""
+    rows = [(k, f"x {'Ab3' * 9} token=abcdefghijkl{k % 2}", "a") for k in range(12)]
+    got = secrets.scan(scratch, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["spans"].startswith("assign") and r["n_opaque"] == 0 for r in got) and {(r["n_live"], r["n_copied"]) for r in got} == {(1, 0)}
+
+
+def test_crowded_keys(scratch, docs, rows, monkeypatch):
+    """Rare keys of many texts are compared in tiles, with the same result."""
+    plain = {tuple(r) for r in ngram_join.jaccard_components(scratch, docs).collect()}
+    monkeypatch.setattr(ngram_join, "LONG", 1)
+    assert {tuple(r) for r in ngram_join.jaccard_components(scratch, docs).collect()} == plain
+
+
 def test_vectors(spark, scratch):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(9, 24)), 7, axis=0) + rng.normal(scale=0.12, size=(63, 24))

@@ -39,8 +39,9 @@ def test_suffix_array():
 def test_suffix_array_recurses(monkeypatch):
     """Repetitive strings of many names, as digits and as they are."""
     rng = np.random.default_rng(2)
-    for digits in (2, 8, 512):
+    for digits, small in ((2, 0), (8, 0), (512, 0), (512, 20), (512, 1 << 14)):
         monkeypatch.setattr(suffix, "DIGITS", digits)
+        monkeypatch.setattr(suffix, "SMALL", small)
         for _ in range(60):
             part = rng.integers(1, rng.integers(3, 200), rng.integers(1, 40))
             s = np.concatenate([part, rng.integers(1, 200, rng.integers(0, 30)), part, np.tile(part[:7], 5), [0]])
