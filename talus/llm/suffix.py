@@ -18,6 +18,7 @@ import math
 import numpy as np
 
 DIGITS = 512  # names go in as they are up to this many, else as two digits
+SMALL = 1 << 17  # strings that are sorted at once, where the recursion ends
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -93,8 +94,8 @@ def _within(c: np.ndarray, symbols: int) -> np.ndarray:
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of small unsigned symbols whose last is the unique least."""
-    if len(s) < 3:
-        return np.arange(len(s))[::-1]
+    if len(s) < max(3, SMALL):
+        return sorted_at_once(s)
     symbols = int(s.max()) + 1
     s = s.astype(np.int16 if symbols < 1 << 15 else np.int64)
     small = classify(s)
@@ -109,6 +110,21 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return induce(s, small, lms, symbols)
 
 
+def sorted_at_once(s: np.ndarray) -> np.ndarray:
+    """The suffixes of a short string, by ranks of stretches twice as long each time."""
+    rank, span = s.astype(np.int64), 1
+    while True:
+        after = np.zeros(len(rank), np.int64)
+        after[:-span] = rank[span:] + 1
+        both = rank * (int(rank.max(initial=0)) + 2) + after
+        order = np.argsort(both, kind="stable")
+        rank = np.empty(len(both), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(np.diff(both[order]) != 0)])[: len(order)]
+        span *= 2
+        if span >= len(rank) or rank.max(initial=0) == len(rank) - 1:
+            return order
+
+
 def names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Ranks of the leftmost-smaller substrings, equal ones alike, in text order. A substring
     reaches to the next one's first symbol; neighbours in the order are compared symbol by symbol."""

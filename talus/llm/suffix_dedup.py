@@ -6,10 +6,11 @@ places, so windows need to be compared under their anchor only. The windows of o
 occurrence form a segment. Anchors that occur once are done; hashes decide nothing else.
 
 Suffix arrays. The segments of an anchor that occurs again are dealt to shards by anchor; equal
-ones travel once, with all their places. A shard's text (every different segment, twice
-where it occurs more often) is sorted by induced sorting (``suffix.suffix_array``), and permuted
-common prefixes of at least ``width`` between neighbours name the windows that recur.
-A worker settles beforehand, byte by byte, segments that repeat in its own flush.
+ones travel once, with all their places. A segment that stands in several places, byte for
+byte, recurs whole. The different segments of an anchor are a shard's text, which is sorted by
+induced sorting (``suffix.suffix_array``); permuted common prefixes of at least ``width``
+between neighbours name the windows that recur. A worker settles beforehand, byte by byte,
+segments that repeat in its own flush.
 
 An anchor with more than HOT different segments (a common passage in changing surroundings) would
 outgrow a shard; its segments are cut finer, to single windows, which are compared by 128
@@ -24,6 +25,7 @@ rows with a null doc_id; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,12 +213,12 @@ def stretches(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[cut], starts[np.append(cut[1:], len(starts)) - 1] + width
 
 
-PIECES = "shard int, rows binary, places binary, often boolean, data binary"
+PIECES = "shard int, hot boolean, key long, rows binary, places binary, often boolean, data binary"
 
 
 def cut(docs: DataFrame, needs: DataFrame, shards: int) -> DataFrame:
-    """Rows of PIECES: the segments asked for, dealt by anchor (to shard -1 those of anchors
-    with over HOT different ones); equal ones of a flush are one row with all their places."""
+    """Rows of PIECES: the segments asked for, dealt by anchor; equal ones of a flush are one row
+    with all their places."""
     asked = needs.groupBy("row").agg(F.collect_list(F.struct("a", "b", "key", (F.col("n") > 1).alias("often"), (F.col("segments") > HOT).alias("hot"))).alias("wanted"))
     both = docs.join(asked, "row").select("row", "text", "wanted")
 
@@ -227,16 +229,16 @@ def cut(docs: DataFrame, needs: DataFrame, shards: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             which = list(held)
             packed = [pa.array([np.array(held[k][c], "<i8").tobytes() for k in which], pa.binary()) for c in (0, 1)]
-            out = [pa.array([k[0] for k in which], pa.int32()), *packed, pa.array([held[k][2] for k in which], pa.bool_()), pa.array([k[1] for k in which], pa.binary())]
+            out = [pa.array([mixed_shard(k[0], shards) for k in which], pa.int32()), pa.array([held[k][3] for k in which], pa.bool_()), pa.array([k[0] for k in which], pa.int64()), *packed, pa.array([held[k][2] for k in which], pa.bool_()), pa.array([k[1] for k in which], pa.binary())]
             held.clear()
-            return pa.RecordBatch.from_arrays(out, ["shard", "rows", "places", "often", "data"])
+            return pa.RecordBatch.from_arrays(out, ["shard", "hot", "key", "rows", "places", "often", "data"])
 
         for batch in batches:
             for row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     part = data[w["a"] : w["b"]]
-                    entry = held.setdefault((-1 if w["hot"] else mixed_shard(w["key"], shards), part), [[], [], False])
+                    entry = held.setdefault((w["key"], part), [[], [], False, w["hot"]])
                     entry[0].append(row)
                     entry[1].append(w["a"])
                     entry[2] |= w["often"]
@@ -255,28 +257,33 @@ def by_array(cuts: DataFrame, width: int) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         places: dict[bytes, list] = {}
-        for data, where, at, often in zip(rows["data"], rows["rows"], rows["places"], rows["often"], strict=True):
-            entry = places.setdefault(data, [[], [], False])
+        for key, data, where, at, often in zip(rows["key"], rows["data"], rows["rows"], rows["places"], rows["often"], strict=True):
+            entry = places.setdefault(data, [[], [], False, key])
             entry[0].append(np.frombuffer(where, "<i8"))
             entry[1].append(np.frombuffer(at, "<i8"))
-            entry[2] |= bool(often)
-        once = list(places)
-        again = [x for x in once if places[x][2] or sum(map(len, places[x][0])) > 1]
-        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for data, starts in zip(once, recurring(once + again, width), strict=False):
-            if len(starts):
+            entry[2] |= bool(often) or len(entry[0]) > 1 or len(entry[0][0]) > 1
+        different = Counter(entry[3] for entry in places.values())
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for data, entry in places.items():
+            if entry[2]:  # stands in several places, so all of it recurs
+                out[0] += entry[0]
+                out[1] += entry[1]
+                out[2] += [at + len(data) for at in entry[1]]
+        sorted_ = [x for x, entry in places.items() if different[entry[3]] > 1]
+        for data, starts in zip(sorted_, recurring(sorted_, width) if sorted_ else (), strict=True):
+            if len(starts) and not places[data][2]:
                 lo, hi = stretches(starts, width)
-                where, at = np.concatenate(places[data][0]), np.concatenate(places[data][1])
+                where, at = places[data][0][0], places[data][1][0]
                 out[0].append(np.repeat(where, len(lo)))
-                out[1].append((at[:, None] + lo).ravel())
-                out[2].append((at[:, None] + hi).ravel())
+                out[1].append(at + lo)
+                out[2].append(at + hi)
         return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("row", "a", "b"), out, strict=True)})
 
-    return cuts.where("shard >= 0").groupBy("shard").applyInPandas(run, "row long, a long, b long")
+    return cuts.where("not hot").groupBy("shard").applyInPandas(run, "row long, a long, b long")
 
 
 def by_window(scratch: Scratch, cuts: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Rows (row, a, b): recurring windows of the segments of shard -1."""
+    """Rows (row, a, b): recurring windows of the segments of anchors with over HOT different ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -298,7 +305,7 @@ def by_window(scratch: Scratch, cuts: DataFrame, width: int, buckets: int) -> Da
         if parts:
             yield from emit(*fold(parts), buckets)
 
-    hot = scratch.save(cuts.where("shard < 0").select("rows", "places", "often", "data").mapInArrow(run, ASK))
+    hot = scratch.save(cuts.where("hot").select("rows", "places", "often", "data").mapInArrow(run, ASK))
     return settled(hot).unionByName(find(hot, equal=True).select("row", "a", "b"))
 
 
@@ -317,11 +324,12 @@ def remove_recurring(scratch: Scratch, docs: DataFrame, width: int = 200) -> Dat
     found = scratch.save(find(asks))
     cover = scratch.save(settled(asks))
     scratch.drop(asks)
-    cuts = scratch.save(cut(docs, found, max(parts * 2, min(found.count() >> 14, 1 << 30))))
-    more = scratch.save(by_array(cuts, width).unionByName(by_window(scratch, cuts, width, buckets)))
+    shards = max(parts * 2, min(found.count() >> 14, 1 << 30))
+    cuts = scratch.save(cut(docs, found, shards))
+    cover = cover.unionByName(scratch.save(by_array(cuts, width).unionByName(by_window(scratch, cuts, width, buckets))))
     scratch.drop(cuts)
     scratch.sweep()
-    spans = cover.unionByName(more).distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    spans = cover.distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
