@@ -15,8 +15,20 @@ from talus.operators import retrieval as R
 from talus.operators import symbols as S
 from talus.tables import table
 
-#: A word boundary over ASCII words, whatever the engine's own is.
+#: A word boundary over ASCII words, whatever the engine's own is; and one before a word.
 BOUND = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+BEFORE = "(?<![A-Za-z0-9_])"
+#: What a label's match must hold, where that is a fixed text: other documents need no pattern.
+HOLDS = {"PRIVATE_KEY": "PRIVATE KEY", "AWS": "AKIA", "GITHUB": "gh", "GITHUB_PAT": "github_pat_", "SLACK": "xox", "STRIPE": "sk_", "OPENAI": "sk-", "JWT": "eyJ", "BEARER": "Bearer", "URL_CRED": "://", "IPV6": "::", "EMAIL": "@"}
+
+
+def label_count(label: str, pattern: str):
+    """Matches of a label's pattern in the text. Patterns begin with a word, but for mail addresses."""
+    head, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    if body.startswith(r"\b") and label not in ("EMAIL", "IPV6"):
+        body = BEFORE + body[2:]
+    n = F.regexp_count("text", F.lit(head + body.replace(r"\b", BOUND)))
+    return F.when(F.contains("text", F.lit(HOLDS[label])), n).otherwise(0) if label in HOLDS else n
 
 
 def docs(spark, sf):
@@ -69,7 +81,7 @@ def html_to_text(spark, sf):
 
 def pii_label_counts(spark, sf):
     """Matches of each label's patterns, before exemptions and overlaps, by language."""
-    n = [sum((F.sum(F.regexp_count("text", F.lit(p.replace(r"\b", BOUND)))) for l, p in P.PATTERNS if l == label), F.lit(0)).alias(label) for label in P.LABELS]
+    n = [sum((F.coalesce(F.sum(label_count(label, p)), F.lit(0)) for l, p in P.PATTERNS if l == label), F.lit(0)).alias(label) for label in P.LABELS]
     return docs(spark, sf).groupBy("lang").agg(*n)
 
 
@@ -167,9 +179,10 @@ def rrf_fusion(spark, sf):
 
 
 def hybrid_search(spark, sf):
-    """Opening turns among all replies, by words and by hashed parts of words."""
+    """Opening turns of the conversations whose number is divisible by 20 among all replies, by words
+    and by hashed parts of words."""
     c = turns(spark, sf)
-    return R.hybrid(c.where("role = 'assistant'").select("id", F.left("text", F.length("text")).alias("text")), c.where("role = 'user' and id % 1000 = 0").select(F.col("id").alias("query"), "text"))
+    return R.hybrid(c.where("role = 'assistant'").select("id", "text"), c.where("role = 'user' and id % 20000 = 0").select(F.col("id").alias("query"), "text"))
 
 
 def chunks(spark, sf):
