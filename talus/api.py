@@ -87,7 +87,7 @@ def _changes(index: Index, ranges: DataFrame) -> DataFrame:
     touched = G.overlapping(s.where(~S.test_file(s["file"])), ranges).selectExpr("file", "full_name as id")
     homes = S.symbol_files(s).select(F.col("full_name").alias("id"), "file", S.folder(F.col("file")).alias("dir"))
     tests = homes.where(S.test_file(F.col("file"))).select("id")
-    return G.change_risk(touched, e, homes, tests, S.hub_set(s, e).withColumnRenamed("symbol", "id"))
+    return G.change_risk(touched, e, homes.select("id", "dir"), tests, S.hub_set(s, e).withColumnRenamed("symbol", "id"))
 
 
 def ask(index: Index, question: str, *values, **options) -> DataFrame:
