@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATS = "ts timestamp, session string, operation string, source string, model string, before_tokens long, after_tokens long"
-# Dollars a million tokens, by model.
-PRICES = {"gpt-4o-mini": 0.15, "gpt-4o": 2.5, "gpt-4": 30.0, "claude-3-haiku": 0.25, "claude-3-sonnet": 3.0}
+# Dollars a million tokens read, by model; others cost nothing.
+PRICES = {
+    "gpt-4o": 2.50, "gpt-4o-mini": 0.15, "gpt-4.1": 2.00, "gpt-4.1-mini": 0.40, "gpt-4.1-nano": 0.10, "claude-sonnet-4": 3.00, "claude-3-5-sonnet": 3.00, "claude-haiku-4-5": 1.00,
+    "gemini-2.5-pro": 1.25, "gemini-2.5-flash": 0.30, "llama-3.3-70b": 0.00, "local": 0.00,
+}
 
 
 def record_stats(entries: DataFrame, root: str, prices: dict[str, float] = PRICES) -> None:
