@@ -50,7 +50,7 @@ QUESTIONS: dict[str, Callable[..., DataFrame]] = {
     "explore": lambda ix, name, depth=2, most=50: S.explore(ix["symbols"], ix["callers"], name, depth, most),
     "path": lambda ix, start, goal: G.shortest_path(ix["callers"], start, goal),
     "longest_path": lambda ix, root: S.longest_path(ix["callers"], root),
-    "flows": lambda ix, limit=20: S.flows(ix["symbols"], ix["callers"], limit),
+    "flows": lambda ix, limit=10: S.flows(ix["symbols"], ix["callers"], limit),
     "why": lambda ix, name: S.why(ix["symbols"], ix["callers"], name),
     "probe": lambda ix, task: S.probe(ix["symbols"], ix["callers"], task),
     "hubs": lambda ix, limit=0: S.hubs(ix["symbols"], ix["callers"], limit),

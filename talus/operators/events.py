@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.shared import cut
+
 
 def correlate(alerts: DataFrame, events: DataFrame, minutes: int = 30) -> DataFrame:
     """alert, events, deployments, total: what the alert's service did in the closed
@@ -19,20 +21,43 @@ def correlate(alerts: DataFrame, events: DataFrame, minutes: int = 30) -> DataFr
     return hit.groupBy("alert").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "signup").alias("deployments"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def as_of(asks: DataFrame, facts: DataFrame) -> DataFrame:
+    """(event_id, ts, found) of each ask (event_id, ts): the latest fact (event_id, ts, ...) at or before it that
+    is another event, as a struct of its columns; of facts at one time the larger event. Two passes over ranges
+    of time: within a range a running maximum carries the last fact along, and each range's last two facts go to
+    the ranges after it, so neither a crowded minute nor a crowded instant is one task. event_id is a key."""
+    kept = [c for c in facts.columns if c not in ("ts", "event_id")]
+    fact = F.struct("ts", "event_id", *kept)
+    rows = facts.where("ts is not null").select("event_id", "ts", F.lit(0).alias("kind"), fact.alias("fact"))
+    rows = rows.unionByName(asks.where("ts is not null").select("event_id", "ts", F.lit(1).alias("kind")), allowMissingColumns=True)
+    order = ("ts", "kind", "event_id")
+    parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    in_range = Window.partitionBy("part").orderBy(*order)
+    # Facts of a range stand in order, so the one before a fact is the last of those before.
+    last = F.max("fact").over(in_range.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.when(F.col("kind") == 0, F.max("fact").over(in_range.rowsBetween(Window.unboundedPreceding, -1)))
+    scan = dealt.withColumn("before", before).withColumn("last", last)
+    scan = scan.withColumn("second", F.max(F.when(F.col("kind") == 0, F.struct("fact", "before"))).over(in_range.rowsBetween(Window.unboundedPreceding, 0))["before"])
+    ends = dealt.where("kind = 0").groupBy("part").agg(F.max("fact").alias("last")).join(
+        scan.where("kind = 0").groupBy("part").agg(F.max(F.struct("fact", "before"))["before"].alias("second")), "part")
+    kind = ends.schema["last"].dataType.simpleString()
+    held, top, carried = {r["part"]: r for r in ends.collect()}, [], []  # one row a range
+    for p in range(parts):
+        carried.append((p, *(top + [None, None])[:2]))
+        if p in held:
+            top = [f for f in (held[p]["last"], held[p]["second"], *top) if f is not None][:2]
+    carry = asks.sparkSession.createDataFrame(carried, f"part int, c1 {kind}, c2 {kind}")
+    both = scan.where("kind = 1").join(F.broadcast(carry), "part", "left")  # one row a range
+    other = lambda c: F.when(F.col(f"{c}.event_id") != F.col("event_id"), F.col(c))
+    return both.select("event_id", "ts", F.coalesce(other("last"), other("second"), other("c1"), other("c2")).alias("found"))
+
+
 def infer_service(alerts: DataFrame, events: DataFrame, minutes: int = 30) -> DataFrame:
     """alert, service: the service of the latest error at or before an alert that
-    names none, within the window; ties to the larger event. One sort a time bin of the
-    window's length carries the latest error along; the bin before gives its last."""
-    span = minutes * 60
-    bin_of = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(span * 1_000_000))
-    a = alerts.select("event_id", "ts", F.lit(0).alias("kind"), F.lit(None).alias("user_id"))
-    e = events.where("event_type = 'error' and ts is not null").select("event_id", "ts", F.lit(1).alias("kind"), "user_id")
-    rows = e.unionByName(a).withColumn("bin", bin_of).withColumn("error", F.when(F.col("kind") == 1, F.struct("ts", "event_id", "user_id")))
-    ends = rows.where("kind = 1").groupBy((F.col("bin") + 1).alias("bin")).agg(F.max("error").alias("end"))
-    past = Window.partitionBy("bin").orderBy("ts", "event_id", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("past", F.max("error").over(past)).withColumn("peer", F.max("error").over(Window.partitionBy("bin", "ts"))).where("kind = 0").join(ends, "bin", "left")
-    found = F.when(F.col("peer.event_id") > F.col("event_id"), F.col("peer")).otherwise(F.coalesce("past", "end"))
-    hit = rows.withColumn("found", found).where(F.col("found.ts") >= F.col("ts") - F.expr(f"INTERVAL {minutes} MINUTES"))
+    names none, within the window; ties to the larger event."""
+    errors = events.where("event_type = 'error'").select("event_id", "ts", "user_id")
+    hit = as_of(alerts.select("event_id", "ts"), errors).where(F.col("found.ts") >= F.col("ts") - F.expr(f"INTERVAL {minutes} MINUTES"))
     return hit.select(F.col("event_id").alias("alert"), F.col("found.user_id").alias("service"))
 
 

@@ -13,6 +13,10 @@ from talus.shared import cut
 
 #: Sequential label propagation is defined up to this many nodes.
 GATE = 50_000
+#: Files of a commit that meet in one cell when pairs are counted.
+TILE = 2_000
+#: Rounds after which what a closure has seen is written again as one table.
+GATHER = 8
 
 
 def count_of(edges: DataFrame, by: str, name: str) -> DataFrame:
@@ -82,7 +86,7 @@ def closure(edges: DataFrame, roots: DataFrame, reverse: bool = False, depth: in
         front = cut(new.join(seen.select("id"), "id", "left_anti").withColumn("dist", F.lit(k)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front) if k % GATHER else cut(seen.unionByName(front))
     return seen
 
 
@@ -99,7 +103,7 @@ def reach(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFram
         front = cut(new.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("dist", F.lit(k)))
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front) if k % GATHER else cut(seen.unionByName(front))
 
 
 def level(callers: Column) -> Column:
@@ -129,11 +133,18 @@ def coupling(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return cross.groupBy(F.least("ga", "gb").alias("left"), F.greatest("ga", "gb").alias("right")).agg(F.count("*").alias("edges"), F.min(F.concat_ws(">", "caller", "callee")).alias("sample"))
 
 
-def cochange(commits: DataFrame, least: int = 2, top: int = 3) -> DataFrame:
+def cochange(commits: DataFrame, least: int = 2, top: int = 3, tile: int = TILE) -> DataFrame:
     """file, partner, n, rank: files that change in the same commits most often. Pairs are counted
-    in the partition that makes them before they move."""
-    c = commits.select("commit", "file").distinct()
-    pairs = c.join(c.withColumnRenamed("file", "partner"), "commit").where("file <> partner")
+    in the partition that makes them before they move. A commit of more than ``tile`` files is cut into tiles
+    of files, and each pair of tiles is a cell of its own, so no commit is one task."""
+    c = commits.select("commit", "file").where("commit is not null and file is not null").distinct()
+    wide = c.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("commit", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    tiles = F.coalesce("tiles", F.lit(1))
+    c = cut(c.join(wide, "commit", "left").select("commit", "file", tiles.alias("tiles"), F.pmod(F.xxhash64("file"), tiles).cast("int").alias("mine")))
+    others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = c.select("commit", "file", F.col("mine").alias("row"), others.alias("col"))
+    right = c.select("commit", F.col("file").alias("partner"), others.alias("row"), F.col("mine").alias("col"))
+    pairs = left.join(right, ["commit", "row", "col"]).where("file <> partner")
     n = pairs.groupBy("file", "partner").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "partner"))
     return n.withColumn("rank", rank).where(F.col("rank") <= top)

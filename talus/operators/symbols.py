@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from talus.functions.text import identifier_segments, plural_variants, query_words, strip_diacritics
 from talus.operators import graph as G
+from talus.operators import reachability as R
 
 # File names and folders of tests.
 TEST_ENDS = r"(_test\.(go|py|rb|js|ts)|_spec\.(rb|py)|\.test\.(ts|tsx|js|jsx|mjs|cjs|py|rb|go)|\.spec\.(ts|tsx|js|jsx|rb|py))$"
@@ -349,28 +350,19 @@ def whole_graph(edges: DataFrame, limit: int = 500) -> DataFrame:
     return edges.join(top.withColumnRenamed("id", "caller"), "caller", "left_semi").join(top.withColumnRenamed("id", "callee"), "callee", "left_semi").select("caller", "callee")
 
 
-def flows(symbols: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    """(root, reached): functions outside tests that nothing calls, by the number of symbols they reach."""
+def flows(symbols: DataFrame, edges: DataFrame, limit: int | None = 10, depth: int = 12) -> DataFrame:
+    """(root, file, depth, reached, path): functions outside tests that nothing calls and that call something, by
+    the number of symbols they reach, then by the nodes of their longest path, then by name."""
     f = functions(symbols).where(~test_file(F.col("file"))).select(F.col("full_name").alias("id")).distinct()
-    roots = f.join(edges.select(F.col("callee").alias("id")), "id", "left_anti").join(edges.select(F.col("caller").alias("id")), "id", "left_semi")
-    n = G.reach(edges, roots).where("dist > 0").groupBy("root").agg(F.count("*").alias("reached"))
-    return n.orderBy(F.desc("reached"), "root").limit(limit)
+    roots = f.join(edges.select(F.col("callee").alias("id")), "id", "left_anti").join(edges.where("caller <> callee").select(F.col("caller").alias("id")), "id", "left_semi")
+    out = R.flows(edges, roots, limit, depth=depth).join(symbol_files(symbols).withColumnRenamed("full_name", "root"), "root", "left")
+    return out.select("root", "file", "depth", "reached", R.as_text(F.col("path")).alias("path")).orderBy(F.desc("reached"), F.desc("depth"), "root")
 
 
 def longest_path(edges: DataFrame, root: str, fan_out: int = 3, depth: int = 12) -> DataFrame:
-    """(path, hops): a longest simple path from ``root``, following the first ``fan_out`` callees by
-    name of each symbol, to at most ``depth`` hops; the least by text among the longest."""
-    nth = Window.partitionBy("caller").orderBy("callee")
-    few = edges.select("caller", "callee").distinct().withColumn("n", F.row_number().over(nth)).where(F.col("n") <= fan_out)
-    front = edges.sparkSession.createDataFrame([(root, [root])], "id string, path array<string>")
-    best = front
-    for _ in range(depth):
-        step = front.join(few, front.id == few.caller).where(~F.array_contains("path", F.col("callee")))
-        front = G.cut(step.select(F.col("callee").alias("id"), F.concat("path", F.array("callee")).alias("path")))
-        if front.isEmpty():
-            break
-        best = front
-    return best.orderBy(F.array_join("path", ">")).limit(1).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+    """(path, hops): the longest path from ``root``, as the flows print it."""
+    start = edges.sparkSession.createDataFrame([(root,)], "id string")
+    return R.longest_paths(edges, start, fan_out, depth).select(R.as_text(F.col("path")).alias("path"), (F.size("path") - 1).alias("hops"))
 
 
 def trace(symbols: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.operators import graph as G
+from talus.operators import reachability as R
 from talus.tables import table
 
 #: Node ids are numbers: the kind times STEP, plus the key. Names are made for results only.
@@ -146,6 +147,18 @@ def flow_roots(spark, sf):
     return G.reach(named(e, "caller", "callee"), ten).where("dist > 0").groupBy("root").agg(F.count("*").alias("reached"))
 
 
+def flows(spark, sf):
+    """Every node that nothing depends on: how many nodes it reaches, and its longest path."""
+    e = G.cut(named(depends_on(spark, sf), "caller", "callee"))
+    roots = e.select(F.col("caller").alias("id")).distinct().join(e.select(F.col("callee").alias("id")), "id", "left_anti")
+    return R.flows(e, roots).withColumn("path", R.as_text(F.col("path")))
+
+
+def criticality_levels(spark, sf):
+    """Of every node of the graph, counted up to 256."""
+    return named(R.criticality_of_all(depends_on(spark, sf)), "id").withColumnRenamed("id", "symbol")
+
+
 def layer_check(spark, sf):
     """Edges between layers of which no pair allows them."""
     e = depends_on(spark, sf)
@@ -241,7 +254,7 @@ def shortest_path(spark, sf):
     return path.select(F.array_join(F.transform("path", name), ">").alias("path"), "hops")
 
 
-QUERIES = {f.__name__: f for f in (hubs, bridges, callers_prod, dead_nodes, coverage_gaps, blast_radius, transitive_callees, criticality, who_depends, arch_coupling, near_nation, whole_graph, flow_roots, layer_check, churn, cochange_partners, change_impact_risk, boundary_violations, ownership_lookup, canonical_names, manifest_diff, range_overlap_changes, qualified_callee_join, inheritance_subtypes, large_functions, languages, communities, shortest_path)}
+QUERIES = {f.__name__: f for f in (hubs, bridges, callers_prod, dead_nodes, coverage_gaps, blast_radius, transitive_callees, criticality, who_depends, arch_coupling, near_nation, whole_graph, flow_roots, flows, criticality_levels, layer_check, churn, cochange_partners, change_impact_risk, boundary_violations, ownership_lookup, canonical_names, manifest_diff, range_overlap_changes, qualified_callee_join, inheritance_subtypes, large_functions, languages, communities, shortest_path)}
 
 TESTS = "tests AS (SELECT id FROM nodes WHERE dir = 'order' AND id LIKE '%7')"
 PROD = "prod AS (SELECT * FROM edges WHERE caller NOT IN (SELECT id FROM tests))"
@@ -278,6 +291,17 @@ ORACLES = {
     "flow_roots": f"""WITH RECURSIVE {EDGES}, roots AS (SELECT id FROM nodes WHERE id IN (SELECT caller FROM edges) AND id NOT IN (SELECT callee FROM edges) ORDER BY id LIMIT 10),
         r AS (SELECT id AS root, id FROM roots UNION SELECT root, callee FROM r JOIN edges ON caller = r.id)
         SELECT root, count(*) - 1 AS reached FROM r GROUP BY root""",
+    "flows": f"""WITH RECURSIVE {EDGES}, roots AS (SELECT DISTINCT caller AS id FROM edges WHERE caller NOT IN (SELECT callee FROM edges)),
+        r AS (SELECT id AS root, id FROM roots UNION SELECT root, callee FROM r JOIN edges ON caller = r.id),
+        n AS (SELECT root, count(*) - 1 AS reached FROM r GROUP BY root),
+        few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY callee) AS nth FROM edges) WHERE nth <= 3),
+        p AS (SELECT id AS root, id, [id] AS path FROM roots UNION ALL SELECT root, callee, list_append(path, callee) FROM p JOIN few ON caller = p.id WHERE len(path) < 12),
+        b AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY len(path) DESC, path) AS k FROM p)
+        SELECT b.root, len(path) AS depth, reached, array_to_string(path, '>') AS path FROM b JOIN n ON b.root = n.root WHERE k = 1""",
+    "criticality_levels": f"""WITH RECURSIVE {EDGES}, roots AS (SELECT id FROM nodes), {REACH},
+        n AS (SELECT root AS symbol, count(DISTINCT id) - 1 AS dependents FROM r GROUP BY root)
+        SELECT symbol, least(dependents, 256) AS dependents,
+               CASE WHEN dependents > 20 THEN 'critical' WHEN dependents >= 10 THEN 'high' WHEN dependents >= 3 THEN 'medium' ELSE 'low' END AS level FROM n""",
     "layer_check": f"""WITH {EDGES}, l AS (SELECT id, CASE dir WHEN 'order' THEN 'sales' WHEN 'customer' THEN 'party' WHEN 'supplier' THEN 'party' WHEN 'nation' THEN 'place' WHEN 'region' THEN 'place' END AS layer FROM nodes)
         SELECT a.layer AS src_layer, b.layer AS dst_layer, count(*) AS n, min(caller || '>' || callee) AS sample FROM edges JOIN l a ON caller = a.id JOIN l b ON callee = b.id
         WHERE a.layer <> b.layer AND NOT (a.layer = 'sales' AND b.layer = 'party') GROUP BY 1, 2""",

@@ -1,8 +1,14 @@
 """Whole-table bindings of queries that SQL does not cover."""
 
-from datetime import timedelta
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
 
 from talus.operators import events as E
+from talus.operators import graph as G
 from talus.plans import events, graph, texts
 
 
@@ -41,3 +47,43 @@ def test_communities_of_parts(spark, tmp_path):
     got = {r["id"]: r["label"] for r in graph.communities(spark, str(tmp_path)).collect()}
     assert set(got) == {"part:1", "part:2", "part:3", "part:4"}
     assert got["part:1"] == got["part:2"] != got["part:3"] == got["part:4"]
+
+
+def test_service_inference_in_one_instant(spark):
+    """All events within a minute, most of them at one time: spread over tasks, and the same as all pairs."""
+    rnd = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(seconds=rnd.choice([30, 30, 30, rnd.randrange(60)])), f"u{rnd.randrange(9)}", rnd.choice(["error", "view", "view", "login"]), 1.0) for k in rnd.sample(range(9000), 900)]
+    rows += [(9001, start - timedelta(hours=3), "old", "view", 1.0), (9002, start - timedelta(hours=2), "old", "error", 1.0), (9003, None, "none", "error", 1.0), (9004, None, "none", "view", 1.0)]
+    e = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id string, event_type string, value double")
+    errors = [r for r in rows if r[3] == "error" and r[1]]
+
+    def want(kind):
+        near = {r[0]: [x for x in errors if x[0] != r[0] and x[1] <= r[1] and x[1] >= r[1] - timedelta(minutes=30)] for r in rows if r[3] == kind and r[1]}
+        return {k: max(v, key=lambda x: (x[1], x[0]))[2] for k, v in near.items() if v}
+
+    for kind in ("view", "error"):
+        got = E.infer_service(e.where(F.col("event_type") == kind), e)
+        assert dict(map(tuple, got.collect())) == want(kind)
+    busy = E.as_of(e.where("event_type = 'view'").select("event_id", "ts"), e.where("event_type = 'error'").select("event_id", "ts", "user_id"))
+    assert busy.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    nothing = e.limit(0)
+    assert E.infer_service(nothing, e).count() == 0 and E.infer_service(e, nothing).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2_000, 7, 1])
+def test_cochange_of_wide_commits(spark, tile):
+    """Commits cut into tiles of files give what whole ones give."""
+    rnd = random.Random(2)
+    commits = [("wide", k) for k in range(60)] + [("wider", k) for k in range(0, 90, 2)] + [(f"c{n}", rnd.randrange(90)) for n in range(40) for _ in range(4)] + [(None, 1), ("c1", None)]
+    by = {}
+    for c, f in commits:
+        if c is not None and f is not None:
+            by.setdefault(c, set()).add(f)
+    n = Counter((a, b) for files in by.values() for a in files for b in files if a != b)
+    want = set()
+    for f in range(90):
+        best = sorted(((-k, b) for (a, b), k in n.items() if a == f and k >= 2))[:3]
+        want |= {(f, b, -k, i + 1) for i, (k, b) in enumerate(best)}
+    got = G.cochange(spark.createDataFrame(commits, "commit string, file long"), tile=tile)
+    assert set(map(tuple, got.select("file", "partner", "n", "rank").collect())) == want
