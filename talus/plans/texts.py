@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talus.functions import diffs as D
@@ -13,6 +15,8 @@ from talus.functions import text as T
 from talus.operators import context as C
 from talus.operators import retrieval as R
 from talus.operators import symbols as S
+from talus.operators import textindex as TI
+from talus.shared import shared_dir
 from talus.tables import table
 
 #: A word boundary over ASCII words, whatever the engine's own is; and one before a word.
@@ -156,6 +160,27 @@ def full_text_search(spark, sf):
     return R.search_text(d, "doc_id", "license OR that NOT lang:de", {"text": "text", "lang": "lang"}, "text", 100)
 
 
+#: With phrases, a column and alternatives; common words of the tables.
+INDEX_QUESTIONS = {1: '"to thanedble the" NOT license', 2: 'license OR "er ntre in" lang:fr', 3: 'lang:de AND "Released under"'}
+
+
+def indexed(spark, sf) -> str:
+    """The folder of a new index of the documents' texts and languages."""
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    TI.build(docs(spark, sf).select("doc_id", "text", "lang"), "doc_id", ["text", "lang"], path)
+    return path
+
+
+def text_index_search(spark, sf):
+    """Three questions to one saved index."""
+    return TI.ask(spark, indexed(spark, sf), INDEX_QUESTIONS, ["text", "lang"], 50)
+
+
+def text_index_phrases(spark, sf):
+    """The first four words of every benchmark item as a phrase, asked of the saved index at once."""
+    return TI.ask_all(spark, indexed(spark, sf), TI.phrases_of(table(spark, sf, "benchmark"), "item_id", "text", 4), 10)
+
+
 def shingle_jaccard(spark, sf):
     c = turns(spark, sf)
     return R.jaccard_lookup(c.where("id % 20 = 0").select(F.col("id").alias("query"), "text"), c, 0.05)
@@ -201,7 +226,23 @@ def described_symbols(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(D.symbols_named(T.html_title(F.col("html"))), " ").alias("symbols"))
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, token_totals, fit_lossless, compress_log, log_ledger, compact_output, compress_prompt, terse_replies, html_to_text, pii_label_counts, mask_pii, security_findings, tool_result_summary, first_failures, identifier_segments, query_words, pattern_search, ranked_search, symbol_resolution, bm25_topk, corpus_statistics, full_text_search, shingle_jaccard, lesson_recall, dense_cosine_topk, rrf_fusion, hybrid_search, chunks, unified_diff, budget_fit, described_symbols)}
+_TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+')"
+_INDEX = f"""d AS (SELECT doc_id AS id, 'text' AS col, {_TOKENS.format('text')} AS a FROM documents UNION ALL SELECT doc_id, 'lang', {_TOKENS.format('lang')} FROM documents),
+        sz AS (SELECT id, sum(len(a)) AS n FROM d GROUP BY id), st AS (SELECT count(*) AS n, avg(n) AS mean FROM sz)"""
+_INDEX_RANK = """m AS (SELECT q, g, c, neg, id, sum(len(list_filter(range(1, len(a) - len(p) + 2), lambda i: a[i:i + len(p) - 1] = p))) AS f FROM d JOIN c ON list_contains(a, p[1]) AND (c.col IS NULL OR c.col = d.col) GROUP BY ALL HAVING f > 0),
+        w AS (SELECT q, g, count(*) FILTER (WHERE NOT neg) AS wanted FROM c GROUP BY q, g),
+        h AS (SELECT DISTINCT m.q, id FROM m JOIN w ON w.q = m.q AND w.g = m.g GROUP BY m.q, m.g, id, wanted HAVING count(*) FILTER (WHERE NOT neg) = wanted AND count(*) FILTER (WHERE neg) = 0),
+        df AS (SELECT q, g, c, count(*) AS df FROM m GROUP BY 1, 2, 3),
+        s AS (SELECT m.q AS query, m.id, round(sum(greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sz.n / mean))), 6) AS score
+              FROM m JOIN h ON h.q = m.q AND h.id = m.id JOIN df ON df.q = m.q AND df.g = m.g AND df.c = m.c JOIN sz ON sz.id = m.id, st GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= {k}"""
+
+
+def _index_sql(clauses: str, k: int) -> str:
+    return f"WITH {_INDEX}, c AS (SELECT * FROM (VALUES {clauses}) AS v(q, g, c, neg, col, p)), {_INDEX_RANK.format(k=k)}"
+
+
+QUERIES = {f.__name__: f for f in (token_estimate, token_totals, fit_lossless, compress_log, log_ledger, compact_output, compress_prompt, terse_replies, html_to_text, pii_label_counts, mask_pii, security_findings, tool_result_summary, first_failures, identifier_segments, query_words, pattern_search, ranked_search, symbol_resolution, bm25_topk, corpus_statistics, full_text_search, text_index_search, text_index_phrases, shingle_jaccard, lesson_recall, dense_cosine_topk, rrf_fusion, hybrid_search, chunks, unified_diff, budget_fit, described_symbols)}
 
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"
 TERMS = """{n}w AS MATERIALIZED (SELECT {id} AS id, {w} AS w FROM {src}), {n} AS (SELECT id, term, count(*) AS tf, max(len) AS len FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM {n}w) GROUP BY 1, 2)"""
@@ -326,6 +367,9 @@ ORACLES = {
         s AS (SELECT t.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.len / mean))), 6) AS score FROM t JOIN q ON t.term = q.term JOIN df ON df.term = t.term, st GROUP BY 1),
         h AS (SELECT doc_id FROM d WHERE (regexp_matches(' ' || lower(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g')) || ' ', ' (license|that) ')) AND NOT coalesce(lang = 'de', false))
         SELECT h.doc_id, coalesce(score, 0.0::DOUBLE) AS score FROM h LEFT JOIN s ON s.id = h.doc_id ORDER BY score DESC, doc_id LIMIT 100""",
+    "text_index_search": _index_sql("""(1, 0, 0, false, NULL, ['to', 'thanedble', 'the']), (1, 0, 1, true, NULL, ['license']), (2, 0, 0, false, NULL, ['license']), (2, 1, 1, false, NULL, ['er', 'ntre', 'in']),
+        (2, 1, 2, false, 'lang', ['fr']), (3, 0, 0, false, 'lang', ['de']), (3, 0, 1, false, NULL, ['released', 'under'])""", 50),
+    "text_index_phrases": f"""WITH {_INDEX}, c AS (SELECT item_id AS q, 0 AS g, 0 AS c, false AS neg, NULL AS col, {_TOKENS.format('text')}[1:4] AS p FROM benchmark WHERE len({_TOKENS.format('text')}) > 0), {_INDEX_RANK.format(k=10)}""",
     "shingle_jaccard": f"""WITH w AS (SELECT id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 2) AS a FROM {_conv}),
         s AS (SELECT DISTINCT id, unnest(CASE WHEN len(a) <= 2 THEN a ELSE list_concat(a, list_transform(a[1:len(a) - 1], lambda x, i: x || ' ' || a[i + 1])) END) AS t FROM w), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
         m AS (SELECT a.id AS query, b.id, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2),
