@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from talus.operators import graph as G
 from talus.operators import knowledge as K
 from talus.operators import symbols as S
+from talus.operators.probe import report as probe_report
 
 Index = dict[str, DataFrame]
 
@@ -53,6 +54,7 @@ QUESTIONS: dict[str, Callable[..., DataFrame]] = {
     "flows": lambda ix, limit=10: S.flows(ix["symbols"], ix["callers"], limit),
     "why": lambda ix, name: S.why(ix["symbols"], ix["callers"], name),
     "probe": lambda ix, task: S.probe(ix["symbols"], ix["callers"], task),
+    "probe_report": lambda ix, task, budget=4000: probe_report(ix["symbols"], ix["callers"], task, budget),
     "hubs": lambda ix, limit=0: S.hubs(ix["symbols"], ix["callers"], limit),
     "bridges": lambda ix, limit=15: S.bridges(ix["symbols"], ix["callers"], limit),
     "dead": lambda ix, refs=None: S.dead_code(ix["symbols"], ix["callers"], _refs(ix, refs)),

@@ -273,18 +273,11 @@ def overlapping(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start, goal, depth: int | None = None) -> DataFrame:
     """One row (path, hops): the least path by length, then by its nodes, over undirected edges; none
     where the nodes are not connected (or not within ``depth`` hops, if given)."""
-    both = directed(edges, False).unionByName(directed(edges, True)).distinct()
-    both = cut(both)
-    kind = both.schema["src"].dataType.simpleString()
-    front = edges.sparkSession.createDataFrame([(start, [start])], f"id {kind}, path array<{kind}>")
-    seen, k = front.select("id"), 0
-    while (depth is None or k < depth) and front.where(F.col("id") == goal).isEmpty():
-        new = front.join(both, front.id == both.src).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        front = cut(new.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        if front.isEmpty():
-            break
-        seen, k = seen.unionByName(front.select("id")), k + 1
-    return front.where(F.col("id") == goal).select("path", (F.size("path") - 1).alias("hops"))
+    from talus.operators.paths import paths_between
+
+    kind = edges.schema["caller"].dataType.simpleString()
+    pair = edges.sparkSession.createDataFrame([(0, start, goal)], f"pair int, start {kind}, goal {kind}")
+    return paths_between(edges, pair, depth).select("path", "hops")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 30, gate: int = GATE) -> DataFrame:

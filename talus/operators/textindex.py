@@ -77,6 +77,11 @@ def phrases_of(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return each.select("query", *fixed, "size", "place", "term")
 
 
+def postings(spark: SparkSession, path: str) -> DataFrame:
+    kind = spark.read.parquet(f"{path}/lengths").schema["id"].dataType.simpleString()
+    return spark.read.schema(f"id {kind}, col string, term string, positions array<int>, shard int").parquet(f"{path}/postings")
+
+
 def ask(spark: SparkSession, path: str, questions: dict[int, str], columns: list[str], k: int = 20) -> DataFrame:
     """(query, id, score, rank): the best ``k`` rows of each question."""
     said = clauses_of(questions, columns)
@@ -84,13 +89,13 @@ def ask(spark: SparkSession, path: str, questions: dict[int, str], columns: list
     asked = spark.createDataFrame(said, CLAUSES)
     terms = sorted({r[-1] for r in said})
     spots = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(shard_of(F.col("t"), shards)).distinct().collect()]
-    held = spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(spots) & F.col("term").isin(terms))
+    held = postings(spark, path).where(F.col("shard").isin(spots) & F.col("term").isin(terms))
     return answer(spark, path, held, F.broadcast(asked), k)  # the words that the caller wrote
 
 
 def ask_all(spark: SparkSession, path: str, asked: DataFrame, k: int = 20) -> DataFrame:
     """The same for clauses (CLAUSES) in a table of any size, which is joined to the postings."""
-    return answer(spark, path, spark.read.parquet(f"{path}/postings"), cut(asked), k)
+    return answer(spark, path, postings(spark, path), cut(asked), k)
 
 
 def answer(spark: SparkSession, path: str, held: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.operators import graph as G
 from talus.operators import reachability as R
+from talus.operators.paths import paths_between
 from talus.tables import table
 
 #: Node ids are numbers: the kind times STEP, plus the key. Names are made for results only.
@@ -254,7 +255,16 @@ def shortest_path(spark, sf):
     return path.select(F.array_join(F.transform("path", name), ">").alias("path"), "hops")
 
 
-QUERIES = {f.__name__: f for f in (hubs, bridges, callers_prod, dead_nodes, coverage_gaps, blast_radius, transitive_callees, criticality, who_depends, arch_coupling, near_nation, whole_graph, flow_roots, flows, criticality_levels, layer_check, churn, cochange_partners, change_impact_risk, boundary_violations, ownership_lookup, canonical_names, manifest_diff, range_overlap_changes, qualified_callee_join, inheritance_subtypes, large_functions, languages, communities, shortest_path)}
+def connecting_paths(spark, sf):
+    """Between each customer whose key is divisible by 20 and the region after its own, all at once."""
+    e = depends_on(spark, sf)
+    c = table(spark, sf, "customer").where("c_custkey % 20 = 0").select((F.col("c_custkey") + F.lit(CUSTOMER)).alias("start"), F.col("c_nationkey").alias("n_nationkey"))
+    home = table(spark, sf, "nation").select("n_nationkey", ((F.col("n_regionkey") + 1) % 5 + F.lit(REGION)).alias("goal"))
+    pairs = c.join(home, "n_nationkey").select(F.col("start").alias("pair"), "start", "goal")
+    return paths_between(e, pairs).select(name(F.col("pair")).alias("start"), F.array_join(F.transform("path", name), ">").alias("path"), "hops")
+
+
+QUERIES = {f.__name__: f for f in (hubs, bridges, callers_prod, dead_nodes, coverage_gaps, blast_radius, transitive_callees, criticality, who_depends, arch_coupling, near_nation, whole_graph, flow_roots, flows, criticality_levels, layer_check, churn, cochange_partners, change_impact_risk, boundary_violations, ownership_lookup, canonical_names, manifest_diff, range_overlap_changes, qualified_callee_join, inheritance_subtypes, large_functions, languages, communities, shortest_path, connecting_paths)}
 
 TESTS = "tests AS (SELECT id FROM nodes WHERE dir = 'order' AND id LIKE '%7')"
 PROD = "prod AS (SELECT * FROM edges WHERE caller NOT IN (SELECT id FROM tests))"
@@ -264,7 +274,19 @@ HUBS = f"""{EDGES}, {TESTS}, {PROD}, c AS (SELECT callee AS symbol, count(*) AS
         ranked AS (SELECT *, row_number() OVER (ORDER BY callers DESC, score DESC, symbol) AS k, count(*) OVER () AS n FROM h),
         top AS (SELECT * FROM ranked WHERE k <= greatest(n // 10, least(n, 8)))"""
 REACH = """r AS (SELECT id AS root, id, 0 AS dist FROM roots UNION SELECT root, caller, dist + 1 FROM r JOIN edges ON callee = r.id)"""
+#: The undirected graph by node numbers, and the least shortest paths of pairs (pair, start, goal) over it.
+PATHS = f"""
+        n AS (SELECT id, list_position([{", ".join(f"'{k}'" for k in KINDS)}], dir) * 1000000000000000 + CAST(split_part(id, ':', 2) AS BIGINT) AS k FROM nodes),
+        u AS MATERIALIZED (SELECT a.k AS src, b.k AS dst FROM edges JOIN n a ON a.id = caller JOIN n b ON b.id = callee UNION SELECT b.k, a.k FROM edges JOIN n a ON a.id = caller JOIN n b ON b.id = callee),
+        goals AS (SELECT DISTINCT goal FROM pairs),
+        far AS (SELECT goal, goal AS id, 0 AS dist FROM goals UNION SELECT goal, dst, dist + 1 FROM far JOIN u ON src = far.id WHERE dist < 7),
+        near AS MATERIALIZED (SELECT goal, id, min(dist) AS dist FROM far GROUP BY 1, 2),
+        p AS (SELECT pair, goal, start AS id, [start] AS path FROM pairs
+              UNION ALL SELECT pair, p.goal, min(dst), list_append(path, min(dst)) FROM p JOIN near x ON x.goal = p.goal AND x.id = p.id JOIN u ON src = p.id JOIN near y ON y.goal = p.goal AND y.id = dst AND y.dist = x.dist - 1 GROUP BY pair, p.goal, path)
+        SELECT {{}}array_to_string(list_transform(path, lambda x: [{", ".join(f"'{k}'" for k in KINDS)}][CAST(x // 1000000000000000 AS INT)] || ':' || (x % 1000000000000000)), '>') AS path, len(path) - 1 AS hops FROM p WHERE id = goal"""
 ORACLES = {
+    "shortest_path": f"WITH RECURSIVE {EDGES}, pairs AS (SELECT 1 AS pair, 1000000000000000 AS start, 1000000000000001 AS goal), {PATHS.format('')}",
+    "connecting_paths": f"""WITH RECURSIVE {EDGES}, pairs AS (SELECT c_custkey AS pair, 3000000000000000 + c_custkey AS start, 1000000000000000 + (n_regionkey + 1) % 5 AS goal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0), {PATHS.format("'customer:' || pair AS start, ")}""",
     "hubs": f"WITH {HUBS} SELECT symbol, callers, calls, score FROM top",
     "bridges": f"""WITH {EDGES}, {TESTS}, {PROD} SELECT callee AS symbol, count(DISTINCT dir) AS dirs, count(*) AS callers FROM prod JOIN nodes ON caller = id
         WHERE callee NOT IN (SELECT id FROM tests) GROUP BY callee HAVING count(DISTINCT dir) >= 2 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 15""",
