@@ -16,9 +16,13 @@ from talus.operators import context as C
 from talus.operators import retrieval as R
 from talus.operators import symbols as S
 from talus.operators import textindex as TI
+from talus.operators import tokens as TK
+from talus.operators import vectorindex as VI
 from talus.shared import shared_dir
 from talus.tables import table
 
+#: The file of ranks that token counts go by; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A word boundary over ASCII words, whatever the engine's own is; and one before a word.
 BOUND = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 BEFORE = "(?<![A-Za-z0-9_])"
@@ -196,6 +200,20 @@ def dense_cosine_topk(spark, sf):
     return R.dense_top(v, v.where("id % 20 = 0").withColumnRenamed("id", "query"))
 
 
+def vector_index_topk(spark, sf):
+    """The same question to a saved index of lists, with the lists that bounds cannot rule out."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    VI.build(v, path)
+    return VI.search(spark, path, v.where("id % 20 = 0").withColumnRenamed("id", "query"), exact=True)
+
+
+def bpe_token_count(spark, sf):
+    """Of every document, by the ranks of a public vocabulary."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return TK.token_counts(d, VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
 def rrf_fusion(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
     d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
@@ -226,6 +244,9 @@ def described_symbols(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(D.symbols_named(T.html_title(F.col("html"))), " ").alias("symbols"))
 
 
+#: White space, as Unicode has it, and the pattern of pre-tokens without look-ahead: U+E000 stands before the last of a run.
+_WS = r"\t-\r \x{85}\p{Z}"
+_PIECES = "$$'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^" + _WS + "\\p{L}\\p{N}\\x{E000}]+|[" + _WS + "]+$$"
 _TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+')"
 _INDEX = f"""d AS (SELECT doc_id AS id, 'text' AS col, {_TOKENS.format('text')} AS a FROM documents UNION ALL SELECT doc_id, 'lang', {_TOKENS.format('lang')} FROM documents),
         sz AS (SELECT id, sum(len(a)) AS n FROM d GROUP BY id), st AS (SELECT count(*) AS n, avg(n) AS mean FROM sz)"""
@@ -242,7 +263,7 @@ def _index_sql(clauses: str, k: int) -> str:
     return f"WITH {_INDEX}, c AS (SELECT * FROM (VALUES {clauses}) AS v(q, g, c, neg, col, p)), {_INDEX_RANK.format(k=k)}"
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, token_totals, fit_lossless, compress_log, log_ledger, compact_output, compress_prompt, terse_replies, html_to_text, pii_label_counts, mask_pii, security_findings, tool_result_summary, first_failures, identifier_segments, query_words, pattern_search, ranked_search, symbol_resolution, bm25_topk, corpus_statistics, full_text_search, text_index_search, text_index_phrases, shingle_jaccard, lesson_recall, dense_cosine_topk, rrf_fusion, hybrid_search, chunks, unified_diff, budget_fit, described_symbols)}
+QUERIES = {f.__name__: f for f in (token_estimate, token_totals, fit_lossless, compress_log, log_ledger, compact_output, compress_prompt, terse_replies, html_to_text, pii_label_counts, mask_pii, security_findings, tool_result_summary, first_failures, identifier_segments, query_words, pattern_search, ranked_search, symbol_resolution, bm25_topk, corpus_statistics, full_text_search, text_index_search, text_index_phrases, shingle_jaccard, lesson_recall, dense_cosine_topk, vector_index_topk, bpe_token_count, rrf_fusion, hybrid_search, chunks, unified_diff, budget_fit, described_symbols)}
 
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)"
 TERMS = """{n}w AS MATERIALIZED (SELECT {id} AS id, {w} AS w FROM {src}), {n} AS (SELECT id, term, count(*) AS tf, max(len) AS len FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM {n}w) GROUP BY 1, 2)"""
@@ -379,7 +400,17 @@ ORACLES = {
     "dense_cosine_topk": """WITH v AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS m FROM embeddings),
         s AS (SELECT a.id AS query, b.id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.m * b.m), 6) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "bpe_token_count": f"""WITH RECURSIVE ranks AS MATERIALIZED (SELECT hex(from_base64(t)) AS pair, r AS rank FROM read_csv('{VOCABULARY}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'INT'}})),
+        d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([{_WS}])([{_WS}][^{_WS}])', '\\1' || chr(57344) || '\\2', 'g') AS t FROM documents),
+        e AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(t, {_PIECES})) AS word FROM d),
+        m AS (SELECT word, regexp_extract_all(hex(encode(word)), '..') AS parts FROM (SELECT DISTINCT word FROM e)
+              UNION ALL SELECT word, list_concat(parts[1:j - 1], [parts[j] || parts[j + 1]], parts[j + 2:]) FROM (
+                  SELECT word, parts, arg_min(k, rank::BIGINT * 1000000 + k) AS j FROM (SELECT word, parts, unnest(range(1, len(parts))) AS k FROM m) JOIN ranks ON pair = parts[k] || parts[k + 1] GROUP BY word, parts)),
+        n AS (SELECT word, min(len(parts)) AS n FROM m GROUP BY word),
+        s AS (SELECT doc_id, sum(n)::BIGINT AS tokens, count(*) AS words, count(DISTINCT e.word) AS "distinct" FROM e JOIN n ON e.word = n.word GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(tokens, 0) AS tokens, coalesce(words, 0) AS words, coalesce("distinct", 0) AS "distinct" FROM d LEFT JOIN s ON s.doc_id = d.doc_id""",
     "rrf_fusion": f"""WITH {_bm25(10)}, {_lessons('item_id', 'benchmark', 'doc_id', 'documents', 10)},
         l AS (SELECT query, id, rank FROM bm UNION ALL SELECT query, id, rank FROM le)
         SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)) / (2.0::DOUBLE / 61), 6) AS score FROM l GROUP BY 1, 2""",
 }
+ORACLES["vector_index_topk"] = ORACLES["dense_cosine_topk"]
