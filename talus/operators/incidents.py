@@ -38,14 +38,23 @@ def within(at: Column, ts: Column, minutes: int) -> Column:
     return (ts <= at) & (ts >= at - F.expr(f"INTERVAL {minutes} MINUTES"))
 
 
+def window_before(alerts: DataFrame, rows: DataFrame, minutes: int) -> DataFrame:
+    """Alerts (id, service, at) with the rows (service, ts, ...) of their service in the window before them. Time bins
+    of the window's length are part of the key, so an alert of a busy service meets two bins of its rows, not all."""
+    span = minutes * 60 * 1_000_000
+    bin_of = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(span))
+    a = alerts.withColumn("bin", F.explode(F.array(bin_of(F.col("at")) - 1, bin_of(F.col("at")))))
+    return a.join(rows.withColumn("bin", bin_of(F.col("ts"))), ["service", "bin"]).where(within(F.col("at"), F.col("ts"), minutes)).drop("bin")
+
+
 def hypotheses(alerts: DataFrame, events: DataFrame, deployments: DataFrame, commits: DataFrame, memories: DataFrame, minutes: int = 30) -> DataFrame:
     """(id, source, statement, confidence, score, rank) of alerts: deployments in the window before
     them, stronger for each changed file that error events name; remembered incidents of the
     service (service, content); else the files that errors name."""
     a = alerts.select("id", "service", "at")
     errors = events.where("type = 'error'").select("service", "ts", F.col("attributes")["file"].alias("file")).where(F.contains("file", F.lit("/")))
-    named = a.join(errors, "service").where(within(F.col("at"), F.col("ts"), minutes)).select("id", "file").distinct()
-    deploys = a.join(deployments, "service").where(within(F.col("at"), F.col("ts"), minutes)).select("id", "version", F.col("commit").alias("sha"))
+    named = window_before(a, errors, minutes).select("id", "file").distinct()
+    deploys = window_before(a, deployments, minutes).select("id", "version", F.col("commit").alias("sha"))
     touched = deploys.join(commits.select("sha", "message", "files"), "sha")
     hit = touched.withColumn("file", F.explode_outer(F.array_distinct("files"))).join(named.withColumn("hit", F.lit(1)), ["id", "file"], "left")
     per = hit.groupBy("id", "sha", "message", "version").agg(F.count("hit").alias("n"), F.sort_array(F.collect_set(F.when(F.col("hit") == 1, F.col("file")))).alias("named"))
@@ -70,8 +79,8 @@ def evidence_chain(alerts: DataFrame, events: DataFrame, deployments: DataFrame,
     the pull requests they name, and what its errors name; each once, where first seen."""
     a = alerts.select("id", "service", "at")
     stage = lambda df, name, ref, ord_, ts: df.select("id", F.lit(ord_).alias("ord"), ts.alias("ts"), F.lit(name).alias("stage"), ref.alias("ref"))
-    near = a.join(events.where("type = 'error'").select("service", "ts", "attributes"), "service").where(within(F.col("at"), F.col("ts"), minutes))
-    deploys = a.join(deployments, "service").where(within(F.col("at"), F.col("ts"), minutes))
+    near = window_before(a, events.where("type = 'error'").select("service", "ts", "attributes"), minutes)
+    deploys = window_before(a, deployments, minutes)
     # Commits have no service: each alert meets those since its window began, by day so that the join has a key.
     day = lambda c: F.to_date(c)
     span = commits.agg(F.max("ts").alias("last"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from talus.plans import events, graph, texts
+from talus.plans import events, graph, index, texts
 
-PARTS = (graph, texts, events)
+PARTS = (graph, texts, events, index)
 QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PARTS for k, v in p.ORACLES.items()}
