@@ -206,6 +206,25 @@ def test_fuzzy_passages(spark, scratch):
     assert got == {(k + 1, k) for k in range(0, 120, 2)}
 
 
+def test_rare_seeds_among_heavy_cells(spark, scratch, monkeypatch):
+    """Seeds of few texts keep all their pairs, however heavy the cells of the sketch are."""
+    rnd = random.Random(8)
+    some = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(40):
+        p = some(60)
+        for j in range(3):
+            q = [w if (i + j) % 9 else f"x{j}" for i, w in enumerate(p)]
+            rows.append((3 * k + j, " ".join([*some(20), *q, *some(20)])))
+            want |= {(3 * k + j, 3 * k + i) for i in range(j)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links = lambda: {(r["doc_id"], r["other_id"]) for r in chaining.links(scratch, docs).collect()}
+    assert links() == want
+    monkeypatch.setattr(chaining, "HEAVY", 0)
+    monkeypatch.setattr(chaining, "SALTS", 3)
+    assert links() == want
+
+
 def test_mixing(scratch, docs, rows, none, monkeypatch):
     got = mixing.mix(scratch, docs, leaf_words=64, block_words=16).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
