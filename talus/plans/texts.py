@@ -222,10 +222,9 @@ def rrf_fusion(spark, sf):
 
 
 def hybrid_search(spark, sf):
-    """Opening turns of the conversations whose number is divisible by 20 among all replies, by words
-    and by hashed parts of words."""
+    """User turns whose id is divisible by 20 among all replies, by words and by hashed parts of words."""
     c = turns(spark, sf)
-    return R.hybrid(c.where("role = 'assistant'").select("id", "text"), c.where("role = 'user' and id % 20000 = 0").select(F.col("id").alias("query"), "text"))
+    return R.hybrid(c.where("role = 'assistant'").select("id", "text"), c.where("role = 'user' and id % 20 = 0").select(F.col("id").alias("query"), "text"))
 
 
 def chunks(spark, sf):
