@@ -231,7 +231,7 @@ def test_asked(spark, index):
     ranges = spark.createDataFrame([("store/store.go", 14, 14), ("py/shapes.py", None, None)], "file string, lo int, hi int")
     some = {
         "search": ("save",), "pattern": ("func *",), "find": ("Save",), "who_calls": ("helper",), "depends_on": ("helper",), "depends_of": ("main",), "supertypes": ("Square",), "subtypes": ("Shape",),
-        "implementations": ("Shape.area",), "near": ("helper",), "explore": ("helper",), "path": ("main", "Serve"), "longest_path": ("main",), "why": ("helper",), "probe": ("helper",), "delete": ("helper",),
+        "implementations": ("Shape.area",), "near": ("helper",), "explore": ("helper",), "path": ("main", "Serve"), "longest_path": ("main",), "why": ("helper",), "probe": ("helper",), "probe_report": ("helper",), "delete": ("helper",),
         "criticality": ("helper",), "apis": ("helper",), "services": ("helper",), "tests": ("helper",), "files": ("helper",), "graph": ("helper",), "changes": (ranges,), "large": (2,),
     }
     changes = spark.createDataFrame([(1, "remove_symbol", "helper", "")], "id int, kind string, target string, new_target string")
