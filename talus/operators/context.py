@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.shared import cut
+
 # Points of an item by class and by source, and of its age.
 CLASS_POINTS = {"user_intent": 0.3, "task_state": 0.3, "constraint": 0.3, "plan": 0.3, "fact": 0.2, "evidence": 0.2, "source_code": 0.2, "memory": 0.1, "decision": 0.1}
 SOURCE_POINTS = {"graph": 0.1, "intelligence": 0.1, "memory": 0.05}
@@ -98,21 +99,52 @@ def tool_summary(raw: Column, most: int = 5) -> Column:
     return F.struct(summary.alias("summary"), errors.alias("errors"), facts.alias("facts"), evidence.alias("evidence"), refs.alias("refs"), saved.cast("long").alias("saved"))
 
 
+def sums_before(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows (pos, bucket, n, ...) with ``before``: the sum of n over rows of the same keys at smaller positions. One window
+    a bucket, and one over a row a bucket."""
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.sum("s").over(to_here(Window.partitionBy(*keys).orderBy("bucket")))
+    starts = rows.groupBy(*keys, "bucket").agg(F.sum("n").alias("s")).select(*keys, "bucket", F.coalesce(offset, F.lit(0)).alias("offset"))
+    inside = F.sum("n").over(to_here(Window.partitionBy(*keys, "bucket").orderBy("pos")))
+    return rows.join(starts, [*keys, "bucket"]).withColumn("before", F.col("offset") + F.coalesce(inside, F.lit(0))).drop("offset")
+
+
 def pack(files: DataFrame, budget: int, reserve: int = 200) -> DataFrame:
-    """(path, tokens, taken, before) of files (path, tokens): in order of path, a file is taken where it
-    still fits the budget less the reserve. A file that does not fit is passed over, so this is no
-    running sum; one task reads two numbers a file, packed in order."""
-    def run(batches):
-        used, room = 0, budget - reserve
-        for part in batches:
-            out = []
-            for path, n in zip(part["path"], part["tokens"], strict=True):
-                fits = used + n <= room
-                out.append((path, n, fits, used))
-                used += n if fits else 0
-            yield pd.DataFrame(out, columns=["path", "tokens", "taken", "before"])
-
-    return files.select("path", F.col("tokens").cast("long")).repartition(1).sortWithinPartitions("path").mapInPandas(run, "path string, tokens long, taken boolean, before long")
+    """(path, tokens, taken, before) of files (path, tokens): in order of path, a file is taken where it still fits the
+    budget less the reserve; one that does not is passed over, so this is no running sum. Null sizes never fit.
+
+    With a room of 2^k up to 2^(k+1), all files under 2^k fit until less than 2^k is left, so the room before a file is
+    a running sum of those. A turn ends at the first file taken that leaves less: the room loses a bit a turn, and there
+    are no more turns than the budget has bits. Only buckets in which the turn may end are looked into."""
+    size = F.col("tokens")
+    line = files.select("path", size.cast("long").alias("tokens")).repartitionByRange("path").sortWithinPartitions("path")
+    line = cut(line.withColumn("pos", F.monotonically_increasing_id()).withColumn("bucket", F.shiftright("pos", 33)))
+    room, start, turns = budget - reserve, -1, []
+    while True:
+        step = 1 << max(room, 1).bit_length() - 1
+        turns.append((room, step, start))
+        if room <= 0:
+            break
+        n = F.when(size < step, size).otherwise(0)
+        rows = line.where((F.col("pos") > start) & (size <= room)).withColumn("n", n)
+        ends = rows.groupBy("bucket").agg(F.sum("n").alias("s"), F.min(F.when(size >= step, size)).alias("least"))
+        offset = F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ends = ends.withColumn("offset", offset).where(f"offset + s > {room - step} or least <= {room} - offset")
+        inside = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        left = room - F.col("offset") - inside - size
+        end = rows.join(ends.select("bucket", "offset"), "bucket").select("pos", left.alias("left")).where(f"left >= 0 and left < {step}").agg(F.min(F.struct("pos", "left")).alias("end")).first()["end"]
+        if end is None:
+            break
+        start, room = end["pos"], end["left"]
+    turn = F.lit(0)
+    for k, (_, _, after) in enumerate(turns[1:], 1):
+        turn = F.when(F.col("pos") > after, k).otherwise(turn)
+    of_turn = lambda k: F.element_at(F.array(*(F.lit(t[k]).cast("long") for t in turns)), F.col("turn") + 1)
+    known = line.withColumn("turn", turn).withColumn("room", of_turn(0)).withColumn("step", of_turn(1))
+    small = (size < F.col("step")) & (F.col("room") >= 0)
+    known = sums_before(known.withColumn("n", F.when(small, size).otherwise(0)), "turn")
+    taken = F.coalesce(small | (size <= F.col("room") - F.col("before")), F.lit(False))
+    return known.select("path", "tokens", taken.alias("taken"), (F.lit(budget - reserve) - F.col("room") + F.col("before")).alias("before"))
 
 
 def bundle(files: DataFrame, packed: DataFrame) -> DataFrame:

@@ -47,6 +47,28 @@ def test_memory(spark):
     assert [(r["query"], r["id"], r["score"]) for r in sorted(top, key=lambda r: r["rank"])] == [(9, 2, round(2 / 3 + 1.0, 6)), (9, 1, 1.0)]
 
 
+def packed_one_by_one(sizes, room):
+    used, out = 0, []
+    for path, n in sorted(sizes, key=lambda x: x[0]):
+        fits = n is not None and used + n <= room
+        out.append((path, n, fits, used))
+        used += n if fits else 0
+    return out
+
+
+def test_pack(spark):
+    import random
+
+    draw = random.Random(7)
+    for room, top in ((0, 5), (-5, 5), (1, 3), (1000, 40), (1000, 1500), (255, 256), (256, 300)):
+        sizes = [(f"p{k:04}", None if k == 50 else draw.choice((0, 1, draw.randint(0, top), top))) for k in range(draw.choice((1, 300)), 310)]
+        got = C.pack(spark.createDataFrame(sizes, "path string, tokens long").repartition(7), room + 200)
+        assert [tuple(r) for r in got.orderBy("path").collect()] == packed_one_by_one(sizes, room), room
+    halves = [(f"p{k}", n) for k, n in enumerate([1, 512, 511, 510, 256, 255, 128, 64, 32, 16, 8, 4, 2, 1, 1])]
+    assert [tuple(r) for r in C.pack(spark.createDataFrame(halves, "path string, tokens long"), 1024).orderBy("path").collect()] == sorted(packed_one_by_one(halves, 824))
+    assert C.pack(spark.createDataFrame([], "path string, tokens long"), 1024).count() == 0
+
+
 def test_context(spark):
     claims = spark.createDataFrame([("s", "a", "X is on", 0.9), ("s", "b", "x is on ", 0.8), ("s", "b", "x is off", 0.6), (None, "a", "p", 1.0), ("", "c", "q", 0.4), ("t", "a", "1", 1.0), ("t", "a", "2", 1.0)], "scope string, source string, statement string, confidence double")
     assert rows(C.conflicts(claims)) == {("s", 1, 0.3), ("_global_", 1, 0.2)}
