@@ -1,8 +1,9 @@
-"""Log and command output reduction, budget fit and chunking: loops over a text's lines."""
+"""Log and command output reduction as columns; budget fit and chunking, which are loops over a text's lines."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,21 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Line patterns of log reduction.
-TIMESTAMP = re.compile(r"(?i)(^\s*\[?(([\d]{2,4}[-/:][\d]{2}[-/:][\d]{2,4}[ T])?[\d]{2}:[\d]{2}(:[\d]{2}([\.,]\d+)?)?(Z|[+-][\d:]{2,5})?)\]?\s*)")
-CALM = re.compile(r"(?i)(^\s*(INFO|DEBUG|TRACE|VERBOSE|NOTICE)\s*[:=#]?\s*)")
-LOUD = re.compile(r"(?i)(^\s*(WARN|WARNING|ERROR|ERR|FAIL|FATAL|CRITICAL|SEVERE|PANIC|EXCEPTION)\s*[:=#]?\s*)")
-FRAME = re.compile(r"^\s*(at |from |\.go:\d+|\.py:\d+|\.java:\d+|\d+\) )")
-BROKEN = re.compile(r"(?i)(error|failed|failure|undefined|unresolved|exception|cannot find|no such)")
-RULER = re.compile(r"^\s*([-=_#*]{3,}|\.{3,}|[<>]{3,})\s*$")
-CHATTER = ("heartbeat", "keepalive", "polling")
+TIMESTAMP = r"(?i)(^\s*\[?(([\d]{2,4}[-/:][\d]{2}[-/:][\d]{2,4}[ T])?[\d]{2}:[\d]{2}(:[\d]{2}([\.,]\d+)?)?(Z|[+-][\d:]{2,5})?)\]?\s*)"
+CALM = r"(?i)(^\s*(INFO|DEBUG|TRACE|VERBOSE|NOTICE)\s*[:=#]?\s*)"
+LOUD = r"(?i)(^\s*(WARN|WARNING|ERROR|ERR|FAIL|FATAL|CRITICAL|SEVERE|PANIC|EXCEPTION)\s*[:=#]?\s*)"
+FRAME = r"^\s*(at |from |\.go:\d+|\.py:\d+|\.java:\d+|\d+\) )"
+BROKEN = r"(?i)(error|failed|failure|undefined|unresolved|exception|cannot find|no such)"
+RULER = r"^\s*([-=_#*]{3,}|\.{3,}|[<>]{3,})\s*$"
+CHATTER = "heartbeat|keepalive|polling"
 # Words and frames of lines that a budget keeps, and its sizes.
 KEPT_WORDS = ("error", "fail", "panic", "exception", "traceback", "stack trace", "warning", "warn", "uncaught", "timeout", "denied", "not found")
 CALL_FRAME = re.compile(r"[a-zA-Z_][\w./\-]*\([^)]*(?:\b[\w./\-]+\.go|\.py|\.js|\.ts|\.rb|\.java|\.c|\.cpp):0*[1-9]\d*")
 HEAD, KEPT_MOST = 20, 60
 KEPT_MARK = "… (kept important lines) …"
 # Command output.
-COMMAND_NOISE = ("[info]", "[debug]", "downloading", "progress")
-COMMAND_WORDS = ("error", "fail", "warn")
+COMMAND_NOISE = r"^(\[info\]|\[debug\]|downloading|progress)"
+COMMAND_WORDS = "error|fail|warn"
 COMMAND_HEAD, COMMAND_MOST = 60, 120
 #: Characters a token, by kind of text.
 RATES = {"generic": 4.0, "code": 3.5, "log": 3.2}
@@ -36,48 +37,47 @@ def count_tokens(text: str, kind: str = "generic") -> int:
     return max(1, int((sum(len(f.encode()) for f in fields) + len(fields)) / RATES[kind])) if text else 0
 
 
-def useful(line: str) -> bool:
+def useful(line: Column) -> Column:
     """Lines that name files, modules or values, or are long; heartbeats are not."""
-    size = len(line.encode())
-    if size > 200:
-        return True
-    if any(w in line.lower() for w in CHATTER):
-        return False
-    return any(c in line for c in "=:{}[]/") or size > 40
+    size = F.octet_length(line)
+    return (size > 200) | (~F.lower(line).rlike(CHATTER) & (line.rlike(r"[=:{}\[\]/]") | (size > 40)))
 
 
-def compress_log_text(text: str, most: int = 200) -> str:
-    """Timestamps off; rulers, calm levels, chatter and repeats out; one blank line where there were some."""
-    out: list[str] = []
-    seen: set[str] = set()
-    blank = False
-    for line in text.split("\n"):
-        bare = TIMESTAMP.sub("", line, count=1)
-        key = bare.strip()
-        if not key:
-            blank = True
-            continue
-        loud = FRAME.search(key) or LOUD.search(key) or BROKEN.search(key)
-        if RULER.search(key) or key in seen or (not loud and (CALM.search(key) or not useful(key))):
-            continue
-        seen.add(key)
-        if blank and out and out[-1]:
-            out.append("")
-        blank = False
-        out.append(bare.rstrip(" \t"))
-        if len(out) >= most:
-            break
-    return "\n".join(out)
+def stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
-def compact_output_text(text: str) -> str:
-    """Command output: the first lines, later ones only where they tell of trouble."""
-    out: list[str] = []
-    for line in filter(None, (x.strip() for x in text.split("\n"))):
-        low = line.lower()
-        if not low.startswith(COMMAND_NOISE) and (len(out) < COMMAND_HEAD or any(w in low for w in COMMAND_WORDS)):
-            out.append(line)
-    return "\n".join(out[:COMMAND_MOST])
+
+def compress_log(column: str | Column, most: int = 200) -> Column:
+    """Timestamps off; rulers, calm levels, chatter and repeats out; one blank line where there were some. Null is empty.
+
+    Repeats are neighbours once the lines are sorted by what they say; sorted by place again, a blank line counts
+    where it stands before a line that stays. Both sorts are of one text's lines, in the row."""
+    text = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+    loud = lambda x: x.rlike(FRAME) | x.rlike(LOUD) | x.rlike(BROKEN)
+    stays = lambda x: ~x.rlike(RULER) & (loud(x) | (~x.rlike(CALM) & useful(x)))
+    bare = F.transform(F.split(text, "\n"), lambda x, k: F.struct(F.regexp_replace(x, TIMESTAMP, "").alias("bare"), k.alias("at")))
+    said = F.transform(bare, lambda x: F.struct(stripped(x["bare"]).alias("key"), x["at"].alias("at"), F.rtrim(x["bare"], F.lit(" \t")).alias("bare")))
+    said = F.filter(said, lambda x: (x["key"] == "") | stays(x["key"]))
+    first = let(F.array_sort(said), lambda s: F.filter(s, lambda x, k: (x["key"] == "") | (k == 0) | (s[F.greatest(k - 1, F.lit(0))]["key"] != x["key"])))
+    placed = F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["key"].alias("key"), x["bare"].alias("bare"))))
+    gap = lambda s, k: (k > 0) & (s[F.greatest(k - 1, F.lit(0))]["key"] == "")
+    parts = let(placed, lambda s: F.filter(F.transform(s, lambda x, k: F.when(x["key"] != "", F.concat(F.when(gap(s, k), "\n").otherwise(""), x["bare"]))), lambda x: x.isNotNull()))
+    out = F.split(F.regexp_replace(F.array_join(parts, "\n"), r"\A\n", ""), "\n")
+    # a blank line never ends the result
+    return let(out, lambda o: F.array_join(F.slice(o, 1, F.when(F.get(o, F.lit(most - 1)) == "", most + 1).otherwise(most)), "\n"))
+
+
+def compact_output(column: str | Column) -> Column:
+    """Command output: the first lines, later ones only where they tell of trouble. Null is empty."""
+    text = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+    bare = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: (x != "") & ~F.lower(x).rlike(COMMAND_NOISE))
+    told = F.filter(bare, lambda x, k: (k < COMMAND_HEAD) | F.lower(x).rlike(COMMAND_WORDS))
+    return F.array_join(F.slice(told, 1, COMMAND_MOST), "\n")
 
 
 def important(line: str) -> bool:
@@ -164,10 +164,6 @@ def _text_udf(function):
     return run
 
 
-compress_log = _text_udf(compress_log_text)
-compact_output = _text_udf(compact_output_text)
-
-
 def budget_fit(column: str | Column, tokens: int) -> Column:
     return _text_udf(lambda t: fit_budget(t, tokens))(column)
 

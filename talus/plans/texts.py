@@ -308,10 +308,10 @@ def _quoted(pattern: str) -> str:
 
 _conv = "(SELECT conv_id * 1000 + turn AS id, role, text FROM conversations)"
 _trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
-LOG = f"""{LINES}, b AS (SELECT doc_id, pos, regexp_replace(line, {_quoted(L.TIMESTAMP.pattern)}, '') AS bare FROM lines), k AS (SELECT *, {_trim('bare')} AS key FROM b),
+LOG = f"""{LINES}, b AS (SELECT doc_id, pos, regexp_replace(line, {_quoted(L.TIMESTAMP)}, '') AS bare FROM lines), k AS (SELECT *, {_trim('bare')} AS key FROM b),
         m AS (SELECT *, sum(CASE WHEN key = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS blanks,
-              key <> '' AND NOT regexp_matches(key, {_quoted(L.RULER.pattern)}) AND (regexp_matches(key, {_quoted(L.FRAME.pattern)}) OR regexp_matches(key, {_quoted(L.LOUD.pattern)}) OR regexp_matches(key, {_quoted(L.BROKEN.pattern)})
-              OR (NOT regexp_matches(key, {_quoted(L.CALM.pattern)}) AND (octet_length(encode(key)) > 200 OR (NOT regexp_matches(lower(key), 'heartbeat|keepalive|polling') AND (regexp_matches(key, '[=:{{}}\\[\\]/]') OR octet_length(encode(key)) > 40))))) AS keep FROM k),
+              key <> '' AND NOT regexp_matches(key, {_quoted(L.RULER)}) AND (regexp_matches(key, {_quoted(L.FRAME)}) OR regexp_matches(key, {_quoted(L.LOUD)}) OR regexp_matches(key, {_quoted(L.BROKEN)})
+              OR (NOT regexp_matches(key, {_quoted(L.CALM)}) AND (octet_length(encode(key)) > 200 OR (NOT regexp_matches(lower(key), 'heartbeat|keepalive|polling') AND (regexp_matches(key, '[=:{{}}\\[\\]/]') OR octet_length(encode(key)) > 40))))) AS keep FROM k),
         f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS nth FROM m WHERE keep),
         e AS (SELECT *, CASE WHEN blanks > lag(blanks) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS gap FROM f WHERE nth = 1),
         c AS (SELECT *, coalesce(sum(1 + gap) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e),

@@ -30,11 +30,19 @@ def test_token_estimate(spark):
 def test_logs(spark):
     log = "2024-01-01T00:00:00 INFO start\n2024-01-01T00:00:01 ERROR broken\n---\n\n\nkept: a\nkept: a\nshort\nheartbeat ok=1\nat run (x)\n"
     want = "ERROR broken\n\nkept: a\nat run (x)"
-    assert L.compress_log_text(log) == want and one(spark, L.compress_log, log) == want
-    assert L.compress_log_text("\n".join(f"k={k}" for k in range(300))).count("\n") == 199
-    assert L.compact_output_text("[INFO] x\n a \nDownloading y\nerror z") == "a\nerror z"
+    assert one(spark, L.compress_log, log) == want and one(spark, L.compress_log, None) == "" == one(spark, L.compress_log, "\n \n---\n")
+    assert one(spark, L.compress_log, "\n".join(f"k={k}" for k in range(300))).count("\n") == 199
+    gaps = "\n\n".join(f"k={k}" for k in range(300))
+    for most, lines in ((200, 201), (201, 201), (202, 203), (1, 1)):
+        out = one(spark, lambda c: L.compress_log(c, most), gaps).split("\n")  # noqa: B023
+        assert len(out) == lines and out == gaps.split("\n")[:lines], most
+    assert one(spark, L.compress_log, "  a=1 \t\n\nb=1\n\na=1\nb=1\nc=1") == "  a=1\n\nb=1\n\nc=1"
+    long = "\n".join(f"12:00:0{k % 10} ERROR step {k % 5000}" for k in range(60_000))
+    assert one(spark, lambda c: L.compress_log(c, 10_000), long).split("\n") == [f"ERROR step {k}" for k in range(5000)]
+    assert one(spark, L.compact_output, "[INFO] x\n a \nDownloading y\nerror z") == "a\nerror z" and one(spark, L.compact_output, None) == ""
     many = "\n".join([*(f"l{k}" for k in range(70)), "a warning"])
-    assert L.compact_output_text(many).split("\n")[59:] == ["l59", "a warning"]
+    assert one(spark, L.compact_output, many).split("\n")[59:] == ["l59", "a warning"]
+    assert one(spark, L.compact_output, "\n".join(f"fail {k}" for k in range(500))).count("\n") == 119
     assert one(spark, T.fit_lossless, "a\nb\na\n") == "a\nb\n"
 
 
