@@ -59,7 +59,7 @@ def compress_log(column: str | Column, most: int = 200) -> Column:
     where it stands before a line that stays. Both sorts are of one text's lines, in the row."""
     text = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
     loud = lambda x: x.rlike(FRAME) | x.rlike(LOUD) | x.rlike(BROKEN)
-    stays = lambda x: ~x.rlike(RULER) & (loud(x) | (~x.rlike(CALM) & useful(x)))
+    stays = lambda x: ~x.rlike(RULER) & ((useful(x) & ~x.rlike(CALM)) | loud(x))
     bare = F.transform(F.split(text, "\n"), lambda x, k: F.struct(F.regexp_replace(x, TIMESTAMP, "").alias("bare"), k.alias("at")))
     said = F.transform(bare, lambda x: F.struct(stripped(x["bare"]).alias("key"), x["at"].alias("at"), F.rtrim(x["bare"], F.lit(" \t")).alias("bare")))
     said = F.filter(said, lambda x: (x["key"] == "") | stays(x["key"]))
