@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talus.functions.text import let, token_estimate
+
 # Line patterns of log reduction.
 TIMESTAMP = r"(?i)(^\s*\[?(([\d]{2,4}[-/:][\d]{2}[-/:][\d]{2,4}[ T])?[\d]{2}:[\d]{2}(:[\d]{2}([\.,]\d+)?)?(Z|[+-][\d:]{2,5})?)\]?\s*)"
 CALM = r"(?i)(^\s*(INFO|DEBUG|TRACE|VERBOSE|NOTICE)\s*[:=#]?\s*)"
@@ -47,11 +48,6 @@ def stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"^\s+|\s+$", "")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is named."""
-    return F.transform(F.array(value), use)[0]
-
-
 def compress_log(column: str | Column, most: int = 200) -> Column:
     """Timestamps off; rulers, calm levels, chatter and repeats out; one blank line where there were some. Null is empty.
 
@@ -175,8 +171,6 @@ def chunks(texts: pd.Series) -> pd.Series:
 
 def ledger(before: Column, after: Column, kind: str = "generic") -> list[Column]:
     """before_tokens, after_tokens, saved_tokens, saved_percent of a reduction."""
-    from talus.functions.text import token_estimate
-
     a, b = token_estimate(before, RATES[kind]), token_estimate(after, RATES[kind])
     percent = F.when(a > 0, 100.0 * (a - b) / a).otherwise(0.0)
     return [a.alias("before_tokens"), b.alias("after_tokens"), (a - b).alias("saved_tokens"), F.round(percent, 4).alias("saved_percent")]

@@ -129,12 +129,23 @@ def test_security(spark):
 
 def test_schema(spark):
     s = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "min": 1, "max": 3}, "b": {"type": "array", "items": {"type": "string", "pattern": "^x", "minLength": 2}}, "c": {"enum": [1, "two"]}}, "additionalProperties": False}
-    assert J.violations(s, {"a": 2, "b": ["xy"], "c": "two"}) == []
-    assert J.violations(s, {"b": ["y", 3], "c": 5, "d": 0}) == ["$.a: missing required field", "$.d: unexpected field", "$.b[0]: shorter than minLength 2", "$.b[0]: does not match pattern ^x", "$.b[1]: expected type string", "$.c: not in enum"]
-    assert J.violations(s, {"a": 9.0}) == ["$.a: over max 3"] and J.violations(s, {"a": True}) == ["$.a: expected type integer"] and J.violations(s, []) == ["$: expected type object"]
-    df = spark.createDataFrame([('{"a": 1}', '{"a":1}'), ("nope", "{}"), (None, "1")], "x string, y string")
-    got = df.select(J.validate("x", json.dumps(s)).alias("v"), J.equal_json(F.col("x"), F.col("y")).alias("e")).collect()
-    assert [r["v"] for r in got] == [[], ["output is not valid JSON"], ["output is not valid JSON"]] and got[0]["e"] and not got[1]["e"]
+    asked = {
+        '{"a": 2, "b": ["xy"], "c": "two"}': [],
+        '{"b": ["y", 3], "c": 5, "d": 0}': ["$.a: missing required field", "$.d: unexpected field", "$.b[0]: shorter than minLength 2", "$.b[0]: does not match pattern ^x", "$.b[1]: expected type string", "$.c: not in enum"],
+        '{"a": 9.0}': ["$.a: over max 3"], '{"a": 2.0, "c": 1e0}': [], '{"a": 0}': ["$.a: under min 1"], '{"a": 1.5}': ["$.a: expected type integer"],
+        '{"a": true}': ["$.a: expected type integer"], '{"a": null}': ["$.a: expected type integer"], '{"a": 1, "b": {}}': ["$.b: expected type array"], '{"a": 1, "b": []}': [],
+        '{"a": 1, "z": 1, "d": [1]}': ["$.d: unexpected field", "$.z: unexpected field"], "[]": ["$: expected type object"], ' {"a": 1} ': [], "null": ["$: expected type object"],
+    }
+    asked |= {x: ["output is not valid JSON"] for x in ("nope", "", "1 2", '{"a": 1}}', "1, 2", "1] [2", '{"a": 1', '{"a": 1, "a": 2}', '1}, {"v": 2')}
+    df = spark.createDataFrame([(x,) for x in [*asked, None]], "x string").select("x", J.validate("x", json.dumps(s)).alias("v"))
+    got = {r["x"]: r["v"] for r in df.collect()}
+    assert got.pop(None) == ["output is not valid JSON"] and got == asked
+    deep = {"type": "array", "items": {"type": "object", "properties": {"k v": {"type": "array", "items": {"enum": [None, {"p": 1, "q": [True]}, "x"]}}, "n": {"type": "null"}, "s": {"type": "string", "maxLength": 2, "pattern": "("}}}}
+    text = '[{"k v": [null, {"q": [true], "p": 1.0}, "x", "y"], "n": null}, 3, {"n": 0, "s": "üa"}]'
+    assert one(spark, lambda c: J.validate(c, json.dumps(deep)), text) == ["$[0].k v[3]: not in enum", "$[1]: expected type object", "$[2].n: expected type null", "$[2].s: longer than maxLength 2", "$[2].s: schema declares invalid pattern ("]
+    assert one(spark, lambda c: J.validate(c, "{}"), "[1]") == []
+    pairs = spark.createDataFrame([('{"a": 1, "b": [2]}', '{"b":[2.0],"a":1}'), ("nope", "{}"), ("1", "1 2"), ("[1]", "[1, 2]")], "x string, y string")
+    assert [r["e"] for r in pairs.select(J.equal_json(F.col("x"), F.col("y")).alias("e")).collect()] == [True, None, None, False]
 
 
 def test_diffs(spark):
