@@ -205,10 +205,22 @@ def mixed_blocks(scratch: Scratch, docs: DataFrame, shards: int = 64, seed: int
     return dealt(rows, shards, seed, "shard", "doc_id", "first", "pass").drop("pass")
 
 
+def stretches(cuts: list[dict]) -> list[tuple[int, int]]:
+    """First words and ends of the blocks taken of a text, in order, neighbouring blocks as one."""
+    out: list[tuple[int, int]] = []
+    for c in cuts:
+        first, end = c["first"], c["first"] + c["words"]
+        if out and out[-1][1] == first:
+            first = out.pop()[0]
+        out.append((first, end))
+    return out
+
+
 def mixed_documents(scratch: Scratch, docs: DataFrame, shards: int = 64, seed: int = 2, **options) -> DataFrame:
     """The mix as documents: each row of ``docs`` once per full pass, and once more, cut to the
     words that the rest quota takes, where that takes some; dealt to shards and
-    shuffled there. The words of a cut text keep what stands between them; n_chars follows the text."""
+    shuffled there. The words of a cut text keep what stands between them, across neighbouring blocks too, and a line
+    end stands where words are left out; n_chars follows the text."""
     uid, shard, turn, passes, size, cuts = fresh(docs, "uid", "shard", "turn", "passes", "size", "cuts")
     base = scratch.save(docs.withColumn(uid, F.monotonically_increasing_id()))
     sized = base.select(F.col(uid).alias("uid"), "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
@@ -235,7 +247,7 @@ def mixed_documents(scratch: Scratch, docs: DataFrame, shards: int = 64, seed: i
                 texts = batch.column("text").take(pa.array(some)).to_pylist()
                 for k, i in enumerate(some):
                     spans = [m.span() for m in word.finditer(texts[k])]
-                    texts[k] = "\n".join(texts[k][spans[c["first"]][0] : spans[c["first"] + c["words"] - 1][1]] for c in held[i])
+                    texts[k] = "\n".join(texts[k][spans[first][0] : spans[end - 1][1]] for first, end in stretches(held[i]))
                 for rows, own in ((full, None), (some, texts)):
                     if not len(rows):
                         continue

@@ -109,6 +109,25 @@ def test_stages(spark):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in before) == want
 
 
+def test_cuts(spark):
+    """A cut text keeps its words and all between them; only where words are left out stands a line end."""
+    from talus.llm.mixing import mixed_documents, stretches
+
+    assert stretches([{"first": 0, "words": 4}, {"first": 4, "words": 4}, {"first": 8, "words": 1}, {"first": 12, "words": 4}]) == [(0, 9), (12, 16)]
+    rows = [(k, "  ".join(f"w{n}" for n in range(9000)), "ab"[k % 2], 0) for k in range(6)]
+    got = mixed_documents(Scratch(spark, "test"), spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), block_words=256).collect()
+    cut = [r["text"] for r in got if r["text"] != rows[0][1]]
+    joined = 0
+    for text in cut:
+        ends = []
+        for piece in text.split("\n"):
+            at = [int(w[1:]) for w in piece.split("  ")]
+            assert at == list(range(at[0], at[-1] + 1)) and all(at[0] > e + 1 for e in ends)
+            ends.append(at[-1])
+            joined += len(at) > 256
+    assert cut and joined
+
+
 def test_odd_rows(spark):
     """Nulls, empty and repeated rows, and columns named like the stages' own, go through all stages."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity int, sha int, drop int, uid int, shard int"
