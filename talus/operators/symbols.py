@@ -122,11 +122,13 @@ def find(symbols: DataFrame, names: DataFrame) -> DataFrame:
     tail = F.regexp_extract("ref", r"([^./]*)$", 1)
     asked = names.select("ref", tail.alias("tail"), F.regexp_extract("ref", r"([^./]*)[./][^./]*$", 1).alias("qualifier")).distinct()
     s = symbols.select("name", "full_name", "file", "line", F.element_at(F.split(folder(F.col("file")), "/"), -1).alias("home"))
-    keys = s.withColumn("key", F.explode(F.array_distinct(F.array("name", "full_name")))).select("key", "full_name", "file", "line", "home")
+    keys = s.withColumn("key", F.explode(F.array_distinct(F.array("name", "full_name"))))
+    # Of the symbols of a name in a folder only the first can be the answer: a name that very many have is a row a folder.
+    keys = keys.groupBy("key", "home").agg(F.min(F.struct("file", "line", "full_name")).alias("s"))
     exact = asked.join(keys, asked["ref"] == keys["key"]).withColumn("how", F.lit(0))
     part = asked.join(keys, asked["tail"] == keys["key"]).withColumn("how", F.when(F.col("home") == F.col("qualifier"), 1).otherwise(2))
-    best = Window.partitionBy("ref").orderBy("how", "file", "line", "full_name")
-    out = exact.unionByName(part).withColumn("nth", F.row_number().over(best)).where("nth = 1")
+    out = exact.unionByName(part).groupBy("ref").agg(F.min(F.struct("how", "s")).alias("b"))
+    out = out.select("ref", "b.s.full_name", "b.s.file", "b.s.line", F.col("b.how").alias("how"))
     return out.select("ref", "full_name", "file", "line", F.element_at(F.array(F.lit("exact"), F.lit("folder"), F.lit("tail")), F.col("how") + 1).alias("how"))
 
 

@@ -92,3 +92,19 @@ def test_rows_that_share_an_id_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "disk error"), (1, "error again"), (None, "disk")], "id long, text string")
     got = {(r["query"], r["id"]) for r in R.recall(spark.createDataFrame([(5, "disk error")], "query long, text string"), docs).collect()}
     assert got == {(5, 1), (5, None)}
+
+
+def test_blocks_of_vectors_are_never_broadcast(spark):
+    v = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(40)], "id long, vec array<double>")
+    near = R.dense_top(v, v.where("id = 0").withColumnRenamed("id", "query"), 2)
+    assert "SortMergeJoin" in near._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_resolution_joins_one_symbol_a_name_and_folder(spark):
+    from talus.operators import symbols as S
+
+    rows = [("Run", f"T{k}.Run", f"src/a/f{k % 3}.go", k) for k in range(30)] + [("Run", "Z.Run", "src/b/a.go", 1)]
+    s = spark.createDataFrame(rows, "name string, full_name string, file string, line int")
+    found = S.find(s, spark.createDataFrame([("Run",), ("b.Run",), ("x/Run",)], "ref string"))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("Run", "T0.Run", "src/a/f0.go", 0, "exact"), ("b.Run", "Z.Run", "src/b/a.go", 1, "folder"), ("x/Run", "T0.Run", "src/a/f0.go", 0, "tail")}
