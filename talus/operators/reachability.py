@@ -35,10 +35,17 @@ def collected(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
     return [cut(gathered(parts, new))] if len(parts) >= GATHER else parts
 
 
+def inner_nodes(edges: DataFrame) -> DataFrame:
+    """(id): the nodes that call and are called."""
+    return cut(edges.select(F.col("callee").alias("id")).distinct().join(edges.select(F.col("caller").alias("id")), "id", "left_semi"))
+
+
 def trimmed(edges: DataFrame) -> DataFrame:
     """The edges that may lie on cycles: those into nodes without a way out and out of nodes without
     a way in go, again and again."""
-    edges = cut(edges.where("caller <> callee").select("caller", "callee").distinct())
+    edges = edges.where("caller <> callee").select("caller", "callee")
+    mid = inner_nodes(edges)
+    edges = cut(edges.join(mid.withColumnRenamed("id", "caller"), "caller", "left_semi").join(mid.withColumnRenamed("id", "callee"), "callee", "left_semi").select("caller", "callee").distinct())
     n = edges.count()
     while n:
         heads, tails = edges.select(F.col("caller").alias("callee")).distinct(), edges.select(F.col("callee").alias("caller")).distinct()
@@ -102,11 +109,16 @@ def sketches(edges: DataFrame, own: DataFrame, lg: int = LG) -> DataFrame:
     return gathered(done, own)
 
 
-def reach_counts(edges: DataFrame, reverse: bool = False, lg: int = LG) -> DataFrame:
+def reach_counts(edges: DataFrame, reverse: bool = False, lg: int = LG, heads: DataFrame | None = None) -> DataFrame:
     """(id, reached, exact) of every node: how many other nodes it reaches (or, reversed, is reached
-    from); exact up to 2^lg, beyond that an estimate."""
-    edges = cut(edges.where("caller <> callee").select(*(F.col(c).alias(n) for c, n in (("callee", "caller"), ("caller", "callee")))) if reverse else edges.where("caller <> callee").select("caller", "callee"))
-    heads = cycles(edges)
+    from); exact up to 2^lg, beyond that an estimate. Edges are distinct, and a table that is read several times;
+    ``heads`` are their ``cycles``, where known."""
+    if reverse:
+        edges = edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))
+    edges = edges.where("caller <> callee").select("caller", "callee")
+    heads = cycles(edges) if heads is None else heads
+    if heads.isEmpty():
+        return counts_without_cycles(edges, lg)
     nodes = edges.select(F.col("caller").alias("id")).union(edges.select("callee")).distinct()
     named = cut(nodes.join(heads, "id", "left").select("id", F.coalesce("head", "id").alias("head")))
     own = cut(named.groupBy(F.col("head").alias("id")).agg(F.theta_sketch_agg("id", lg).alias("sketch")))
@@ -114,6 +126,36 @@ def reach_counts(edges: DataFrame, reverse: bool = False, lg: int = LG) -> DataF
     return named.join(n, "head").select("id", (F.col("n") - 1).alias("reached"), (F.col("n") <= 2**lg).alias("exact"))
 
 
+def counts_without_cycles(edges: DataFrame, lg: int) -> DataFrame:
+    """``reach_counts`` of a graph without cycles. Only nodes that call and are called need sketches. What calls
+    none of them reaches its callees and no more. Of the rest, nodes whose callees reach few nodes in all
+    are counted exactly by (node, reached) pairs, at most 2^lg each, and the others by sketches."""
+    most = 2**lg
+    mid = inner_nodes(edges)
+    inner = cut(edges.join(mid.withColumnRenamed("id", "callee"), "callee", "left_semi").select("caller", "callee"))
+    of_mid = lambda df, c: df.join(mid.withColumnRenamed("id", c), c, "left_semi")
+    own = of_mid(edges, "caller").select(F.col("caller").alias("id"), F.col("callee").alias("x")).unionByName(mid.withColumn("x", F.col("id")))
+    own = cut(own.groupBy("id").agg(F.theta_sketch_agg("x", lg).alias("sketch")))
+    below = cut(sketches(cut(of_mid(inner, "caller").select("caller", "callee")), own, lg).withColumn("n", F.theta_sketch_estimate("sketch")))
+    ways = edges.groupBy(F.col("caller").alias("id")).agg(F.count("*").alias("ways"))
+    sums = inner.join(below.select(F.col("id").alias("callee"), "n"), "callee").groupBy(F.col("caller").alias("id")).agg(F.sum("n").alias("under"))
+    tops = cut(ways.join(mid, "id", "left_anti").join(sums, "id", "left"))
+    zero = edges.select(F.col("callee").alias("id")).distinct().join(edges.select(F.col("caller").alias("id")), "id", "left_anti").select("id", F.lit(0).cast("long").alias("reached"), F.lit(True).alias("exact"))
+    flat = tops.where("under is null").select("id", F.col("ways").alias("reached"), F.lit(True).alias("exact"))
+    inside = below.select("id", (F.col("n") - 1).alias("reached"), (F.col("n") <= most).alias("exact"))
+    small, large = tops.where(F.col("ways") + F.col("under") <= most).select("id"), tops.where(F.col("ways") + F.col("under") > most).select("id")
+    pairs = G.reach(edges, below.where(F.col("n") <= most).select("id")).where("dist > 0").select(F.col("root").alias("callee"), F.col("id").alias("x"))
+    own_of = lambda df, ids: df.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi")
+    far = own_of(inner, small).join(pairs, "callee").select(F.col("caller").alias("id"), "x")
+    near = own_of(edges, small).select(F.col("caller").alias("id"), F.col("callee").alias("x"))
+    exact = far.unionByName(near).repartition("id").distinct().groupBy("id").agg(F.count("*").alias("reached")).withColumn("exact", F.lit(True))
+    sent = own_of(inner, large).join(below.select(F.col("id").alias("callee"), "sketch"), "callee").groupBy(F.col("caller").alias("id")).agg(F.theta_union_agg("sketch", lg).alias("a"))
+    direct = own_of(edges, large).groupBy(F.col("caller").alias("id")).agg(F.theta_sketch_agg("callee", lg).alias("b"))
+    n = F.theta_sketch_estimate(F.theta_union("a", "b", lg))
+    wide = sent.join(direct, "id").select("id", n.alias("reached"), (n < most).alias("exact"))
+    return zero.unionByName(flat).unionByName(inside).unionByName(exact).unionByName(wide)
+
+
 def criticality_of_all(edges: DataFrame, lg: int = LG) -> DataFrame:
     """(id, dependents, level) of every node, by all that depends on it, directly or not. Levels are exact, and
     dependents are counted up to 2^lg, which stands for more: `graph.criticality` has those of nodes asked for."""
@@ -121,11 +163,11 @@ def criticality_of_all(edges: DataFrame, lg: int = LG) -> DataFrame:
     return n.select("id", F.least(F.col("reached"), F.lit(2**lg)).alias("dependents"), G.level(F.col("reached")).alias("level"))
 
 
-def widest(edges: DataFrame, roots: DataFrame, limit: int | None, lg: int = LG) -> DataFrame:
+def widest(edges: DataFrame, roots: DataFrame, limit: int | None, lg: int = LG, heads: DataFrame | None = None) -> DataFrame:
     """(id, reached): the ``limit`` roots (id) that reach most, or all, with exact counts. Sketches rank
     them; roots whose estimate may belong to the top, by four standard errors, are counted by closures of
     their own, and so are no others."""
-    n = cut(reach_counts(edges, lg=lg).join(roots.select("id").distinct(), "id", "left_semi"))
+    n = cut(reach_counts(edges, lg=lg, heads=heads).join(roots.select("id").distinct(), "id", "left_semi"))
     if limit is not None:
         low, high = 1 - 4 / 2 ** (lg / 2), 1 + 4 / 2 ** (lg / 2)
         n = n.withColumn("least", F.when(F.col("exact"), F.col("reached")).otherwise(F.col("reached") * low)).withColumn("most", F.when(F.col("exact"), F.col("reached")).otherwise(F.col("reached") * high))
@@ -139,9 +181,9 @@ def widest(edges: DataFrame, roots: DataFrame, limit: int | None, lg: int = LG)
 
 
 def ranked_callees(edges: DataFrame, fan: int) -> DataFrame:
-    """(caller, callee): the first ``fan`` callees of each node by name."""
+    """(caller, callee): the first ``fan`` callees of each node by name; edges are distinct."""
     nth = F.row_number().over(Window.partitionBy("caller").orderBy("callee"))
-    return edges.where("caller <> callee").select("caller", "callee").distinct().withColumn("nth", nth).where(F.col("nth") <= fan).drop("nth")
+    return edges.select("caller", "callee").withColumn("nth", nth).where(F.col("nth") <= fan).drop("nth")
 
 
 def heights(few: DataFrame, depth: int) -> DataFrame:
@@ -166,20 +208,23 @@ def descended(starts: DataFrame, few: DataFrame, tall: DataFrame) -> DataFrame:
         done = collected(done, cut(front.where("want = 0").select("root", "path")))
         front = front.where("want > 0")
         step = front.join(ways, (front.id == ways.caller) & (ways.height >= front.want))
-        front = cut(step.groupBy("root", "path", "want").agg(F.min("callee").alias("id")).select("root", "id", F.concat("path", F.array("id")).alias("path"), (F.col("want") - 1).alias("want")))
+        front = cut(step.groupBy("root").agg(F.min("callee").alias("id"), F.first("path").alias("path"), F.first("want").alias("want")).select("root", "id", F.concat("path", F.array("id")).alias("path"), (F.col("want") - 1).alias("want")))
         if front.isEmpty():
             return gathered(done, front.select("root", "path"))
 
 
-def longest_paths(edges: DataFrame, roots: DataFrame, fan: int = 3, depth: int = 12) -> DataFrame:
+def longest_paths(edges: DataFrame, roots: DataFrame, fan: int = 3, depth: int = 12, heads: DataFrame | None = None) -> DataFrame:
     """(root, path): of each root (id) the longest path without repeated nodes that follows the first
     ``fan`` callees by name which are not on it, ``depth`` nodes at most; the first in order of names
     among the longest. Where a path has left all cycles, its longest continuation is known by levels; before that
     it is followed node by node, for the roots asked for only."""
-    edges = cut(edges.where("caller <> callee").select("caller", "callee").distinct())
-    knot = cycles(edges).select("id")
-    bound = cut(G.closure(edges, knot, reverse=True).select("id")) if not knot.isEmpty() else knot
-    few = cut(ranked_callees(edges.join(bound.withColumnRenamed("id", "caller"), "caller", "left_anti"), fan))
+    if heads is None:
+        edges = cut(edges.where("caller <> callee").select("caller", "callee").distinct())
+        heads = cycles(edges)
+    edges, knot = edges.where("caller <> callee").select("caller", "callee"), heads.select("id")
+    free = knot.isEmpty()
+    bound = knot if free else cut(G.closure(edges, knot, reverse=True).select("id"))
+    few = cut(ranked_callees(edges if free else edges.join(bound.withColumnRenamed("id", "caller"), "caller", "left_anti"), fan))
     tall = heights(few, depth)
     height = F.coalesce("height", F.lit(1))
     kind = edges.schema["caller"].dataType.simpleString()
@@ -205,12 +250,15 @@ def longest_paths(edges: DataFrame, roots: DataFrame, fan: int = 3, depth: int =
 
 def flows(edges: DataFrame, roots: DataFrame, limit: int | None = None, fan: int = 3, depth: int = 12, lg: int = LG) -> DataFrame:
     """(root, depth, reached, path): of the roots (id) that reach anything the ``limit`` that reach most, then with
-    the longest path, then by name, or all of them: nodes on the longest path, nodes reached, and that path."""
-    n = cut(widest(edges, roots, limit, lg).where("reached > 0"))
+    the longest path, then by name, or all of them: nodes on the longest path, nodes reached, and that path. Edges are
+    distinct, and a table that is read several times."""
+    edges = edges.where("caller <> callee").select("caller", "callee")
+    heads = cycles(edges)
+    n = cut(widest(edges, roots, limit, lg, heads).where("reached > 0"))
     if limit is not None:  # roots tied with the last by what they reach may have the longer path
         bar = n.orderBy(F.desc("reached")).limit(limit).agg(F.min("reached").alias("bar"))
         n = cut(n.join(F.broadcast(bar), F.col("reached") >= F.col("bar")).drop("bar"))  # one row
-    out = longest_paths(edges, n.select("id"), fan, depth).join(n.withColumnRenamed("id", "root"), "root")
+    out = longest_paths(edges, n.select("id"), fan, depth, heads).join(n.withColumnRenamed("id", "root"), "root")
     out = out.select("root", F.size("path").alias("depth"), "reached", "path")
     return out if limit is None else out.orderBy(F.desc("reached"), F.desc("depth"), "root").limit(limit)
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from talus.operators import graph as G
 from talus.operators import reachability as R
@@ -98,3 +99,37 @@ def test_flows_count_exactly_beyond_sketches(spark):
     levels = {r["id"]: (r["dependents"], r["level"]) for r in R.criticality_of_all(edges).collect()}
     assert levels["end"] == (24, "critical") and levels["m3_0"] == (1, "low") and levels["r3"] == (0, "low")
     assert G.criticality(edges, spark.createDataFrame([("end",)], "id string")).first()["dependents"] == 24
+
+
+def test_closures_write_no_edges(spark, monkeypatch):
+    """The edges are read as they are: what closures write are nodes only."""
+    written = []
+    monkeypatch.setattr(G, "cut", lambda df: written.append(df.columns) or df)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b")], "caller string, callee string")
+    roots = spark.createDataFrame([("c",)], "id string")
+    assert {tuple(r) for r in G.closure(edges, roots, reverse=True).collect()} == {("c", 0), ("b", 1), ("a", 2)}
+    assert {tuple(r) for r in G.reach(edges, roots, reverse=True).collect()} == {("c", "c", 0), ("c", "b", 1), ("c", "a", 2)}
+    assert written and not any("src" in columns for columns in written)
+
+
+def test_counts_of_few_and_many_without_cycles(spark):
+    """Nodes of exact pairs, of sketches, of callees alone and without callees, against closures by hand; no sketch is made for what
+    nothing calls."""
+    pairs = {("r", "m1"), ("r", "m2"), ("r", "x1"), ("m1", "x1"), ("m1", "x2"), ("m2", "x2"), ("flat", "x3"), ("big", "wide"), ("big", "x1")} | {("wide", f"w{k}") for k in range(40)}
+    edges = spark.createDataFrame(sorted(pairs), "caller string, callee string")
+    got = {r["id"]: (r["reached"], r["exact"]) for r in R.reach_counts(edges, lg=4).collect()}
+    assert {n: got[n] for n in ("r", "m1", "m2", "flat", "x1")} == {"r": (4, True), "m1": (2, True), "m2": (1, True), "flat": (1, True), "x1": (0, True)}
+    assert len(got) == len({n for p in pairs for n in p}) and not got["big"][1] and not got["wide"][1] and got["big"][0] > 16
+    roots = spark.createDataFrame([("big",), ("r",), ("flat",)], "id string")
+    assert {r["root"]: r["reached"] for r in R.flows(edges, roots, lg=4).collect()} == {"big": 42, "r": 4, "flat": 1}
+
+
+def test_numbers_in_order_of_names(spark):
+    """Numbers of nodes sort as their names do, and lead back to them."""
+    from talus.plans import graph as P
+
+    keys = [0, 1, 2, 9, 10, 11, 19, 100, 101, 110, 999, 1000, 123456789012345]
+    nodes = spark.createDataFrame([(k * P.STEP + key,) for k in range(1, 7) for key in keys], "id long")
+    rows = nodes.select("id", P.name(F.col("id")).alias("name"), P.ranked(F.col("id")).alias("code"), P.unranked(P.ranked(F.col("id"))).alias("back")).collect()
+    assert [r["name"] for r in sorted(rows, key=lambda r: r["code"])] == sorted(r["name"] for r in rows)
+    assert all(r["back"] == r["id"] for r in rows)
