@@ -9,6 +9,7 @@ join names, and every order has a total tie-break.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -352,13 +353,15 @@ def whole_graph(edges: DataFrame, limit: int = 500) -> DataFrame:
     return edges.join(top.withColumnRenamed("id", "caller"), "caller", "left_semi").join(top.withColumnRenamed("id", "callee"), "callee", "left_semi").select("caller", "callee")
 
 
-def flows(symbols: DataFrame, edges: DataFrame, limit: int | None = 10, depth: int = 12) -> DataFrame:
+def flows(symbols: DataFrame, edges: DataFrame, limit: int | None = 10, depth: int = 12, said: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """(root, file, depth, reached, path): functions outside tests that nothing calls and that call something, by
-    the number of symbols they reach, then by the nodes of their longest path, then by name."""
+    the number of symbols they reach, then by the nodes of their longest path, then by name. Where names stand as
+    something else of the same order, ``said`` makes them."""
     f = functions(symbols).where(~test_file(F.col("file"))).select(F.col("full_name").alias("id")).distinct()
     roots = f.join(edges.select(F.col("callee").alias("id")), "id", "left_anti").join(edges.where("caller <> callee").select(F.col("caller").alias("id")), "id", "left_semi")
     out = R.flows(edges, roots, limit, depth=depth).join(symbol_files(symbols).withColumnRenamed("full_name", "root"), "root", "left")
-    return out.select("root", "file", "depth", "reached", R.as_text(F.col("path")).alias("path")).orderBy(F.desc("reached"), F.desc("depth"), "root")
+    out = out.orderBy(F.desc("reached"), F.desc("depth"), "root")
+    return out.select(said(F.col("root")).alias("root"), "file", "depth", "reached", R.as_text(F.transform("path", said)).alias("path"))
 
 
 def longest_path(edges: DataFrame, root: str, fan_out: int = 3, depth: int = 12) -> DataFrame:

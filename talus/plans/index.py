@@ -18,23 +18,36 @@ from talus.tables import table
 
 LETTERS = {"region": "R", "nation": "N", "customer": "c", "supplier": "S", "part": "p", "order": "o"}
 
+#: The kinds in order of their letters.
+BY_LETTER = tuple(sorted(LETTERS, key=LETTERS.get))
+
 
 def short(node: Column) -> Column:
     letter = F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair))[P.kind(node)]
     return F.concat(letter, (node % F.lit(P.STEP)).cast("string"))
 
 
-def project(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """symbols and edges (caller, callee)."""
+def numbered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """symbols and edges (caller, callee) with node numbers for names."""
     e = P.depends_on(spark, sf)
     key, folder = F.col("id") % F.lit(P.STEP), F.col("dir")
     test = (folder == "order") & (key % 10 == 7)
     file = F.when(test, F.concat(F.lit("tests/order"), (key % 50).cast("string"), F.lit("_test.go"))).otherwise(F.concat(F.lit("src/"), folder, F.lit("/"), folder, (key % 7).cast("string"), F.lit(".go")))
     line = (key % 1000 + 1).cast("int")
-    name = short(F.col("id"))
+    name = F.col("id")
     kind = F.when(folder == "region", "interface").when(folder == "part", "method").otherwise("func")
     symbols = P.nodes_of(e).select(kind.alias("kind"), name.alias("name"), F.lit("").alias("receiver"), name.alias("full_name"), file.alias("file"), line.alias("line"), (line + key % 90).cast("int").alias("end"), folder.alias("home"))
-    return G.cut(symbols), G.cut(e.select(short(F.col("caller")).alias("caller"), short(F.col("callee")).alias("callee")))
+    return G.cut(symbols), e
+
+
+def project(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """symbols and edges (caller, callee) by name; names are made where rows are read."""
+    s, e = numbered(spark, sf)
+    return shortened(s, "name", "full_name"), shortened(e, "caller", "callee")
+
+
+def shortened(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: short(F.col(c)) for c in columns})
 
 
 def written(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,14 +111,15 @@ def symbol_near(spark, sf):
 
 def symbol_flows(spark, sf):
     """All functions outside tests that nothing calls."""
-    s, e = project(spark, sf)
-    return S.flows(s, e, None)
+    s, e = numbered(spark, sf)
+    order = lambda df, *columns: df.withColumns({c: P.ranked(F.col(c), BY_LETTER) for c in columns})
+    return S.flows(order(s, "full_name"), G.cut(order(e, "caller", "callee")), None, said=lambda c: short(P.unranked(c, BY_LETTER)))
 
 
 def symbol_files(spark, sf):
     """The files of all that depends on a region."""
-    s, e = project(spark, sf)
-    hit = G.closure(e, s.where("name = 'R0'").select(F.col("name").alias("id")), reverse=True)
+    s, e = numbered(spark, sf)
+    hit = G.closure(e, s.where(F.col("name") == P.REGION).select(F.col("name").alias("id")), reverse=True)
     return S.affected_files(s, hit.select(F.col("id").alias("full_name")))
 
 
