@@ -74,7 +74,7 @@ def symbol_local_calls(spark, sf):
 
 
 def symbol_coverage(spark, sf):
-    return S.coverage(*project(spark, sf))
+    return shortened(S.coverage(*numbered(spark, sf)), "full_name")
 
 
 def symbol_hubs(spark, sf):
