@@ -143,11 +143,13 @@ def canonical(symbols: DataFrame) -> DataFrame:
 def local_calls(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """(caller, callee): calls of project symbols, by the name as written or its last part; the
     symbol itself is none."""
-    names = symbols.select(F.col("full_name").alias("known")).unionByName(symbols.select(F.col("name").alias("known"))).distinct()
-    tried = calls.where("caller <> callee").withColumn("tail", last_part(F.col("callee")))
+    names = symbols.select(F.explode(F.array_distinct(F.array("full_name", "name"))).alias("known")).distinct()
+    tried = calls.where("caller <> callee")
+    written = tried.select("callee").distinct().withColumn("tail", last_part(F.col("callee")))  # each name is looked up once
     whole = names.select(F.col("known").alias("callee"), F.lit(True).alias("whole"))
     part = names.select(F.col("known").alias("tail"), F.lit(True).alias("part"))
-    out = tried.join(whole, "callee", "left").join(part, "tail", "left").where("whole or (part and tail <> caller)")
+    meant = written.join(whole, "callee", "left").join(part, "tail", "left").where("whole or part")
+    out = tried.join(meant, "callee").where("whole or tail <> caller")
     return out.select("caller", F.when(F.col("whole"), F.col("callee")).otherwise(F.col("tail")).alias("callee")).distinct()
 
 
