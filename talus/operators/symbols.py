@@ -287,15 +287,17 @@ def delete_check(symbols: DataFrame, edges: DataFrame, refs: DataFrame, names: D
     """names (name) -> (name, safe, reason): the first that holds of reference, production callers,
     entry point, public, callers in tests only (safe), none (safe); unknown names are not safe."""
     known = symbols.select(F.explode(F.array("name", "full_name")).alias("key")).distinct().withColumn("known", F.lit(True))
-    prod = production_callers(symbols, edges).groupBy(F.col("callee").alias("key")).agg(F.array_join(F.sort_array(F.collect_set("caller")), ", ").alias("prod"))
-    every = edges.groupBy(F.col("callee").alias("key")).agg(F.array_join(F.sort_array(F.collect_set("caller")), ", ").alias("every"))
+    tests = symbol_files(symbols).where(test_file(F.col("file"))).select(F.col("full_name").alias("caller"), F.lit(True).alias("test"))
+    asked = edges.join(names.select(F.col("name").alias("callee")), "callee", "left_semi").join(tests, "caller", "left")
+    said = lambda of: F.array_join(F.nullif(F.sort_array(F.collect_set(F.when(of, F.col("caller")))), F.array().cast("array<string>")), ", ")
+    ways = asked.groupBy(F.col("callee").alias("key")).agg(said(F.col("test").isNull()).alias("prod"), said(F.col("test")).alias("tested"))
     used = refs.where(~test_file(F.col("file"))).groupBy(F.col("name").alias("tail")).agg(F.array_join(F.sort_array(F.collect_set("file")), ", ").alias("used"))
     n = names.select("name", F.col("name").alias("key"), last_part(F.col("name")).alias("tail"))
-    n = n.join(known, "key", "left").join(prod, "key", "left").join(every, "key", "left").join(used, "tail", "left")
+    n = n.join(known, "key", "left").join(ways, "key", "left").join(used, "tail", "left")
     reason = (
         F.when(F.col("known").isNull(), "not found").when(F.col("used").isNotNull(), F.concat(F.lit("referenced: "), "used"))
         .when(F.col("prod").isNotNull(), F.concat(F.lit("called: "), "prod")).when(entry_point(F.col("name")), "entry point").when(public(F.col("tail")), "public")
-        .when(F.col("every").isNotNull(), F.concat(F.lit("only tests: "), "every")).otherwise("no callers")
+        .when(F.col("tested").isNotNull(), F.concat(F.lit("only tests: "), "tested")).otherwise("no callers")
     )
     return n.select("name", reason.alias("reason")).withColumn("safe", F.col("reason").startswith("only tests") | (F.col("reason") == "no callers"))
 
