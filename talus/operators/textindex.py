@@ -2,28 +2,34 @@
 
 Postings (shard, term, col, id, positions) lie in a folder by shard of the term, in order of term within a file, so a
 question reads the shards of its terms only, and of those the row groups that may hold them. Phrases are
-joins of positions: the words of a phrase meet where position less place in the phrase is one
-number. Lengths (id, len) and one row of totals stand beside the postings.
+looked up: the asked words of each row are laid out again by position, and what stands side by side there meets all phrases
+at once, so the work grows with the words and not with the questions that ask for them. Lengths (id, len) and one row of totals stand beside the postings.
 
 A question has words, "phrases" and column:word or column:"phrase"; words side by side and AND must all be there,
 NOT takes away, and OR parts alternatives. Whatever else it holds is read as words.
 
-Defined cases: null texts have no words; rows that share an id are one row; a question without words finds nothing;
+Defined cases: null texts have no words; rows that share an id are one row, in which no phrase goes from one text to the next; a question without words finds nothing;
 of equal scores the smaller id comes first.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.operators.retrieval import top
+from talus.operators.sparse import listed
 from talus.shared import cut
 
 WORD = r"[\p{L}\p{N}_]+"
 SHARDS = 64
+#: Postings of a file at most, and rows whose words are gathered at once.
+FILE, ROWS = 1 << 19, 1000
 CLAUSES = "query long, grp int, clause int, negative boolean, col string, size int, place int, term string"
 #: Of the ranking: weight of repeats, weight of length, and the least weight of a word that most rows hold.
 K1, B, LEAST = 1.2, 0.75, 1e-6
@@ -37,15 +43,38 @@ def shard_of(term: Column, shards: int = SHARDS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, col, term, positions) of rows (id, col, base, w): each word of a row once, with its places from ``base`` on."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, ROWS):
+            part = batch.slice(s, ROWS)
+            row, values = listed(part.column(3))
+            if not len(row):
+                continue
+            place = np.arange(len(row)) - np.searchsorted(row, row) + np.asarray(part.column(2))[row]
+            coded = values.dictionary_encode()
+            key = row * len(coded.dictionary) + np.asarray(coded.indices)
+            turn = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.diff(key[turn], prepend=-1))
+            at = turn[start]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(turn)), pa.int32()), pa.array(place[turn], pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[at])), part.column(1).take(pa.array(row[at])), values.take(pa.array(at)), lists], ["id", "col", "term", "positions"])
+
+
 def build(rows: DataFrame, key: str, columns: list[str], path: str, shards: int = SHARDS) -> None:
     """Writes the index of text columns of ``rows`` to a folder. Ranges of (shard, term, id) are the files, so
     a word that every row holds is many files."""
     each = rows.select(F.col(key).alias("id"), F.inline(F.array(*(F.struct(F.lit(c).alias("col"), words(F.col(c)).alias("w")) for c in columns))))
-    each = each.select("id", "col", F.posexplode("w").alias("pos", "term"))
-    lists = each.groupBy("id", "col", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    repeated = not rows.groupBy(key).agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+    before = Window.partitionBy("id", "col").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum(F.size("w") + 1).over(before), F.lit(0)) if repeated else F.lit(0)
+    kind = each.schema["id"].dataType.simpleString()
+    lists = each.select("id", "col", base.cast("long").alias("base"), "w").mapInArrow(gathered, f"id {kind}, col string, term string, positions array<int>")
+    if repeated:
+        lists = lists.groupBy("id", "col", "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     lists = cut(lists.withColumn("shard", shard_of(F.col("term"), shards)))
     order = ("shard", "term", "id", "col")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), lists.count() // FILE + 1)
     lists.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
     size = sum((F.size(words(F.col(c))) for c in columns), F.lit(0))
     sizes = rows.groupBy(F.col(key).alias("id")).agg(F.sum(size).alias("len"))
@@ -98,14 +127,36 @@ def ask_all(spark: SparkSession, path: str, asked: DataFrame, k: int = 20) -> Da
     return answer(spark, path, postings(spark, path), cut(asked), k)
 
 
+def phrases(held: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """(key ..., negative, id, f): how often a row holds the phrase of a clause of several words (``asked``, which has
+    some). A row's asked words stand in order of position; from each that begins a phrase on, as many as a
+    phrase has are put together where no other word lies between."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), " ")
+    wanted = asked.groupBy(*key, "negative", "want", "size").agg(said.alias("said"))
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # one number a length
+    terms = asked.groupBy("term").agg(F.max(F.col("place") == 0).alias("first"))
+    spots = F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term"), F.col("first")))))
+    rows = held.join(terms, "term").groupBy("id", "col").agg(F.array_sort(spots).alias("w"))
+
+    def grams(n: int) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            near = F.col("w")[i + (n - 1)]["pos"] == x["pos"] + (n - 1)
+            return F.when(x["first"] & near, F.array_join(F.transform(F.slice("w", i + 1, n), lambda y: y["term"]), " "))
+
+        return F.array_compact(F.transform(F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0))), at))
+
+    found = rows.select("id", "col", F.explode(F.concat(*map(grams, sizes))).alias("said"))
+    found = found.join(wanted.select("said").distinct(), "said", "left_semi").groupBy("id", "col", "said").agg(F.count("*").alias("f"))
+    return found.join(wanted, "said").where(F.col("want").isNull() | (F.col("want") == F.col("col"))).select(*key, "negative", "id", "f")
+
+
 def answer(spark: SparkSession, path: str, held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     key = ["query", "grp", "clause"]
     c = asked.withColumnRenamed("col", "want")
-    met = held.join(c, "term").where(F.col("want").isNull() | (F.col("want") == F.col("col")))
-    one = met.where("size = 1").select(*key, "negative", "id", F.size("positions").alias("f"))
-    starts = met.where("size > 1").select(*key, "negative", "size", "id", "col", "place", F.explode("positions").alias("pos"))
-    whole = starts.groupBy(*key, "negative", "size", "id", "col", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
-    found = one.unionByName(whole.select(*key, "negative", "id", F.lit(1).alias("f")))
+    met = held.join(c.where("size = 1"), "term").where(F.col("want").isNull() | (F.col("want") == F.col("col")))
+    found = met.select(*key, "negative", "id", F.size("positions").cast("long").alias("f"))
+    if not c.where("size > 1").isEmpty():
+        found = found.unionByName(phrases(held, c.where("size > 1"), key))
     found = cut(found.groupBy(*key, "negative", "id").agg(F.sum("f").alias("f")))
     wanted = asked.select(*key, "negative").distinct().groupBy("query", "grp").agg(F.count_if(~F.col("negative")).alias("wanted"))
     groups = found.groupBy("query", "grp", "id").agg(F.count_if(~F.col("negative")).alias("had"), F.count_if("negative").alias("barred"))

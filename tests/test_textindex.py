@@ -101,3 +101,20 @@ def test_phrases_of_a_table(spark, index):
 def test_empty_table(spark, tmp_path):
     T.build(spark.createDataFrame([], ROWS), "id", ["name", "text"], str(tmp_path / "i"))
     assert T.ask(spark, str(tmp_path / "i"), {1: "greet"}, ["name", "text"]).count() == 0
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    """One row: phrases are found in each text, and none goes from one to the next."""
+    rows = [(1, "x", "func greet the"), (1, "y", "func greet user"), (2, None, "the func")]
+    T.build(spark.createDataFrame(rows, ROWS), "id", ["name", "text"], str(tmp_path / "i"))
+    got = T.ask(spark, str(tmp_path / "i"), {1: '"func greet"', 2: '"the func"', 3: "greet", 4: '"user func"'}, ["name", "text"]).collect()
+    assert sorted((r["query"], r["id"]) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_a_phrase_of_many_questions(spark, index):
+    """Whoever asks, a row's words are laid out once, and every question gets the same rows."""
+    asked = spark.createDataFrame([(k, "the the the") for k in range(300)], "id long, text string")
+    clauses = T.phrases_of(asked, "id", "text", 3).withColumnRenamed("col", "want")
+    found = T.phrases(T.postings(spark, index), clauses, ["query"]).groupBy("id", "f").count().collect()
+    want = {i: n for i, _, text in table() if (n := sum(w == ["the"] * 3 for w in zip(*(re.findall(r"\w+", (text or "").lower())[k:] for k in range(3)), strict=False) for w in [list(w)]))}
+    assert {r["id"]: r["f"] for r in found} == want and {r["count"] for r in found} == {300}
