@@ -100,6 +100,11 @@ def validate(column: str | Column, schema: str) -> Column:
     return let(parsed(text), lambda v: F.when(v.isNull(), bad).otherwise(violations(json.loads(schema), v, F.lit("$"))))
 
 
+def canonical_json(text: Column) -> Column:
+    """One spelling of all JSON texts that hold equal values. Null where the text is no JSON."""
+    return F.to_json(parsed(text))
+
+
 def equal_json(a: Column, b: Column) -> Column:
     """Whether two JSON texts hold equal values; key order and spacing do not matter. Null where one is no JSON."""
-    return F.to_json(parsed(a)) == F.to_json(parsed(b))
+    return canonical_json(a) == canonical_json(b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from talus.functions.schema import equal_json, validate
+from talus.functions.schema import canonical_json, validate
 from talus.functions.text import token_estimate
 from talus.operators import context as C
 from talus.operators import events as E
@@ -13,6 +13,7 @@ from talus.operators import governance as V
 from talus.operators import incidents as I
 from talus.operators import knowledge as K
 from talus.operators import memory as M
+from talus.shared import cut
 from talus.tables import table
 
 
@@ -241,10 +242,12 @@ def schema_validation(spark, sf):
 
 
 def json_equality(spark, sf):
-    """Events whose props equal those of the event before, however they are spelled."""
-    e = events(spark, sf)
-    other = e.select((F.col("event_id") + 1).alias("event_id"), F.regexp_replace("props", "[ ]+", "").alias("before"))
-    return e.join(other, "event_id").where(equal_json(F.col("props"), F.col("before"))).select("event_id")
+    """Events whose props equal those of the event before, however they are spelled. Each is read once, before the
+    join: within a merge join the expression is too long for the compiler."""
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))  # reading JSON costs far more than its bytes tell
+    rows = events(spark, sf).select("event_id", "props").where("event_id is not null and props is not null").repartition(wide)
+    e = cut(rows.select("event_id", canonical_json(F.col("props")).alias("said")))
+    return e.join(e.select((F.col("event_id") + 1).alias("event_id"), "said"), ["event_id", "said"]).select("event_id")
 
 
 QUERIES = {f.__name__: f for f in (alert_correlation, service_inference, hypotheses, service_health, pattern_mining, memory_recall, memory_caps, stats_summary, metrics_snapshot, claim_conflicts, audit_chain_verify, policy_assessment, firewall_decisions, flight_questions, task_snapshots, task_steps, agent_comparison, runtime_graph, incident_hypotheses, threshold_calibration, context_gc_actions, context_packets, greedy_pack, change_intents, task_routing, freshness_states, session_windows, schema_validation, json_equality)}

@@ -87,3 +87,15 @@ def test_cochange_of_wide_commits(spark, tile):
         want |= {(f, b, -k, i + 1) for i, (k, b) in enumerate(best)}
     got = G.cochange(spark.createDataFrame(commits, "commit string, file long"), tile=tile)
     assert set(map(tuple, got.select("file", "partner", "n", "rank").collect())) == want
+
+
+def test_json_is_read_before_the_join(spark, tmp_path):
+    """What is no JSON equals nothing, and the join compares spellings only."""
+    from talus.plans.events import json_equality
+
+    rows = [(1, '{"a": 1, "b": [2]}'), (2, '{"b":[2],"a":1.0}'), (3, "x"), (4, "x"), (5, None), (6, None), (7, '"c d"'), (8, '"c d"'), (9, '"cd"'), (10, "1"), (11, " 1 ")]
+    spark.createDataFrame(rows, "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    out = json_equality(spark, str(tmp_path))
+    assert sorted(r["event_id"] for r in out.collect()) == [2, 8, 11]
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not any("json" in x for x in joins)
