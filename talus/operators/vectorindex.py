@@ -25,6 +25,8 @@ from talus.shared import cut
 
 #: Rows that centres are fitted on at most, centres at most, rows of a block, questions of a block.
 SAMPLE, CENTRES, ROWS, ASKED = 20_000, 1_024, 2_048, 1_024
+#: Rows (question, list) that a worker makes at once.
+PAIRS = 1 << 14
 #: Rows that stand as questions when the number of lists to look through is set, their neighbours, and the share of these that is to be found.
 TUNED, NEIGHBOURS, FOUND = 256, 10, 0.95
 #: Added to bounds: scores are rounded to six digits.
@@ -115,6 +117,14 @@ def build(vectors: DataFrame, path: str, sample: int = SAMPLE, centres: int = CE
     centre.join(sizes, "list").write.mode("overwrite").parquet(f"{path}/lists")
 
 
+def by_list(part: pd.DataFrame, open_: np.ndarray, names: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(query, vec, list) of questions and whether a list is open to each, at most PAIRS rows at once."""
+    i, j = np.nonzero(open_)
+    for s in range(0, len(i), PAIRS):
+        rows = part.iloc[i[s : s + PAIRS]]
+        yield pd.DataFrame({"query": rows["query"].to_numpy(), "vec": rows["vec"].to_numpy(), "list": names[j[s : s + PAIRS]]})
+
+
 def scored(asked: DataFrame, blocks: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     """(query, id, score): of questions with the list to look through (query, vec, list) the best ``k`` of each block.
     Questions of a list are packed, and each pack meets each block of the list once."""
@@ -158,9 +168,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, probe
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            if len(part):
-                near = np.argsort(-(unit(part["vec"]) @ c.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"query": np.repeat(part["query"].to_numpy(), near.shape[1]), "vec": [v for v in part["vec"] for _ in range(near.shape[1])], "list": names[near].ravel()})
+            for k in range(0, len(part), ASKED):
+                some = part.iloc[k : k + ASKED]
+                s = unit(some["vec"]) @ c.T
+                near = np.zeros(s.shape, bool)
+                np.put_along_axis(near, np.argsort(-s, axis=1, kind="stable")[:, :probes], True, axis=1)
+                yield from by_list(some, near, names)
 
     schema = "query long, vec array<double>, list int"
     first = cut(scored(asked.mapInPandas(nearest, schema), blocks, lists, k))
@@ -170,13 +183,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, probe
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            if len(part):
-                s = unit(part["vec"]) @ c.T
+            for k in range(0, len(part), ASKED):
+                some = part.iloc[k : k + ASKED]
+                s = unit(some["vec"]) @ c.T
                 away = np.maximum(np.arccos(np.clip(s, -1, 1)) - reach, 0)
-                may = np.cos(away) + SLACK >= part["bar"].to_numpy()[:, None]
+                may = np.cos(away) + SLACK >= some["bar"].to_numpy()[:, None]
                 np.put_along_axis(may, np.argsort(-s, axis=1, kind="stable")[:, :probes], False, axis=1)
-                i, j = np.nonzero(may)
-                yield pd.DataFrame({"query": part["query"].to_numpy()[i], "vec": [part["vec"].iloc[n] for n in i], "list": names[j]})
+                yield from by_list(some, may, names)
 
     open_ = asked.join(bars, "query", "left").fillna(-2.0, ["bar"])  # with fewer rows than k every list may matter
     more = scored(open_.mapInPandas(rest, schema), blocks, lists, k)

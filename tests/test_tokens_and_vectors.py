@@ -4,6 +4,7 @@ import base64
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,14 @@ def test_recall_on_the_tables(spark, tmp_path):
     asked = v.where("id % 20 = 0").withColumnRenamed("id", "query")
     near = V.search(spark, str(tmp_path / "v"), asked, 5)
     assert V.recall(near, R.dense_top(v, asked, 5)) >= 0.9
+
+
+def test_questions_by_list_are_few_at_once(monkeypatch):
+    """However many lists are open, a worker makes at most PAIRS rows at once, and all of them."""
+    monkeypatch.setattr(V, "PAIRS", 7)
+    part = pd.DataFrame({"query": range(5), "vec": [[float(k)] for k in range(5)]})
+    open_ = np.random.default_rng(1).random((5, 40)) < 0.5
+    made = list(V.by_list(part, open_, np.arange(40) * 3))
+    assert max(map(len, made)) == 7
+    got = [(q, v, k) for m in made for q, v, k in zip(m["query"], m["vec"], m["list"], strict=True)]
+    assert got == [(i, [float(i)], 3 * j) for i in range(5) for j in range(40) if open_[i, j]]
