@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from talus.operators import retrieval as R
@@ -13,6 +14,8 @@ from talus.operators import tokens as T
 from talus.operators import vectorindex as V
 from talus.plans.texts import VOCABULARY
 
+T_WORDS = regex.compile(T.PATTERN)
+
 
 @pytest.fixture(scope="module")
 def library():
@@ -38,6 +41,20 @@ def test_token_counts(spark, library):
     assert T.token_counts(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_token_counts_without_a_shuffle(spark, library, monkeypatch):
+    """Where no id repeats, texts are counted in place, whatever the batches and however few sizes are remembered."""
+    rows = [(k, " ".join(f"w{(k * j) % 37}é" for j in range(k % 60))) for k in range(700)] + [(700, None), (701, ""), (None, "a" * 9_000)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = {k: (len(library.encode_ordinary(t or "")), len(w := T_WORDS.findall(t or "")), len(set(w))) for k, t in rows}
+    for kept, batch in ((1 << 17, "10000"), (3, "7")):
+        monkeypatch.setattr(T, "KEPT", kept)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        out = T.token_counts(docs, VOCABULARY)
+        assert {r["id"]: (r["tokens"], r["words"], r["distinct"]) for r in out.collect()} == want
+        assert " Join " not in out._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_merges(library):
     ranks = T.ranks_of(VOCABULARY)
     rnd = random.Random(2)
