@@ -89,6 +89,20 @@ def test_cochange_of_wide_commits(spark, tile):
     assert set(map(tuple, got.select("file", "partner", "n", "rank").collect())) == want
 
 
+def test_cochange_counts_each_pair_once_in_bounded_tasks(spark, monkeypatch):
+    """Tasks that count pairs grow in number with the pairs; a pair stands for both its files."""
+    commits = [(c, f) for c in range(40) for f in range(c % 7, 20 + c % 5)]
+    pairs = sum(k * (k - 1) // 2 for k in Counter(c for c, _ in commits).values())
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "PAIRS", 100)
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = {(r["file"], r["partner"]): r["n"] for r in G.cochange(spark.createDataFrame(commits, "commit long, file long"), top=99).collect()}
+    by = [{f for c, f in commits if c == k} for k in range(40)]
+    assert got == {(a, b): n for a in range(24) for b in range(24) if a != b and (n := sum(a in x and b in x for x in by)) >= 2}
+    dealt = [x for p in plans for x in p.splitlines() if "RepartitionByExpression" in x and "partner" in x and "file" in x]
+    assert dealt and all(x.rstrip().endswith(str(-(-pairs // 100))) for x in dealt)
+
+
 def test_json_is_read_before_the_join(spark, tmp_path):
     """What is no JSON equals nothing, and the join compares spellings only."""
     from talus.plans.events import json_equality
