@@ -21,6 +21,8 @@ from talus.llm.scratch import Scratch, fresh
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity machine rejects."""
+    Scratch(spark, "toxicity")  # sets small batches, from the first stage on
+    Scratch(spark, "toxicity")  # its small batches hold from the first stage on
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     (score,) = fresh(docs, "toxicity")
     return toxicity.scored(docs, machine, score).where(F.col(score) < 0.5).drop(score)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from talus.llm import toxicity
-from talus.llm.scratch import Scratch
+from talus.llm.scratch import BATCH, Scratch
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,3 +141,11 @@ def test_odd_rows(spark):
             if name == "exact dedup" and part:
                 assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0)]
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_first_stage_sets_small_batches(spark):
+    """Also where a caller runs the stages one by one, no stage gets batches of the session's usual size."""
+    for name, usual, _ in BATCH:
+        spark.conf.set(name, usual)
+    corpus_pipeline.clean(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(20), SF)
+    assert [spark.conf.get(name) for name, *_ in BATCH] == [small for *_, small in BATCH]
