@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -108,3 +109,12 @@ def test_resolution_joins_one_symbol_a_name_and_folder(spark):
     found = S.find(s, spark.createDataFrame([("Run",), ("b.Run",), ("x/Run",)], "ref string"))
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {("Run", "T0.Run", "src/a/f0.go", 0, "exact"), ("b.Run", "Z.Run", "src/b/a.go", 1, "folder"), ("x/Run", "T0.Run", "src/a/f0.go", 0, "tail")}
+
+
+def test_rows_of_a_task_do_not_grow(spark, monkeypatch):
+    """Blocks of rows lie in as many partitions as there are blocks, however few cores there are."""
+    monkeypatch.setattr(R.S, "ROWS", 2)
+    monkeypatch.setattr(R.S, "ASKED", 2)
+    rows = random_texts(5, 120)
+    out = R.bm25(texts(spark, rows, "id"), texts(spark, rows[:6], "query"), 3)
+    assert max(map(int, re.findall(r"Repartition (\d+)", plan(out)))) >= 60
