@@ -83,6 +83,14 @@ def test_signatures_and_features_by_tiles(spark):
     assert flat(mine) == flat(near)
 
 
+def test_signatures_are_whole(spark):
+    """Texts of over 2,000 words and pairs keep all of them; words whose 32-bit hashes meet stay apart."""
+    w = [f"w{k}" for k in range(3000)]
+    corpus = texts(spark, [(1, " ".join(w[:1500])), (2, " ".join(w[1800:])), (3, "liquid altarage"), (4, None)], "id")
+    got = {tuple(r) for r in R.jaccard_lookup(texts(spark, [(9, " ".join(w)), (8, "costarring zinke")], "query"), corpus, 0.05).collect()}
+    assert got == {(9, 1, half_up(2999 / 5999))}
+
+
 def test_hash_of_arrow_texts(spark):
     values = ["", "a", "été", "x" * 300, "word"]
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, t string").select("k", fnv32(R.F.col("t")).alias("h")).orderBy("k").collect()
