@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.operators import graph as G
-from talus.shared import cut
+from talus.shared import cut, passing
 
 #: Rounds after which the rows gathered so far are written again as one table.
 GATHER = 8
@@ -130,7 +130,7 @@ def counts_without_cycles(edges: DataFrame, lg: int) -> DataFrame:
     """``reach_counts`` of a graph without cycles. Only nodes that call and are called need sketches. What calls
     none of them reaches its callees and no more. Of the rest, nodes whose callees reach few nodes in all
     are counted exactly by (node, reached) pairs, at most 2^lg each, and the others by sketches."""
-    most = 2**lg
+    most, kind = 2**lg, edges.schema["caller"].dataType.simpleString()
     mid = inner_nodes(edges)
     inner = cut(edges.join(mid.withColumnRenamed("id", "callee"), "callee", "left_semi").select("caller", "callee"))
     of_mid = lambda df, c: df.join(mid.withColumnRenamed("id", c), c, "left_semi")
@@ -146,9 +146,12 @@ def counts_without_cycles(edges: DataFrame, lg: int) -> DataFrame:
     small, large = tops.where(F.col("ways") + F.col("under") <= most).select("id"), tops.where(F.col("ways") + F.col("under") > most).select("id")
     pairs = G.reach(edges, below.where(F.col("n") <= most).select("id")).where("dist > 0").select(F.col("root").alias("callee"), F.col("id").alias("x"))
     own_of = lambda df, ids: df.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi")
-    far = own_of(inner, small).join(pairs, "callee").select(F.col("caller").alias("id"), "x")
-    near = own_of(edges, small).select(F.col("caller").alias("id"), F.col("callee").alias("x"))
-    exact = far.unionByName(near).repartition("id").distinct().groupBy("id").agg(F.count("*").alias("reached")).withColumn("exact", F.lit(True))
+    # Callees are counted as they are; what callees reach is one list a callee, and only callees that are reached as well may be in both.
+    far = own_of(inner, small).join(pairs.groupBy("callee").agg(F.collect_list("x").alias("far")), "callee").select(F.col("caller").alias("id"), "far", F.expr("array()").cast(f"array<{kind}>").alias("near"))
+    twice = edges.join(pairs.select(F.col("x").alias("callee")).distinct(), "callee", "left_semi")
+    near = own_of(twice, small).select(F.col("caller").alias("id"), F.expr("array()").cast(f"array<{kind}>").alias("far"), F.array("callee").alias("near"))
+    lists = far.unionByName(near).groupBy("id").agg(F.flatten(F.collect_list("far")).alias("far"), F.flatten(F.collect_list("near")).alias("near"))
+    exact = tops.join(lists, "id").select("id", (F.col("ways") + F.size(F.array_except("far", "near"))).alias("reached"), F.lit(True).alias("exact"))
     sent = own_of(inner, large).join(below.select(F.col("id").alias("callee"), "sketch"), "callee").groupBy(F.col("caller").alias("id")).agg(F.theta_union_agg("sketch", lg).alias("a"))
     direct = own_of(edges, large).groupBy(F.col("caller").alias("id")).agg(F.theta_sketch_agg("callee", lg).alias("b"))
     n = F.theta_sketch_estimate(F.theta_union("a", "b", lg))
@@ -167,7 +170,8 @@ def widest(edges: DataFrame, roots: DataFrame, limit: int | None, lg: int = LG,
     """(id, reached): the ``limit`` roots (id) that reach most, or all, with exact counts. Sketches rank
     them; roots whose estimate may belong to the top, by four standard errors, are counted by closures of
     their own, and so are no others."""
-    n = cut(reach_counts(edges, lg=lg, heads=heads).join(roots.select("id").distinct(), "id", "left_semi"))
+    with passing() as keep:
+        n = keep(cut(reach_counts(edges, lg=lg, heads=heads).join(roots.select("id").distinct(), "id", "left_semi")))
     if limit is not None:
         low, high = 1 - 4 / 2 ** (lg / 2), 1 + 4 / 2 ** (lg / 2)
         n = n.withColumn("least", F.when(F.col("exact"), F.col("reached")).otherwise(F.col("reached") * low)).withColumn("most", F.when(F.col("exact"), F.col("reached")).otherwise(F.col("reached") * high))
@@ -198,19 +202,25 @@ def heights(few: DataFrame, depth: int) -> DataFrame:
     return cut(gathered(parts, front.withColumn("height", F.lit(1))).groupBy("id").agg(F.max("height").alias("height")))
 
 
-def descended(starts: DataFrame, few: DataFrame, tall: DataFrame) -> DataFrame:
-    """(root, path): paths so far (root, id, path, want), each led on to ``want`` more nodes: at each step to the
-    first callee by name from which a path of the length still wanted leads down."""
-    done, front = [], cut(starts)
-    ways = few.join(tall.withColumnRenamed("id", "callee"), "callee", "left").select("caller", "callee", F.coalesce("height", F.lit(1)).alias("height"))
-    ways = cut(ways)
+def descended(starts: DataFrame, ways: DataFrame) -> DataFrame:
+    """(root, path): paths so far (root, id, path, want), a table, each led on to ``want`` more nodes: at each step to the
+    first callee by name from which a path of the length still wanted leads down, by ``ways`` (caller, callee, height), a
+    table. How a path goes on depends on where it stands and what it wants, so that is found once for all paths that meet."""
+    steps, state = [], starts.where("want > 0").select("id", "want").distinct()
     while True:
-        done = collected(done, cut(front.where("want = 0").select("root", "path")))
-        front = front.where("want > 0")
-        step = front.join(ways, (front.id == ways.caller) & (ways.height >= front.want))
-        front = cut(step.groupBy("root").agg(F.min("callee").alias("id"), F.first("path").alias("path"), F.first("want").alias("want")).select("root", "id", F.concat("path", F.array("id")).alias("path"), (F.col("want") - 1).alias("want")))
-        if front.isEmpty():
-            return gathered(done, front.select("root", "path"))
+        step = state.join(ways, (state.id == ways.caller) & (ways.height >= state.want)).groupBy("id", "want").agg(F.min("callee").alias("callee"))
+        steps.append(cut(step))
+        state = steps[-1].where("want > 1").select(F.col("callee").alias("id"), (F.col("want") - 1).alias("want")).distinct()
+        if state.isEmpty():
+            break
+    tails = None
+    for step in reversed(steps):
+        if tails is None:
+            tails = step.select("id", "want", F.array("callee").alias("tail"))
+            continue
+        below = tails.select(F.col("id").alias("callee"), (F.col("want") + 1).alias("want"), "tail")
+        tails = step.join(below, ["callee", "want"], "left").select("id", "want", F.when(F.col("tail").isNull(), F.array("callee")).otherwise(F.concat(F.array("callee"), "tail")).alias("tail"))
+    return starts.join(tails, ["id", "want"], "left").select("root", F.when(F.col("tail").isNull(), F.col("path")).otherwise(F.concat("path", "tail")).alias("path"))
 
 
 def longest_paths(edges: DataFrame, roots: DataFrame, fan: int = 3, depth: int = 12, heads: DataFrame | None = None) -> DataFrame:
@@ -218,6 +228,14 @@ def longest_paths(edges: DataFrame, roots: DataFrame, fan: int = 3, depth: int =
     ``fan`` callees by name which are not on it, ``depth`` nodes at most; the first in order of names
     among the longest. Where a path has left all cycles, its longest continuation is known by levels; before that
     it is followed node by node, for the roots asked for only."""
+    with passing() as keep:
+        best, ways = map(keep, ends_of_paths(edges, roots, fan, depth, heads))
+    return descended(best, ways)
+
+
+def ends_of_paths(edges: DataFrame, roots: DataFrame, fan: int, depth: int, heads: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Of each root the best path as far as it is followed node by node, with what it still wants (root, id, path, want), and
+    the ways on from there (caller, callee, height); both are tables."""
     if heads is None:
         edges = cut(edges.where("caller <> callee").select("caller", "callee").distinct())
         heads = cycles(edges)
@@ -245,7 +263,8 @@ def longest_paths(edges: DataFrame, roots: DataFrame, fan: int = 3, depth: int =
         front = cut(longer.join(bound, "id", "left_semi"))
     ends = gathered(parts, free).groupBy("root").agg(F.min(F.struct((-F.size("path") - F.col("want")).alias("n"), "path", "id", "want")).alias("m"))
     best = ends.select(F.col("root").cast(kind).alias("root"), "m.id", "m.path", "m.want")
-    return descended(best, few, tall)
+    ways = few.join(tall.withColumnRenamed("id", "callee"), "callee", "left").select("caller", "callee", F.coalesce("height", F.lit(1)).alias("height"))
+    return cut(best), cut(ways)
 
 
 def flows(edges: DataFrame, roots: DataFrame, limit: int | None = None, fan: int = 3, depth: int = 12, lg: int = LG) -> DataFrame:
@@ -253,11 +272,13 @@ def flows(edges: DataFrame, roots: DataFrame, limit: int | None = None, fan: int
     the longest path, then by name, or all of them: nodes on the longest path, nodes reached, and that path. Edges are
     distinct, and a table that is read several times."""
     edges = edges.where("caller <> callee").select("caller", "callee")
-    heads = cycles(edges)
-    n = cut(widest(edges, roots, limit, lg, heads).where("reached > 0"))
-    if limit is not None:  # roots tied with the last by what they reach may have the longer path
-        bar = n.orderBy(F.desc("reached")).limit(limit).agg(F.min("reached").alias("bar"))
-        n = cut(n.join(F.broadcast(bar), F.col("reached") >= F.col("bar")).drop("bar"))  # one row
+    with passing() as keep:
+        heads = keep(cycles(edges))
+    with passing() as keep:
+        n = keep(cut(widest(edges, roots, limit, lg, heads).where("reached > 0")))
+        if limit is not None:  # roots tied with the last by what they reach may have the longer path
+            bar = n.orderBy(F.desc("reached")).limit(limit).agg(F.min("reached").alias("bar"))
+            n = keep(cut(n.join(F.broadcast(bar), F.col("reached") >= F.col("bar")).drop("bar")))  # one row
     out = longest_paths(edges, n.select("id"), fan, depth, heads).join(n.withColumnRenamed("id", "root"), "root")
     out = out.select("root", F.size("path").alias("depth"), "reached", "path")
     return out if limit is None else out.orderBy(F.desc("reached"), F.desc("depth"), "root").limit(limit)

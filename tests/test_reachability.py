@@ -133,3 +133,19 @@ def test_numbers_in_order_of_names(spark):
     rows = nodes.select("id", P.name(F.col("id")).alias("name"), P.ranked(F.col("id")).alias("code"), P.unranked(P.ranked(F.col("id"))).alias("back")).collect()
     assert [r["name"] for r in sorted(rows, key=lambda r: r["code"])] == sorted(r["name"] for r in rows)
     assert all(r["back"] == r["id"] for r in rows)
+
+
+def test_flows_keep_no_table_that_is_read_no_more(spark):
+    """Sketches, counts and levels are gone once the flows are known; what reaches nodes over several ways counts them once."""
+    from pathlib import Path
+
+    from talus.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("cut-*"))
+    edges = table(spark, [("r", "a"), ("r", "b"), ("r", "d"), ("a", "c"), ("b", "c"), ("c", "d"), ("s", "c"), ("q", "a"), ("q", "x")])
+    roots = spark.createDataFrame([("r",), ("s",), ("q",)], "id string")
+    got = {r["root"]: (r["reached"], r["path"]) for r in R.flows(edges, roots).collect()}
+    assert got == {"r": (4, ["r", "a", "c", "d"]), "s": (2, ["s", "c", "d"]), "q": (4, ["q", "a", "c", "d"])}
+    columns = [set(spark.read.parquet(str(p)).columns) for p in set(folder.glob("cut-*")) - before]
+    assert columns and not any(c & {"sketch", "under"} or c == {"id", "height"} for c in columns)
